@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from pyspark.sql import functions as F
+
+from . import exact_dedup, fingerprints, licenses, line_dedup, mixing
 from .common import table
 
 
+def op2_license_scan(spark, sf_dir):
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_order_minhash(spark, sf_dir):
+    return fingerprints.edit_report(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark, sf_dir):
+    rows = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_order_minhash": op5_order_minhash,
+    "op6_line_dedup": op6_line_dedup,
     "op7_mix_sources": op7_mix_sources,
 }
 
 ORACLE = {
+    "op2_license_scan": licenses.oracle(),
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
 }
