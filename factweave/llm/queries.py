@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, licenses, line_dedup, mixing
+from . import bpe, exact_dedup, fingerprints, licenses, line_dedup, mixing
 from .common import table
 
 
@@ -16,6 +16,16 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_bpe_coding(spark, sf_dir):
+    coded = bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.default_path())
+    return coded.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op5_order_minhash(spark, sf_dir):
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
 
@@ -32,6 +42,7 @@ def op7_mix_sources(spark, sf_dir):
 QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_bpe_coding": op4_bpe_coding,
     "op5_order_minhash": op5_order_minhash,
     "op6_line_dedup": op6_line_dedup,
     "op7_mix_sources": op7_mix_sources,
