@@ -23,6 +23,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Up to this many sources their table is broadcast (some 100 bytes each); beyond, joins on the source go by shuffle.
+BROADCAST_SOURCES = 50_000
+
+
+def by_source(rows: DataFrame, per_source: DataFrame, few: bool) -> DataFrame:
+    return rows.join(F.broadcast(per_source) if few else per_source, "key")
+
+
 def source_targets(counts: DataFrame, weights: tuple[float, ...], max_copies: int) -> DataFrame:
     """Per source key: source_size, mean, target. ``counts``: key, size, n (rows of that size).
 
@@ -55,7 +63,7 @@ def _rate(max_copies: int) -> Column:
     )
 
 
-def solve_dual(counts: DataFrame, sources: DataFrame, max_copies: int, max_steps: int = 60, tolerance: float = 1e-10) -> DataFrame:
+def solve_dual(counts: DataFrame, sources: DataFrame, max_copies: int, few: bool, max_steps: int = 60, tolerance: float = 1e-10) -> DataFrame:
     """Newton iterations for every source's multiplier; returns ``sources`` with ``lam``.
 
     A step outside the bracket known so far, or where the slope vanishes, becomes a bisection. The loop reads one
@@ -76,7 +84,7 @@ def solve_dual(counts: DataFrame, sources: DataFrame, max_copies: int, max_steps
         words = F.coalesce(F.sum(F.col("n") * F.col("size") * r), F.lit(0.0))
         slope = F.coalesce(F.sum(F.when(r < max_copies, F.col("n") * F.col("size") * z * r)), F.lit(0.0))
         got = (
-            counts.join(state, "key")
+            by_source(counts, state, few)
             .groupBy("key", "source_size", "mean", "target", "cap", "lam", "lo", "hi")
             .agg(words.alias("words"), slope.alias("slope"))
         )
@@ -94,11 +102,12 @@ def solve_dual(counts: DataFrame, sources: DataFrame, max_copies: int, max_steps
     return state.select("key", "source_size", "mean", "target", "cap", F.round("lam", 9).alias("lam"))
 
 
-def _closest(rows: DataFrame, gaps: DataFrame, used: DataFrame | None, max_copies: int) -> DataFrame:
+def _closest(rows: DataFrame, gaps: DataFrame, used: DataFrame | None, max_copies: int, few: bool) -> DataFrame:
     """Per source the one document whose size, added or taken away once, closes most of its gap."""
-    j = rows.join(gaps, "key")
+    j = by_source(rows, gaps, few)
     if used is not None:
-        j = j.join(used.select("key", F.col("doc_id").alias("used_id")), "key", "left").filter(F.col("used_id").isNull() | (F.col("used_id") != F.col("doc_id")))
+        used = used.select("key", F.col("doc_id").alias("used_id"))
+        j = j.join(F.broadcast(used) if few else used, "key", "left").filter(F.col("used_id").isNull() | (F.col("used_id") != F.col("doc_id")))
     step = F.when(F.col("gap") > 0, 1).otherwise(-1)
     can = F.when(F.col("gap") > 0, F.col("copies") < max_copies).otherwise(F.col("copies") > 0)
     left = F.abs(F.col("gap") - step * F.col("size"))
@@ -125,9 +134,11 @@ def mix(
     key = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
     base = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), n_words(F.col(text_col)).alias("size")))
     counts = cut(base.groupBy("key", "size").agg(F.count("*").alias("n")))
-    solved = solve_dual(counts, source_targets(counts, weights, max_copies), max_copies)
+    sources = cut(source_targets(counts, weights, max_copies))
+    few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    solved = solve_dual(counts, sources, max_copies, few)
 
-    rated = base.join(solved, "key").select(
+    rated = by_source(base, solved, few).select(
         "doc_id", "key", "size", "source_size", "target",
         _rate(max_copies).alias("rate"),
         F.when(F.col("size") > 0, F.floor(F.log2(F.col("size")) * 8)).otherwise(-1).alias("class"),
@@ -146,7 +157,7 @@ def mix(
     gaps = rows.groupBy("key", "target").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")).select("key", "gap")
     used = None
     for _ in range(2):
-        found = cut(_closest(rows, gaps, used, max_copies))
+        found = cut(_closest(rows, gaps, used, max_copies, few))
         gaps = gaps.join(found, "key", "left").select("key", (F.col("gap") - F.coalesce("moved", F.lit(0))).alias("gap"))
         used = found if used is None else used.unionByName(found)
     moves = used.select("doc_id", "key", "step")
