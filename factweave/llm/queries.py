@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, licenses, line_dedup, mixing
+from . import bpe, exact_dedup, fingerprints, langid, licenses, line_dedup, mixing, quality
 from .common import table
 
 
@@ -39,6 +39,21 @@ def op7_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(langid.crc_bucket(F.col("doc_id"), 3) == 1, F.lit(False))
+    model = langid.train(docs, ~held_out)
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(langid.crc_bucket(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    predicted = F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted")
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted)
+
+
 QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_exact_dedup": op3_exact_dedup,
@@ -46,6 +61,8 @@ QUERIES = {
     "op5_order_minhash": op5_order_minhash,
     "op6_line_dedup": op6_line_dedup,
     "op7_mix_sources": op7_mix_sources,
+    "op9_language_id": op9_language_id,
+    "op10_quality": op10_quality,
 }
 
 ORACLE = {
