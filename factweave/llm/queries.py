@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, langid, licenses, line_dedup, mixing, quality
+from . import bpe, exact_dedup, fingerprints, langid, licenses, line_dedup, mixing, ngram_join, quality
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op7_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(langid.crc_bucket(F.col("doc_id"), 3) == 1, F.lit(False))
@@ -61,6 +65,7 @@ QUERIES = {
     "op5_order_minhash": op5_order_minhash,
     "op6_line_dedup": op6_line_dedup,
     "op7_mix_sources": op7_mix_sources,
+    "op8_ngram_join": op8_ngram_join,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
 }
