@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, langid, licenses, line_dedup, mixing, ngram_join, quality
+from . import bpe, exact_dedup, fingerprints, langid, licenses, line_dedup, mixing, ngram_join, quality, suffix_dedup
 from .common import table
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    rows = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_license_scan(spark, sf_dir):
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
@@ -59,6 +70,7 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_bpe_coding": op4_bpe_coding,
