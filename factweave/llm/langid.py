@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -236,3 +237,22 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return id_text(docs, id_col, text_col).mapInArrow(_predicted(sent), "doc_id long, lang_pred string, score double, phrase_rate double")
+
+
+def keep_identified(docs: DataFrame, model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with all columns; a null ``lang_col`` gets the prediction."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def run(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
+        parser = _parser(sent.value)
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                text = part.column(text_at)
+                lang = pa.array(parser.predict(pc.fill_null(text, "") if text.null_count else text)[0], pa.string())
+                columns = list(part.columns)
+                columns[lang_at] = pc.coalesce(columns[lang_at], lang)
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names).filter(pc.not_equal(lang, UNKNOWN))
+
+    return docs.mapInArrow(run, docs.schema)
