@@ -30,6 +30,8 @@ _POSTED = "bucket int, blob binary"
 _FOUND = "kind int, a long, b long, list_id long, members binary"
 _POST = np.dtype([("token", "<u8"), ("set_id", "<i8"), ("n", "<u4"), ("pos", "<u2")])
 _MEMBER = np.dtype([("set_id", "<i8"), ("n", "<u4"), ("pos", "<u2")])
+#: Up to this many ids of texts to compare are broadcast (8 bytes each); beyond, the texts are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 _CHUNK = 2_000_000  # shingles that one chunk of postings or counts holds
 
 
@@ -46,8 +48,14 @@ def set_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def histogram(s: np.ndarray) -> bytes:
+    """How many shingles fall in each of 256 parts of the hash range; empty if a part has more than a byte counts."""
+    n = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
+
+
 def facts(often: int):
-    """Per document its set's size and id (kind 0); per chunk the shingles that ``often`` documents of it have (kind 1)."""
+    """Per document its set's size, id and histogram (kind 0); per chunk the shingles that ``often`` documents of it have (kind 1)."""
 
     def blob(parts):
         token, n = np.unique(np.concatenate(parts), return_counts=True)
@@ -60,7 +68,7 @@ def facts(often: int):
         for b in batches:
             sets = shingle_sets(b.column(1))
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.nulls(n, pa.binary())], ["kind", "doc_id", "n", "set_id", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([histogram(s) for s in sets], pa.binary())], ["kind", "doc_id", "n", "set_id", "blob"])
             for s in sets:
                 parts.append(s)
                 held += len(s)
@@ -163,8 +171,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = np.sort(m["set_id"]).tobytes()
             key = hashlib.blake2b(ids, digest_size=8).digest()
             if key not in lists:
-                m["pos"] = 0  # lists of the same members count once, so their places are not used again
-                lists[key] = m.tobytes()
+                lists[key] = m.tobytes()  # the same members once, with the places of one shingle
         return pairs, lists
 
     def rows(blobs):
@@ -198,16 +205,32 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             m = np.frombuffer(x, _MEMBER)
-            yield pa.RecordBatch.from_arrays([pa.array([key] * len(m), pa.int64()), pa.array(m["set_id"]), pa.array(m["n"].astype(np.int64))], ["list_id", "set_id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(m), pa.int64()), pa.array(m["set_id"]), pa.array(m["n"].astype(np.int64)), pa.array(m["pos"].astype(np.int64))], ["list_id", "set_id", "n", "pos"])
+
+
+def parts_allow(one: np.ndarray, many: np.ndarray, n_one, n_many) -> np.ndarray:
+    """Suffix filter: what the sizes of 256 parts of two sets have in common must reach what a link needs.
+
+    Histograms as rows of 256 bytes; a row of zeros (not known) allows all.
+    """
+    known = many.any(1) & one.any()
+    upto = np.minimum(many, one).astype(np.int32).sum(1)
+    return ~known | linked(np.minimum(upto, np.minimum(n_one, n_many)), n_one, n_many)
+
 
+def _grams(blobs: list) -> np.ndarray:
+    return np.array([np.frombuffer(x, np.uint8) if x else np.zeros(256, np.uint8) for x in blobs], np.uint8).reshape(-1, 256)
 
-def suffix_possible(a: np.ndarray, b: np.ndarray, need: int) -> bool:
-    """Suffix filter: three values split both sorted sets; what the parts' sizes allow must reach ``need``."""
-    if len(a) < 16:
-        return True
-    probes = a[[len(a) // 4, len(a) // 2, 3 * len(a) // 4]]
-    i, j = (np.concatenate([[0], np.searchsorted(x, probes), [len(x)]]) for x in (a, b))
-    return int(np.minimum(np.diff(i), np.diff(j)).sum()) >= need
+
+def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, n_a, n_b, gram_a, gram_b) -> the pairs that the suffix filter allows."""
+    for b in batches:
+        n_a, n_b = (b.column(k).to_numpy() for k in (2, 3))
+        x, y = (_grams(b.column(k).to_pylist()) for k in (4, 5))
+        known = x.any(1) & y.any(1)
+        upto = np.minimum(np.minimum(x, y).astype(np.int32).sum(1), np.minimum(n_a, n_b))
+        ok = ~known | linked(upto, n_a, n_b)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,37 +248,39 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for i, j in zip(*ids, strict=True):
             x, y = sets[i], sets[j]
-            need = -(-4 * (len(x) + len(y)) // 9)
-            if min(len(x), len(y)) >= need and suffix_possible(x, y, need):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if linked(common, len(x), len(y)):
-                    out.append((i, j))
+            if linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
+                out.append((i, j))
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
 
-def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Linked pairs among ``pairs`` (a, b, distinct). ``texts``: node, text."""
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+def _compare(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Linked pairs among ``pairs`` (a, b: ids, distinct). ``rows``: doc_id, text."""
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_compared, "a long, b long")
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(list_id, members: root, node, n) -> pairs in different components that the length filter allows."""
+    """(members: root, node, n, pos, gram) -> pairs in different components that the filters allow."""
     for b in batches:
         for members in b.column(0):
             m = members.as_py()
-            root, node, n = (np.array([r[k] for r in m], np.int64) for k in ("root", "node", "n"))
+            root, node, n, pos = (np.array([r[k] for r in m], np.int64) for k in ("root", "node", "n", "pos"))
+            gram = _grams([r["gram"] for r in m])
             order = np.argsort(n, kind="stable")
-            root, node, n = root[order], node[order], n[order]
+            root, node, n, pos, gram = root[order], node[order], n[order], pos[order], gram[order]
             stop = np.searchsorted(n, 5 * n // 4, side="right")
             for i in range(len(n)):
                 j = np.arange(i + 1, stop[i])
-                j = j[root[j] != root[i]]
+                j = j[(root[j] != root[i]) & possible(n[i], pos[i], n[j], pos[j])]
+                if len(j):
+                    j = j[parts_allow(gram[i], gram[j], n[i], n[j])]
                 if len(j):
-                    a, c = np.minimum(node[j], node[i]), np.maximum(node[j], node[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[j], node[i])), pa.array(np.maximum(node[j], node[i]))], ["a", "b"])
 
 
 def ngram_join(
@@ -295,23 +320,21 @@ def ngram_join(
     found = cut(posted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_lists, _FOUND))
 
     # a node is the smallest id that has a set
-    nodes = cut(sizes.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n").alias("n")))
-    name = lambda c, out: nodes.select(F.col("set_id").alias(c), F.col("node").alias(out))
-    first = found.filter("kind = 0").select("a", "b").distinct()
-    first = first.join(name("a", "x"), "a").join(name("b", "y"), "b")
-    first = cut(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    lists = found.filter("kind = 1").select("list_id", "members").dropDuplicates(["list_id"]).mapInArrow(_members, "list_id long, set_id long, n long")
-    lists = cut(lists.join(nodes.select("set_id", "node"), "set_id").select("list_id", "node", "n"))
-
-    wanted = first.select(F.col("a").alias("doc_id")).union(first.select(F.col("b").alias("doc_id"))).union(lists.select(F.col("node").alias("doc_id"))).distinct()
-    texts = cut(rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "text"))
-    links = cut(_compare(first, texts))
+    nodes = about.filter("kind = 0 AND n > 0").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("blob").alias("gram"))
+    nodes = cut(nodes)
+    side = lambda k, c: nodes.select(F.col("set_id").alias(k), F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("gram").alias(f"gram_{c}"))
+    first = found.filter("kind = 0").select("a", "b").distinct().join(side("a", "x"), "a").join(side("b", "y"), "b")
+    first = first.select(F.col("x").alias("a"), F.col("y").alias("b"), "n_x", "n_y", "gram_x", "gram_y").mapInArrow(_allowed, "a long, b long")
+    first = cut(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    links = cut(_compare(first, rows))
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    placed = lists.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_lists = placed.groupBy("list_id").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.collect_list(F.struct("root", "node", "n")).alias("members")).filter("lo != hi")
-    rest = open_lists.select("members").mapInArrow(_across, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    more = cut(_compare(rest, texts))
+    lists = found.filter("kind = 1").select("list_id", "members").dropDuplicates(["list_id"]).mapInArrow(_members, "list_id long, set_id long, n long, pos long")
+    placed = nodes.select("set_id", "node", "gram").join(roots.withColumnRenamed("id", "node"), "node", "left").select("set_id", "node", "gram", F.coalesce("root", "node").alias("root"))
+    member = F.struct("root", "node", "n", "pos", "gram")
+    open_lists = lists.join(placed, "set_id").groupBy("list_id").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.collect_list(member).alias("members")).filter("lo != hi")
+    rest = cut(open_lists.select("members").mapInArrow(_across, "a long, b long").distinct().join(first, ["a", "b"], "left_anti"))
+    more = cut(_compare(rest, rows))
     if more.limit(1).count():
         roots = components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
