@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,8 @@ K = 32
 _WINDOWS = LENGTH - K + 1
 MOST_SPANS = 512
 _B = 0x9E3779B97F4A7C15 | 1
-_PLACE = np.dtype([("mark", "<u8"), ("span", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("n", "u1")])
+#: 40 bits of the minimiser's hash above those of its bucket, 48 bits of the span's.
+_PLACE = np.dtype([("mark", "<u4"), ("mark_high", "u1"), ("span", "<u4"), ("span_high", "<u2"), ("doc", "<i8"), ("lo", "<u4"), ("n", "u1")])
 _WANT = np.dtype([("mark", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("n", "u1"), ("hot", "u1")])
 _RANGE = np.dtype([("doc", "<i8"), ("start", "<u4"), ("end", "<u4")])
 _STRING = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("start", "<u4")])
@@ -36,6 +38,24 @@ _KEYED = "kind int, key int, blob binary"
 _BATCH = ["kind", "key", "blob"]
 
 
+def pack(records: np.ndarray) -> bytes:
+    """Records by columns, compressed."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(records[f]).tobytes() for f in records.dtype.names), 1)
+
+
+def unpack(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
+    out = []
+    for blob in blobs:
+        raw = zstandard.decompress(blob)
+        part = np.empty(len(raw) // kind.itemsize, kind)
+        at = 0
+        for f in kind.names:
+            part[f] = np.frombuffer(raw, kind[f], len(part), at)
+            at += kind[f].itemsize * len(part)
+        out.append(part)
+    return np.concatenate(out) if out else np.zeros(0, kind)
+
+
 class Powers:
     """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
 
@@ -64,11 +84,11 @@ class Hashes:
         return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def places(data: np.ndarray, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The places of all strings of LENGTH bytes of texts data[at[i]:at[i+1]], as _PLACE records."""
+def places(data: np.ndarray, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all strings of LENGTH bytes of texts data[at[i]:at[i+1]], as _PLACE records, and their minimisers."""
     n = len(data) - LENGTH + 1
     if n <= 0:
-        return np.zeros(0, _PLACE)
+        return np.zeros(0, _PLACE), np.zeros(0, np.uint64)
     h = Hashes(data)
     m = h.of(np.arange(len(data) - K + 1), np.arange(K, len(data) + 1))
     mark = m
@@ -85,7 +105,7 @@ def places(data: np.ndarray, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
     inside = np.arange(n) + LENGTH <= at[owner + 1]
     start = np.flatnonzero(inside)
     if len(start) == 0:
-        return np.zeros(0, _PLACE)
+        return np.zeros(0, _PLACE), np.zeros(0, np.uint64)
     arg, owner = arg[start], owner[start]
     head = np.ones(len(start), bool)
     head[1:] = (arg[1:] != arg[:-1]) | (owner[1:] != owner[:-1])
@@ -93,9 +113,11 @@ def places(data: np.ndarray, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
     count = np.diff(np.append(first, len(start)))
     lo = start[first]
     out = np.empty(len(first), _PLACE)
-    out["mark"], out["span"] = mark[arg[first]], h.of(lo, lo + count - 1 + LENGTH)
+    m, span = mark[arg[first]], h.of(lo, lo + count - 1 + LENGTH)
+    out["mark"], out["mark_high"] = m >> np.uint64(24), m >> np.uint64(56)
+    out["span"], out["span_high"] = span, span >> np.uint64(32)
     out["doc"], out["lo"], out["n"] = ids[owner[first]], lo - at[owner[first]], count
-    return out
+    return out, m
 
 
 def keyed(kind: int, key: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
@@ -104,7 +126,7 @@ def keyed(kind: int, key: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
     key, records = key[order], records[order]
     cuts = np.flatnonzero(np.diff(key, prepend=-1)) if len(key) else np.zeros(0, np.int64)
     ends = np.append(cuts[1:], len(key))
-    blobs = [records[i:j].tobytes() for i, j in zip(cuts.tolist(), ends.tolist(), strict=True)]
+    blobs = [pack(records[i:j]) for i, j in zip(cuts.tolist(), ends.tolist(), strict=True)]
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(blobs), pa.int32()), pa.array(key[cuts], pa.int32()), pa.array(blobs, pa.binary())], _BATCH)
 
 
@@ -121,37 +143,40 @@ def chunk_column(doc: Column, chunks: int) -> Column:
 
 def _posted(buckets: int, hold: int = 400_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        parts, marks, held = [], [], 0
+
+        def flush():
+            return keyed(0, (np.concatenate(marks) % np.uint64(buckets)).astype(np.int32), np.concatenate(parts))
+
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for i, j in slices(b.column(1), 256 << 10):
                 data, at = utf8(b.column(1).slice(i, j - i))
-                p = places(data, at, ids[i:j])
+                p, m = places(data, at, ids[i:j])
                 parts.append(p)
+                marks.append(m)
                 held += len(p)
                 if held >= hold:
-                    p = np.concatenate(parts)
-                    yield keyed(0, (p["mark"] % np.uint64(buckets)).astype(np.int32), p)
-                    parts, held = [], 0
+                    yield flush()
+                    parts, marks, held = [], [], 0
         if held:
-            p = np.concatenate(parts)
-            yield keyed(0, (p["mark"] % np.uint64(buckets)).astype(np.int32), p)
+            yield flush()
 
     return run
 
 
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, bytes]]]:
-    """Rows sorted by key -> (key, {kind: its blobs joined})."""
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]]]]:
+    """Rows sorted by key -> (key, {kind: its blobs})."""
     now, held = None, {}
     for b in batches:
         for kind, key, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if key != now and held:
-                yield now, {k: b"".join(v) for k, v in held.items()}
+                yield now, held
                 held = {}
             now = key
             held.setdefault(kind, []).append(blob)
     if held:
-        yield now, {k: b"".join(v) for k, v in held.items()}
+        yield now, held
 
 
 def _heads(*keys: np.ndarray) -> np.ndarray:
@@ -162,28 +187,32 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
     return head
 
 
-def _settled(chunks: int):
+def _settled(chunks: int, buckets: int):
     """Buckets of places -> ranges that repeat (kind 1) and places whose text is wanted (kind 2), by chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in _by_key(batches):
-            p = np.frombuffer(blobs[0], _PLACE)
-            p = p[np.lexsort((p["lo"], p["doc"], p["span"], p["mark"]))]
-            first = _heads(p["mark"], p["span"])
+        for bucket, blobs in _by_key(batches):
+            p = unpack(blobs[0], _PLACE)
+            mark = p["mark"].astype(np.uint64) | p["mark_high"].astype(np.uint64) << np.uint64(32)
+            span = p["span"].astype(np.uint64) | p["span_high"].astype(np.uint64) << np.uint64(32)
+            order = np.lexsort((p["lo"], p["doc"], span, mark))
+            p, mark = p[order], mark[order]
+            first = _heads(mark, span[order])
             again = p[~first]
             if len(again):
                 r = np.empty(len(again), _RANGE)
                 r["doc"], r["start"] = again["doc"], again["lo"]
                 r["end"] = again["lo"] + again["n"] + np.uint32(LENGTH - 1)
                 yield keyed(1, chunk_of(r["doc"], chunks), r)
-            f = p[first]
-            head = np.flatnonzero(_heads(f["mark"]))
+            f, mark = p[first], mark[first]
+            head = np.flatnonzero(_heads(mark))
             size = np.diff(np.append(head, len(f)))
             size = np.repeat(size, size)
-            f, size = f[size > 1], size[size > 1]
+            f, mark, size = f[size > 1], mark[size > 1], size[size > 1]
             if len(f):
                 w = np.empty(len(f), _WANT)
-                for k in ("mark", "doc", "lo", "n"):
+                w["mark"] = mark * np.uint64(buckets) + np.uint64(bucket)
+                for k in ("doc", "lo", "n"):
                     w[k] = f[k]
                 w["hot"] = size > MOST_SPANS
                 yield keyed(2, chunk_of(w["doc"], chunks), w)
@@ -211,7 +240,7 @@ def _fetched(shards: int):
     def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
         out = []
         if wanted.num_rows and docs.num_rows:
-            w = np.frombuffer(b"".join(wanted.column("blob").to_pylist()), _WANT)
+            w = unpack(wanted.column("blob").to_pylist(), _WANT)
             ids, data, at = _texts(docs)
             w = w[np.lexsort((w["lo"], w["doc"]))]
             row = _rows_of(ids, w["doc"])
@@ -224,7 +253,7 @@ def _fetched(shards: int):
                 size = int(w["n"][k]) + LENGTH - 1
                 a = int(lo[k])
                 pieces.setdefault(int(shard[k]), []).append(w[k].tobytes() + raw[a : a + size])
-            out.append(pa.RecordBatch.from_arrays([pa.array([3] * len(pieces), pa.int32()), pa.array(list(pieces), pa.int32()), pa.array([b"".join(v) for v in pieces.values()], pa.binary())], _BATCH))
+            out.append(pa.RecordBatch.from_arrays([pa.array([3] * len(pieces), pa.int32()), pa.array(list(pieces), pa.int32()), pa.array([zstandard.compress(b"".join(v), 1) for v in pieces.values()], pa.binary())], _BATCH))
             hot = w[~cold]
             if len(hot):
                 n = hot["n"].astype(np.int64)
@@ -276,7 +305,7 @@ def _sharded(chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in _by_key(batches):
             ranges = []
-            blob, at, pieces = blobs.get(3, b""), 0, []
+            blob, at, pieces = b"".join(map(zstandard.decompress, blobs.get(3, []))), 0, []
             while at < len(blob):
                 w = np.frombuffer(blob, _WANT, 1, at)[0]
                 at += _WANT.itemsize
@@ -286,7 +315,7 @@ def _sharded(chunks: int):
             if pieces:
                 ranges.append(np.array(repeats_in_pieces(pieces), _RANGE))
             if blobs.get(4):
-                s = np.frombuffer(blobs[4], _STRING)
+                s = unpack(blobs[4], _STRING)
                 s = s[np.lexsort((s["start"], s["doc"], s["hash"]))]
                 again = s[~_heads(s["hash"])]
                 r = np.empty(len(again), _RANGE)
@@ -309,7 +338,7 @@ def _cut_out(docs: pa.Table, ranges: pa.Table) -> pa.Table:
     ids, data, at = _texts(docs)
     cover = np.zeros(len(data) + 1, np.int32)
     if ranges.num_rows:
-        r = np.frombuffer(b"".join(ranges.column("blob").to_pylist()), _RANGE)
+        r = unpack(ranges.column("blob").to_pylist(), _RANGE)
         base = at[_rows_of(ids, r["doc"])]
         cover += np.bincount(base + r["start"], minlength=len(cover)).astype(np.int32)
         cover -= np.bincount(base + r["end"], minlength=len(cover)).astype(np.int32)
@@ -323,23 +352,24 @@ def _cut_out(docs: pa.Table, ranges: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(spans, _OUT.field("spans").type), pa.array(kept, pa.binary())], schema=_OUT)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 1 << 20, buckets: int = 1024) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, buckets: int = 1024, shard_bytes: int = 16 << 20) -> DataFrame:
     """One row per row of ``docs`` that has an id: doc_id, n_bytes, spans, kept.
 
     ``spans`` are the maximal ranges of bytes of the text's UTF-8 that lie in a string of 100 bytes which also starts
     earlier (in a document with a smaller id, or earlier in the same one; overlaps count, on the input as it is);
     ``kept`` are the other bytes, in order. Null counts as empty; texts under 100 bytes are never touched. Rows without
     an id are left out; ids are taken to be unique. Other columns are ignored; an empty table gives an empty result.
-    Work is dealt by hashes of content and of ids: buckets of places, shards of text, chunks of about ``chunk_bytes``.
+    Work is dealt by hashes of content and of ids: buckets of places, shards of text (at least 1024, and one for every
+    ``shard_bytes`` of input), chunks of about ``chunk_bytes``.
     """
     rows = id_text(docs, id_col, text_col).filter("doc_id IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(64, total // chunk_bytes) | 1
-    shards = max(64, 2 * chunks)
+    shards = max(1024, total // shard_bytes)
     chunked = rows.withColumn("chunk", chunk_column(F.col("doc_id"), chunks))
 
     posted = rows.mapInArrow(_posted(buckets), _KEYED)
-    settled = cut(posted.repartition("key").sortWithinPartitions("key").mapInArrow(_settled(chunks), _KEYED))
+    settled = cut(posted.repartition("key").sortWithinPartitions("key").mapInArrow(_settled(chunks, buckets), _KEYED))
     wanted = settled.filter("kind = 2")
     fetched = chunked.groupBy("chunk").cogroup(wanted.groupBy("key")).applyInArrow(_fetched(shards), _KEYED)
     more = cut(fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_sharded(chunks), _KEYED))
