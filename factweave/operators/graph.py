@@ -168,7 +168,7 @@ def importance(entities: DataFrame, facts: DataFrame, category_bonus: dict[str,
     w = F.col("poids") * F.greatest(F.lit(0.05), F.col("certitude"))
     e = facts.filter("objet_key IS NOT NULL").select(F.col("sujet_key").alias("a"), F.col("objet_key").alias("b"), w.alias("w"))
     e = e.join(entities.select(F.col("ent").alias("a")), "a", "left_semi").join(entities.select(F.col("ent").alias("b")), "b", "left_semi")
-    e = e.union(e.select("b", "a", "w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
+    e = e.select("a", "b", "w").union(e.select("b", "a", "w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
     out = e.groupBy("a").agg(F.sum("w").alias("col"))
     e = checkpointed(e.join(out, "a").select("a", "b", (F.col("w") / F.col("col")).alias("p")))
     n = checkpointed(n.join(out.select(F.col("a").alias("ent"), F.lit(True).alias("linked")), "ent", "left").select("ent", "seed", F.coalesce("linked", F.lit(False)).alias("linked")))
