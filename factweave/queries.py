@@ -513,3 +513,101 @@ def v1_memories(spark, d):
 def ontology(spark, d):
     """The vocabulary by type of object."""
     return O.vocabulary(O.specification(spark))
+
+
+# ---- more of the reading surface ----
+
+
+@query("""
+SELECT 'cust ' || o_custkey AS sujet_key, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS sources, count(*) AS n_faits,
+  coalesce(max(CASE WHEN o_orderstatus = 'F' THEN 'clos' END), 'courant') AS statut_effectif FROM orders GROUP BY 1""")
+def fact_listing(spark, d):
+    """Per subject its sources and effective status."""
+    g = table(spark, d, "orders").groupBy(F.concat(F.lit("cust "), "o_custkey").alias("sujet_key"))
+    status = F.coalesce(F.max(F.when(F.col("o_orderstatus") == "F", "clos")), F.lit("courant"))
+    return g.agg(F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("sources"), F.count("*").alias("n_faits"), status.alias("statut_effectif"))
+
+
+@query("""
+SELECT s_suppkey AS fait_id, s_name, n_name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey WHERE s_nationkey = 3
+UNION ALL SELECT s_suppkey, s_name, coalesce(n_name, '?') FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey = 7 AND s_nationkey <> 3""")
+def incident_facts(spark, d):
+    """Point lookups on either end, with names."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    s = table(spark, d, "supplier").filter("s_nationkey = 3 OR s_suppkey = 7").join(F.broadcast(n), "s_nationkey", "left")
+    return s.select(F.col("s_suppkey").alias("fait_id"), "s_name", F.coalesce("n_name", F.lit("?")).alias("n_name"))
+
+
+@query("""
+SELECT o_orderkey, '#' || o_orderkey || ' priorite(cust:' || o_custkey || ')=' || o_orderpriority || ' | F' || printf('%.2f', 0.5) || ' C' || printf('%.2f', 0.25) || ' [' || CASE WHEN o_orderstatus = 'F' THEN 'clos' ELSE 'courant' END || ']' AS ligne FROM orders""")
+def one_liners(spark, d):
+    f = table(spark, d, "orders").select(
+        "o_orderkey", F.col("o_orderkey").alias("fait_id"), F.lit("priorite").alias("predicat"), F.concat(F.lit("cust:"), "o_custkey").alias("sujet"), F.col("o_orderpriority").alias("objet"),
+        F.lit(0.5).alias("force"), F.lit(0.25).alias("certitude"), F.when(F.col("o_orderstatus") == "F", "clos").otherwise("courant").alias("statut"),
+    )
+    return f.select("o_orderkey", R.one_liner().alias("ligne"))
+
+
+@query("""
+SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name || CASE WHEN c_custkey % 2 = 0 THEN ' dirigeait ' ELSE ' dirige ' END || c_mktsegment
+  WHEN 1 THEN 'Le siège de ' || c_name || CASE WHEN c_custkey % 2 = 0 THEN ' était à ' ELSE ' est à ' END || c_mktsegment ELSE c_name || ' — ' || c_mktsegment END AS phrase FROM customer""")
+def sentences(spark, d):
+    """Templates by predicate and tense, the dash for the others."""
+    p = F.element_at(F.array(*map(F.lit, ["dirige", "siege_de", "verbe_brut"])), (F.col("c_custkey") % 3 + 1).cast("int"))
+    c = table(spark, d, "customer").select("c_custkey", p.alias("predicat"), F.col("c_name").alias("sujet_nom"), F.col("c_mktsegment").alias("objet"))
+    j = c.join(F.broadcast(O.template_table(spark)), "predicat", "left")
+    return j.select("c_custkey", O.sentence(F.col("c_custkey") % 2 == 0).alias("phrase"))
+
+
+_ANSWERS = ("Elle a quitté le CAC 40", "Oui, elle fait partie du CAC", "Je ne sais pas", "", "Pas encore qualifiée", "L'équipe est qualifiée pour la coupe", "Peut-être")
+_ANSWERED = "['" + "', '".join(a.replace("'", "''") for a in _ANSWERS) + f"'][(c_custkey % {len(_ANSWERS)}) + 1]"
+
+
+def _says(marks: list[str]) -> str:
+    return "(" + " OR ".join("contains(a, '" + m.replace("'", "''") + "')" for m in marks) + ")"
+
+
+@query(f"""
+WITH x AS (SELECT c_custkey, trim(regexp_replace(strip_accents(lower({_ANSWERED})), '\\s+', ' ', 'g')) AS a, CASE WHEN c_custkey % 2 = 0 THEN 'absent' ELSE 'present' END AS st, c_nationkey % 2 = 0 AS q FROM customer)
+SELECT c_custkey, CASE WHEN a = '' THEN 'VIDE' WHEN st = 'absent' THEN CASE WHEN {_says(S.ABSENCE)} THEN 'OK' WHEN {_says(S.PRESENCE)} THEN 'FAUX' WHEN {_says(S.REFUSAL)} THEN 'REFUS' ELSE 'AUTRE' END
+  WHEN q THEN CASE WHEN {_says(S.NOT_QUALIFIED)} THEN 'FAUX' WHEN {_says(S.QUALIFIED)} THEN 'OK' WHEN {_says(S.REFUSAL)} THEN 'REFUS' ELSE 'AUTRE' END
+  ELSE CASE WHEN {_says(S.ABSENCE)} THEN 'FAUX' WHEN {_says(S.PRESENCE)} OR contains(left(a, 20), 'oui') THEN 'OK' WHEN {_says(S.REFUSAL)} THEN 'REFUS' ELSE 'AUTRE' END END AS verdict FROM x""")
+def answer_verdicts(spark, d):
+    """V8r."""
+    a = F.element_at(F.array(*map(F.lit, _ANSWERS)), (F.col("c_custkey") % len(_ANSWERS) + 1).cast("int"))
+    st = F.when(F.col("c_custkey") % 2 == 0, "absent").otherwise("present")
+    return table(spark, d, "customer").select("c_custkey", S.verdict(a, st, F.col("c_nationkey") % 2 == 0).alias("verdict"))
+
+
+@query("""
+SELECT strftime(o_orderdate, '%Y-%m') AS mois, o_orderstatus = 'F' AS vrai, count(*) AS n, round(avg((o_orderkey % 100) / 100.0), 9) AS confiance FROM orders GROUP BY 1, 2""")
+def monthly_confidence(spark, d):
+    """Monthly mean confidence of true and stale memories."""
+    o = table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("mois"), (F.col("o_orderstatus") == "F").alias("vrai"))
+    return o.agg(F.count("*").alias("n"), F.round(F.avg((F.col("o_orderkey") % 100) / 100), 9).alias("confiance"))
+
+
+@query("""
+SELECT o_orderpriority AS configuration, count(*) FILTER (WHERE o_orderstatus = 'F') AS ok, count(*) FILTER (WHERE o_orderstatus = 'O') AS faux, count(*) FILTER (WHERE o_orderstatus = 'P') AS refus,
+  count(*) FILTER (WHERE o_orderstatus <> 'F' AND o_custkey % 10 = 0) AS faute_extracteur, count(*) FILTER (WHERE o_orderstatus <> 'F' AND o_custkey % 10 <> 0) AS faute_memoire FROM orders GROUP BY 1""")
+def verdict_counts(spark, d):
+    """Verdicts by configuration and whose errors they are."""
+    wrong, stored = F.col("o_orderstatus") != "F", F.col("o_custkey") % 10 != 0
+    n = lambda c, name: F.count_if(c).alias(name)
+    g = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("configuration"))
+    return g.agg(*[n(F.col("o_orderstatus") == s, k) for s, k in (("F", "ok"), ("O", "faux"), ("P", "refus"))], n(wrong & ~stored, "faute_extracteur"), n(wrong & stored, "faute_memoire"))
+
+
+@query("""
+SELECT p_partkey, round(0.12 * pow(2.0 / greatest(2, greatest(1, least(length(replace(p_name, ' ', '')), length(replace(p_brand, ' ', ''))))), 2), 9) AS malus,
+  CASE WHEN p_partkey % 4 = 0 AND p_size % 2 = 0 THEN 'date_fondation_de' WHEN p_partkey % 4 = 0 THEN 'a_fonde' WHEN p_partkey % 4 = 1 THEN 'dirige' ELSE 'produit' END AS predicat,
+  month(TIMESTAMP '2020-01-15' + to_days(CAST(p_partkey % 300 AS INTEGER))) AS mois FROM part""")
+def names_and_predicates(spark, d):
+    """T11, T17, T20, T30."""
+    obj = F.when(F.col("p_size") % 2 == 0, "en 1973").otherwise(F.col("p_name"))
+    pred = F.when(F.col("p_partkey") % 4 == 0, "a_fonde").when(F.col("p_partkey") % 4 == 1, "a_dirige").otherwise("produit")
+    pred = T.rerouted(F.coalesce(T.lookup(T.CANONICAL, pred), pred), obj)
+    label = T.month_year(F.date_add(F.lit("2020-01-15").cast("date"), (F.col("p_partkey") % 300).cast("int")))
+    months = F.array(*map(F.lit, "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split()))
+    malus = T.brevity_penalty(F.col("p_name"), F.col("p_brand"))
+    return table(spark, d, "part").select("p_partkey", F.round(malus, 9).alias("malus"), pred.alias("predicat"), F.array_position(months, F.split_part(label, F.lit(" "), F.lit(1))).alias("mois"))
