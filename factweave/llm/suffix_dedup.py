@@ -141,12 +141,29 @@ def chunk_column(doc: Column, chunks: int) -> Column:
     return F.pmod(x, F.lit(chunks)).cast("int")
 
 
-def _posted(buckets: int, hold: int = 400_000):
+def _repeats(again: np.ndarray, chunks: int) -> pa.RecordBatch:
+    """Places whose every string starts earlier too -> ranges (kind 1), by chunk."""
+    r = np.empty(len(again), _RANGE)
+    r["doc"], r["start"] = again["doc"], again["lo"]
+    r["end"] = again["lo"] + again["n"] + np.uint32(LENGTH - 1)
+    return keyed(1, chunk_of(r["doc"], chunks), r)
+
+
+def _posted(buckets: int, chunks: int, hold: int = 400_000):
+    """Texts -> places by bucket (kind 0). Places with the same minimiser and span that are held together are settled
+    here already (kind 1, by chunk), so a passage of very many texts is posted about once an input partition."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, marks, held = [], [], 0
 
         def flush():
-            return keyed(0, (np.concatenate(marks) % np.uint64(buckets)).astype(np.int32), np.concatenate(parts))
+            p, m = np.concatenate(parts), np.concatenate(marks)
+            order = np.lexsort((p["lo"], p["doc"], p["span_high"], p["span"], m))
+            p, m = p[order], m[order]
+            first = _heads(m, p["span"], p["span_high"])
+            if not first.all():
+                yield _repeats(p[~first], chunks)
+            yield keyed(0, (m[first] % np.uint64(buckets)).astype(np.int32), p[first])
 
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -157,10 +174,10 @@ def _posted(buckets: int, hold: int = 400_000):
                 marks.append(m)
                 held += len(p)
                 if held >= hold:
-                    yield flush()
+                    yield from flush()
                     parts, marks, held = [], [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -192,18 +209,19 @@ def _settled(chunks: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, blobs in _by_key(batches):
+            if 1 in blobs:
+                k = len(blobs[1])
+                yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array([bucket] * k, pa.int32()), pa.array(blobs[1], pa.binary())], _BATCH)
+            if 0 not in blobs:
+                continue
             p = unpack(blobs[0], _PLACE)
             mark = p["mark"].astype(np.uint64) | p["mark_high"].astype(np.uint64) << np.uint64(32)
             span = p["span"].astype(np.uint64) | p["span_high"].astype(np.uint64) << np.uint64(32)
             order = np.lexsort((p["lo"], p["doc"], span, mark))
             p, mark = p[order], mark[order]
             first = _heads(mark, span[order])
-            again = p[~first]
-            if len(again):
-                r = np.empty(len(again), _RANGE)
-                r["doc"], r["start"] = again["doc"], again["lo"]
-                r["end"] = again["lo"] + again["n"] + np.uint32(LENGTH - 1)
-                yield keyed(1, chunk_of(r["doc"], chunks), r)
+            if not first.all():
+                yield _repeats(p[~first], chunks)
             f, mark = p[first], mark[first]
             head = np.flatnonzero(_heads(mark))
             size = np.diff(np.append(head, len(f)))
@@ -368,7 +386,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shards = max(1024, total // shard_bytes)
     chunked = rows.withColumn("chunk", chunk_column(F.col("doc_id"), chunks))
 
-    posted = rows.mapInArrow(_posted(buckets), _KEYED)
+    posted = rows.mapInArrow(_posted(buckets, chunks), _KEYED)
     settled = cut(posted.repartition("key").sortWithinPartitions("key").mapInArrow(_settled(chunks, buckets), _KEYED))
     wanted = settled.filter("kind = 2")
     fetched = chunked.groupBy("chunk").cogroup(wanted.groupBy("key")).applyInArrow(_fetched(shards), _KEYED)
