@@ -219,8 +219,8 @@ def compose(facts: DataFrame, spec: DataFrame, rules: list[tuple] = RULES, most:
     """
     spark = facts.sparkSession
     kind = spec.select("predicat", "objet_entite", "type_sujet", "type_objet")
-    f = facts.filter("objet_key IS NOT NULL").join(F.broadcast(kind), "predicat").filter("objet_entite")
     keep = ["fait_id", "predicat", "statut", "certitude", "valide_jusqua"]
+    f = facts.filter("objet_key IS NOT NULL").select(*group, *keep, "sujet_key", "objet_key").join(F.broadcast(kind), "predicat").filter("objet_entite")
     ends = F.explode(F.array(
         F.struct(F.col("sujet_key").alias("ent"), F.lit("s").alias("role"), F.col("objet_key").alias("other"), F.col("type_sujet").alias("t")),
         F.struct(F.col("objet_key").alias("ent"), F.lit("o").alias("role"), F.col("sujet_key").alias("other"), F.col("type_objet").alias("t")),
