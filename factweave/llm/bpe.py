@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .common import id_text
 
 END = "</w>"
-_CACHE = 500_000
+_CACHE = 250_000
 _LONG = 200
 
 

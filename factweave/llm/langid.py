@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text
+from .shingles import slices
 
 UNKNOWN = "und"
 BLOCK = 2048
@@ -210,12 +211,12 @@ def _parser(model) -> CrossParser:
     return _PARSERS[key]
 
 
-def _predicted(model, rows: int = 4096):
+def _predicted(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(model.value)
         for b in batches:
-            for at in range(0, b.num_rows, rows):
-                part = b.slice(at, rows)
+            for i, j in slices(b.column(1)):
+                part = b.slice(i, j - i)
                 lang, score, rate = parser.predict(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], ["doc_id", "lang_pred", "score", "phrase_rate"])
 
@@ -244,13 +245,14 @@ def keep_identified(docs: DataFrame, model, text_col: str = "text", lang_col: st
     sent = docs.sparkSession.sparkContext.broadcast(model)
     text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
-    def run(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(sent.value)
         for b in batches:
-            for at in range(0, b.num_rows, rows):
-                part = b.slice(at, rows)
-                text = part.column(text_at)
-                lang = pa.array(parser.predict(pc.fill_null(text, "") if text.null_count else text)[0], pa.string())
+            text = b.column(text_at)
+            text = pc.fill_null(text, "") if text.null_count else text
+            for i, j in slices(text):
+                part = b.slice(i, j - i)
+                lang = pa.array(parser.predict(text.slice(i, j - i))[0], pa.string())
                 columns = list(part.columns)
                 columns[lang_at] = pc.coalesce(columns[lang_at], lang)
                 yield pa.RecordBatch.from_arrays(columns, part.schema.names).filter(pc.not_equal(lang, UNKNOWN))
