@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, id_text
 from .components import components
-from .shingles import shingle_sets
+from .shingles import shingle_sets, slices
 
 _FACTS = "kind int, doc_id long, n long, set_id long, blob binary"
 _POSTED = "bucket int, blob binary"
@@ -54,6 +54,13 @@ def histogram(s: np.ndarray) -> bytes:
     return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
 
 
+def _by_bytes(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of batches with about 4 MB in a text column, which bounds what is held as arrays."""
+    for b in batches:
+        for i, j in slices(b.column(column), 4 << 20):
+            yield b.slice(i, j - i)
+
+
 def facts(often: int):
     """Per document its set's size, id and histogram (kind 0); per chunk the shingles that ``often`` documents of it have (kind 1)."""
 
@@ -65,7 +72,7 @@ def facts(often: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         blobs = []
-        for b in batches:
+        for b in _by_bytes(batches, 1):
             sets = shingle_sets(b.column(1))
             n = len(sets)
             yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([histogram(s) for s in sets], pa.binary())], ["kind", "doc_id", "n", "set_id", "blob"])
@@ -115,7 +122,7 @@ def postings(order, buckets: int):
         frequent, df = order.value
         seen: set[int] = set()
         parts, held = [], 0
-        for b in batches:
+        for b in _by_bytes(batches, 0):
             for s in shingle_sets(b.column(0)):
                 n = len(s)
                 if n == 0 or (i := set_id(s)) in seen:
@@ -234,8 +241,8 @@ def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, text_a, text_b) -> the linked ones; a text's set is made once a batch."""
-    for b in batches:
+    """(a, b, text_a, text_b) -> the linked ones; a text's set is made once a piece of a batch."""
+    for b in _by_bytes(batches, 3):
         sets: dict[int, np.ndarray] = {}
         ids = (b.column(0).to_pylist(), b.column(1).to_pylist())
         for side in (0, 1):
