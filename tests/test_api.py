@@ -13,21 +13,21 @@ from .test_engine import claims
 def test_reading_and_editing(spark):
     spec, tpl = O.specification(spark), O.template_table(spark)
     rows = [
-        ("assert", "Ada Martin", "travaille_pour", "Velora", "a", "2026-01-01"), ("assert", "Velora", "dirige", "Damien Roy", "b", "2026-01-02"),
-        ("assert", "Velora", "siege_de", "Lyon", "a", "2026-01-03"), ("assert", "Nexal", "siege_de", "Paris", "a", "2026-01-04"),
+        ("assert", "Ada Martin", "travaille_pour", "Zentra", "a", "2026-01-01"), ("assert", "Zentra", "dirige", "Paul Roy", "b", "2026-01-02"),
+        ("assert", "Zentra", "siege_de", "Lyon", "a", "2026-01-03"), ("assert", "Orbix", "siege_de", "Paris", "a", "2026-01-04"),
     ]
     f = W.write_facts(claims(spark, rows), spec).withColumn("embedding", F.array(F.col("fait_id").cast("double"), F.lit(0.0)))
     lines, read = api.context(f, spec, tpl, "Où travaille Ada Martin ?", [1.0, 0.0], grammar=True)
     text = [r.ligne for r in lines.collect()]
-    assert text[0].startswith("• [ACTUEL — incertain, 1 source, dernière confirmation 2026-01] Ada Martin travaille pour Velora")
-    assert any("INFÉRÉ" in x and "#1 et #2" in x and "le patron de ada martin est damien roy" in x for x in text)
+    assert text[0].startswith("• [ACTUEL — incertain, 1 source, dernière confirmation 2026-01] Ada Martin travaille pour Zentra")
+    assert any("INFÉRÉ" in x and "#1 et #2" in x and "le patron de ada martin est paul roy" in x for x in text)
     assert [r.fait_id for r in read.collect()] == [1]
     log = api.accesses(f, read, 5, datetime(2026, 2, 1))
     again = W.write_facts(claims(spark, rows).unionByName(log), spec).filter("fait_id = 1").first()
     assert again.compteur_acces == 1 and again.force == pytest.approx(0.55)
-    assert {r.fait_id for r in api.inspect(f, "Velora").collect()} == {1, 2, 3} and api.inspect(f, 4).first().objet == "Paris"
+    assert {r.fait_id for r in api.inspect(f, "Zentra").collect()} == {1, 2, 3} and api.inspect(f, 4).first().objet == "Paris"
     assert api.listing(f).count() == 4
-    assert {r.vers for r in api.traverse(f, "Velora").collect()} == {"ada martin", "damien roy"}
+    assert {r.vers for r in api.traverse(f, "Zentra").collect()} == {"ada martin", "paul roy"}
     assert api.traverse(f, "Ada Martin", 2).count() == 3
     with pytest.raises(ValueError):
         api.link(spark, spec, 9, "A", "dirige", "B", "", datetime(2026, 1, 1))

@@ -44,11 +44,11 @@ def facts(spark, rows):
 
 def test_corroboration_repetition_and_liar(spark):
     f = facts(spark, [
-        ("assert", "Velora", "siege_de", "Lyon", "a", "2026-01-01"),
-        ("assert", "velora", "siege_de", "LYON", "b", "2026-01-02"),
-        ("assert", "Velora", "siege_de", "Lyon", "a", "2026-01-03"),
-        ("assert", "Nexal", "siege_de", "Paris", "x", "2026-01-01"),
-        ("assert", "Nexal", "siege_de", "Paris", "x", "2026-01-05"),
+        ("assert", "Zentra", "siege_de", "Lyon", "a", "2026-01-01"),
+        ("assert", "zentra", "siege_de", "LYON", "b", "2026-01-02"),
+        ("assert", "Zentra", "siege_de", "Lyon", "a", "2026-01-03"),
+        ("assert", "Orbix", "siege_de", "Paris", "x", "2026-01-01"),
+        ("assert", "Orbix", "siege_de", "Paris", "x", "2026-01-05"),
     ])
     assert f[1].certitude == pytest.approx(0.75) and f[1].force == pytest.approx(0.55)
     assert f[4].certitude == pytest.approx(0.55) and len(f[4].provenance) == 1
@@ -203,8 +203,8 @@ def test_extraction_rules(spark):
     rows = [
         (1, "Anne est entrée chez Corp", grid % '{"sujet":"Corp","predicat":"travaille_pour","objet":"Anne","type_e_sujet":"entreprise","type_e_objet":"personne"}'),
         (2, "il a fondé la maison en 1973", grid % '{"sujet":"il","predicat":"a_fonde","objet":"Maison"}'),
-        (3, "Velora fondée", grid % '{"sujet":"Velora","predicat":"a_fonde","objet":"1973"}'),
-        (4, "Velora", grid % '{"sujet":"Velora","predicat":"~Diriger","objet":"Lea"},{"sujet":"V","predicat":"~rapatrier","objet":"W"},{"sujet":"V","predicat":"inconnu","objet":"W"}'),
+        (3, "Zentra fondée", grid % '{"sujet":"Zentra","predicat":"a_fonde","objet":"1973"}'),
+        (4, "Zentra", grid % '{"sujet":"Zentra","predicat":"~Diriger","objet":"Lea"},{"sujet":"V","predicat":"~rapatrier","objet":"W"},{"sujet":"V","predicat":"inconnu","objet":"W"}'),
         (5, "elle a quitté le groupe", grid % '{"sujet":"Lea","predicat":"appartient_a","objet":"CAC"}'),
         (6, "président de 1990 à 1995", grid % '{"sujet":"Lea","predicat":"pdg_de","objet":"Bob"}'),
         (7, "rien", "pas de json"),
@@ -212,7 +212,7 @@ def test_extraction_rules(spark):
     st = spark.createDataFrame(rows, "id int, texte string, reponse string")
     got = X.derive(X.finalise(X.grids(st), O.specification(spark))).orderBy("id", "pos").collect()
     assert [(r.id, r.sujet, r.predicat, r.objet, r.op) for r in got] == [
-        (1, "Anne", "travaille_pour", "Corp", "assert"), (3, "Velora", "date_fondation_de", "1973", "assert"), (4, "Velora", "dirige", "Lea", "assert"),
+        (1, "Anne", "travaille_pour", "Corp", "assert"), (3, "Zentra", "date_fondation_de", "1973", "assert"), (4, "Zentra", "dirige", "Lea", "assert"),
         (4, "V", "rapatrier", "W", "assert"), (5, "Lea", "appartient_a", "CAC", "negate"), (6, "Lea", "dirige", "Bob", "closed_interval"),
     ]
     assert (got[-1].date_debut, got[-1].date_fin) == ("1990", "1995")
@@ -223,11 +223,11 @@ def test_extraction_rules(spark):
 def test_inference(spark):
     spec = O.specification(spark)
     schema = "fait_id long, predicat string, sujet_key string, objet_key string, statut string, certitude double, valide_jusqua timestamp"
-    rows = [(1, "travaille_pour", "ada", "velora", "courant", 0.75, None), (2, "dirige", "velora", "damien", "disputé", 0.6, None), (3, "parent_de", "a", "b", "courant", 0.9, None), (4, "parent_de", "b", "c", "clos", 0.9, day("2020-01-01")), (5, "connait", "b", "d", "courant", 0.9, None)]
+    rows = [(1, "travaille_pour", "ada", "zentra", "courant", 0.75, None), (2, "dirige", "zentra", "paul", "disputé", 0.6, None), (3, "parent_de", "a", "b", "courant", 0.9, None), (4, "parent_de", "b", "c", "clos", 0.9, day("2020-01-01")), (5, "connait", "b", "d", "courant", 0.9, None)]
     got = {r.predicat: r for r in G.compose(spark.createDataFrame(rows, schema), spec).collect()}
     assert set(got) == {"a_pour_patron", "grand_parent"}
     p, g = got["a_pour_patron"], got["grand_parent"]
-    assert (p.src, p.dst, p.statut, p.certitude, p.actif, p.f1, p.f2) == ("ada", "damien", "disputé", 0.6, True, 1, 2)
+    assert (p.src, p.dst, p.statut, p.certitude, p.actif, p.f1, p.f2) == ("ada", "paul", "disputé", 0.6, True, 1, 2)
     assert (g.src, g.dst, g.statut, g.actif, g.valide_jusqua) == ("a", "c", "clos", False, day("2020-01-01"))
     s = spark.range(1).select(G.inferred_label(F.lit("clos")), G.inferred_sentence(F.lit("a_pour_patron"), F.lit("Ada"), F.lit("Léo"), F.lit("courant"))).first()
     assert list(s) == ["inféré (périmé)", "le patron de Ada est Léo"]
@@ -270,7 +270,7 @@ def test_importance_matches_dense(spark, monkeypatch, small):
 
 def test_resolution_and_merging(spark):
     unit = lambda *v: [float(x / sum(y * y for y in v) ** 0.5) for x in v]
-    names = [(1, "Société Velora", "entreprise", unit(1, 0, 0, 0)), (2, "velora", None, unit(0, 1, 0, 0)), (3, "Velora Group", "banque", unit(0, 0, 1, 0)), (4, "Velora", "ville", unit(0, 0, 0, 1)), (5, "Acme Works", "entreprise", unit(0.2, 0.1, 1, 0.9)), (6, "Akme Workz", "entreprise", unit(0.2, 0.1, 1, 0.92)), (7, "Other Thing", "film", unit(0.2, 0.1, 1, 0.9))]
+    names = [(1, "Société Zentra", "entreprise", unit(1, 0, 0, 0)), (2, "zentra", None, unit(0, 1, 0, 0)), (3, "Zentra Group", "banque", unit(0, 0, 1, 0)), (4, "Zentra", "ville", unit(0, 0, 0, 1)), (5, "Acme Works", "entreprise", unit(0.2, 0.1, 1, 0.9)), (6, "Akme Workz", "entreprise", unit(0.2, 0.1, 1, 0.92)), (7, "Other Thing", "film", unit(0.2, 0.1, 1, 0.9))]
     df = spark.createDataFrame(names, "id long, nom string, type string, embedding array<double>")
     got = {r.id: r.ent for r in E.resolve(df).collect()}
     assert got[2] == 1 and got[4] == 1 and got[3] == 1 and got[6] == 5 and got[7] == 7
