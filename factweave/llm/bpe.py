@@ -25,7 +25,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text
+from .common import held, id_text
 
 END = "</w>"
 _CACHE = 250_000
@@ -309,9 +309,8 @@ class Decoder:
         return self.utf8.decode(b"", True)
 
 
-@functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
-    return Encoder(Vocabulary(path))
+    return held(("bpe", path), lambda: Encoder(Vocabulary(path)))
 
 
 def _coded(path: str, rows: int = 256):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,3 +37,20 @@ def cut(df: DataFrame) -> DataFrame:
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, under its own names; null text becomes empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+_HELD: dict = {}
+
+
+def held(key: Hashable, make: Callable[[], object]):
+    """What a Python worker keeps between tasks: one thing, so operators that follow each other do not add up."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    if _HELD:
+        _HELD.clear()
+        gc.collect()

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import held, id_text
 from .shingles import slices
 
 UNKNOWN = "und"
@@ -200,15 +200,8 @@ def sample(rows: DataFrame, s: Settings) -> list[tuple[str, int, bytes]]:
     return out
 
 
-_PARSERS: dict = {}
-
-
 def _parser(model) -> CrossParser:
-    key = hash(tuple(model))
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = CrossParser(model)
-    return _PARSERS[key]
+    return held(("language", hash(tuple(model))), lambda: CrossParser(model))
 
 
 def _predicted(model):

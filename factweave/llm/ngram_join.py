@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text
+from .common import cut, id_text, release
 from .components import components
 from .shingles import shingle_sets, slices
 
@@ -56,6 +56,7 @@ def histogram(s: np.ndarray) -> bytes:
 
 def _by_bytes(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """Pieces of batches with about 4 MB in a text column, which bounds what is held as arrays."""
+    release()
     for b in batches:
         for i, j in slices(b.column(column), 4 << 20):
             yield b.slice(i, j - i)

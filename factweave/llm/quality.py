@@ -10,7 +10,6 @@ labelled rows, turns them into a probability.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import held, id_text
 
 THRESHOLD = 0.7
 BLOCK = 4096
@@ -142,9 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, s: Settings = Sett
     return Model(dictionaries, s.level, float(w[0]) - float(np.log(n[1] / n[0])) + prior, tuple((w[1:] / scale).tolist()))
 
 
-@functools.lru_cache(maxsize=1)
 def _sizes(dictionaries: tuple, level: int) -> SizeDifference:
-    return SizeDifference(dictionaries, level)
+    return held(("quality", hash(dictionaries), level), lambda: SizeDifference(dictionaries, level))
 
 
 def _scored(model, rows: int = 2048):
