@@ -1,12 +1,15 @@
 """License scan: Dice coefficient over word bigrams against licence templates (DataFrame operations only).
 
-The templates are few and fixed, so they are literals of the plan. A unit (a line, or the whole text) is compared
-with a template only if their numbers of distinct bigrams allow the threshold: 2 * min / (a + b) >= t.
+The templates are few and fixed, so they are literals of the plan: notices, headers and openings, and whole licence
+texts. A unit (a line, a run of lines, or the whole text) is compared with a template only if their numbers of distinct
+bigrams allow the threshold: 2 * min / (a + b) >= t. A unit at the threshold holds at least t / (2 - t) of the
+template's distinct bigrams, so a text without any of the words that more than the rest of them contain has no hit.
 """
 
 from __future__ import annotations
 
 import re
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,19 +67,57 @@ TEMPLATES = {
     ),
 }
 
+FULL = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-3.0", "MIT", "MPL-2.0")
+
+
+def all_templates() -> dict[str, str]:
+    """``TEMPLATES`` and the whole texts in ``license_texts``."""
+    folder = resources.files(__package__) / "license_texts"
+    return TEMPLATES | {f"{n} text": (folder / f"{n}.txt").read_text("utf-8") for n in FULL}
+
 
 def template_bigrams(text: str) -> list[str]:
     w = re.findall("[a-z0-9]+", text.lower())
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
 
 
-def _bigrams(unit: Column) -> Column:
-    """Distinct bigrams of lower-cased runs of a-z and 0-9."""
+# Fixed value: words that say little about a text being a licence; they are taken last as marks.
+_COMMON = set("the of to and or is this a in any under by you for that not with as it be work an are on at from which 0 1 2 3 4".split())
+
+
+def marks(grams: dict[str, list[str]], threshold: float) -> list[str]:
+    """Words of which a unit at the threshold has at least one: too few bigrams of its template lack them all."""
+    out = set()
+    for b in grams.values():
+        left = set(b)
+        words = {w for x in b for w in x.split()}
+        count = {w: sum(w in x.split() for x in b) for w in words}
+        for w in sorted(words, key=lambda w: (w in _COMMON, len(w) < 7, -count[w], w)):
+            if len(left) < _need(b, threshold):
+                break
+            out.add(w)
+            left = {x for x in left if w not in x.split()}
+    return sorted(out)
+
+
+def _need(b: list[str], threshold: float) -> float:
+    """The least number of a template's bigrams in a unit at the threshold, and so the unit's least size."""
+    return len(b) * threshold / (2 - threshold) - 1e-9
+
+
+def _array(items: list[str]) -> Column:
+    """One literal, however many items (none holds a line feed)."""
+    return F.split(F.lit("\n".join(items)), "\n") if items else F.array().cast("array<string>")
+
+
+def _words(unit: Column) -> Column:
+    """Lower-cased runs of a-z and 0-9."""
     bare = F.trim(F.regexp_replace(F.lower(unit), "[^a-z0-9]+", " "))
-    return let(
-        F.split(bare, " "),
-        lambda w: F.when(F.size(w) > 1, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))).otherwise(F.array().cast("array<string>")),
-    )
+    return let(bare, lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, " ")))
+
+
+def _pairs(w: Column) -> Column:
+    return F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))).otherwise(F.array().cast("array<string>"))
 
 
 def _named(name: str, threshold: float):
@@ -84,7 +125,7 @@ def _named(name: str, threshold: float):
 
 
 def _best(unit: Column, templates: dict[str, list[str]], threshold: float) -> Column:
-    """struct<dice, license> of the best template at or above the threshold, else null; ties: the first name."""
+    """struct<dice, license> of the best template at or above the threshold, else null; ties: the first name. ``unit``: words."""
     sizes = [len(b) for b in templates.values()]
     low, high = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
 
@@ -93,29 +134,106 @@ def _best(unit: Column, templates: dict[str, list[str]], threshold: float) -> Co
         tried = []
         for name, b in sorted(templates.items(), reverse=True):
             fits = (n >= len(b) * threshold / (2 - threshold)) & (n <= len(b) * (2 - threshold) / threshold)
-            dice = 2 * F.size(F.array_intersect(a, F.array(*[F.lit(x) for x in b]))) / (n + len(b))
+            dice = 2 * F.size(F.array_intersect(a, _array(b))) / (n + len(b))
             tried.append(F.when(fits, let(dice, _named(name, threshold))))
-        best = tried[0]
-        for t in tried[1:]:
-            best = let(F.array(best, t), lambda p: F.when(F.get(p, F.lit(0)).isNull(), F.get(p, F.lit(1))).when(F.get(p, F.lit(1))["dice"] >= F.get(p, F.lit(0))["dice"], F.get(p, F.lit(1))).otherwise(F.get(p, F.lit(0))))
-        return F.when((n >= low) & (n <= high), best)
+        return F.when((n >= low) & (n <= high), F.reduce(F.array(*tried), F.lit(None).cast("struct<dice:double,license:string>"), lambda x, y: F.when(x.isNull() | (y["dice"] >= x["dice"]), y).otherwise(x)))
+
+    return let(F.array_distinct(_pairs(unit)), score)
 
-    return let(_bigrams(unit), score)
 
+def _apart(runs: Column) -> Column:
+    """Of runs in order (best first, with from and to), those that share no line with a better one."""
+    meets = lambda x: lambda y: (y["from"] <= x["to"]) & (y["to"] >= x["from"])
+    return F.reduce(runs, F.slice(runs, 1, 0), lambda out, x: F.when(F.exists(out, meets(x)), out).otherwise(F.concat(out, F.array(x))))
+
+
+def _runs_of(name: str, b: list[str], pairs: Column, line: Column, common: Column, threshold: float) -> Column:
+    """array<struct<same, dice, license, from, to>>: runs of two lines or more that carry one template.
+
+    ``pairs``: all bigrams in order; ``line``: the line of each word; ``common``: the template's bigrams that occur. A
+    line at either end that adds no bigram of the template only lowers the coefficient, so runs begin at lines with
+    one. From a start the text is read once: a bigram counts where it first occurs behind it.
+    """
+    need, high = _need(b, threshold), int(len(b) * (2 - threshold) / threshold + 1e-9)
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    def from_line(places, first):
+        def scored(new):
+            def step(acc, k):
+                x, after = F.get(new, k), F.get(new, k + 1)
+                same = acc["same"] + x["hit"].cast("int")
+                dice = 2 * same / (k + 1 + len(b))
+                ends = (after.isNull() | (after["to"] > x["to"])) & (x["to"] > first) & (dice >= threshold)
+                return F.struct(same.alias("same"), F.greatest(acc["best"], F.when(ends, F.struct(dice.alias("dice"), same.alias("same"), (-x["to"]).alias("back")))).alias("best"))
+
+            none = F.struct(F.lit(0).alias("same"), F.lit(None).cast("struct<dice:double,same:int,back:int>").alias("best"))
+            folded = F.reduce(F.sequence(F.lit(0), F.least(F.size(new), F.lit(high)) - 1), none, step, lambda acc: acc["best"])
+            return F.when(F.size(F.filter(new, lambda x: x["hit"])) >= need, folded)
+
+        at = (F.array_position(line, first) - 1).cast("int")
+        best = let(let(at, lambda p: F.filter(places, lambda x: (x["at"] >= p) & (x["before"] < p))), scored)
+        return let(best, lambda r: F.when(r.isNotNull(), F.struct(r["dice"].alias("dice"), r["same"].alias("same"), F.lit(name).alias("license"), first.alias("from"), (-r["back"]).alias("to"))))
+
+    def placed(s):
+        def one(x, i):
+            prior = F.get(s, i - 1)
+            return F.struct(x["at"].alias("at"), F.when(prior["b"] == x["b"], prior["at"]).otherwise(-1).alias("before"), F.get(line, x["at"] + 1).alias("to"), F.array_contains(common, x["b"]).alias("hit"))
+
+        return F.sort_array(F.transform(s, one))
+
+    def every(places):
+        starts = F.array_distinct(F.transform(F.filter(places, lambda x: x["hit"]), lambda x: F.get(line, x["at"])))
+        return F.sort_array(F.array_compact(F.transform(starts, lambda first: from_line(places, first))), asc=False)
+
+    order = F.sort_array(F.transform(pairs, lambda x, i: F.struct(x.alias("b"), i.alias("at"))))
+    runs = let(let(let(order, placed), every), _apart)
+    return F.transform(runs, lambda x: F.struct(x["same"].alias("same"), x["dice"].alias("dice"), x["license"].alias("license"), x["from"].alias("from"), x["to"].alias("to")))
+
+
+_RUNS = "array<struct<same:int,dice:double,license:string,from:int,to:int>>"
+
+
+def _runs(lines: Column, templates: dict[str, list[str]], threshold: float) -> Column:
+    """Runs of lines over all templates: those with more bigrams in common first, none sharing a line with another."""
+
+    def tried(pairs, line):
+        def possible(name, b):
+            need = _need(b, threshold)
+            return lambda common: F.when(F.size(common) >= need, _runs_of(name, b, pairs, line, common, threshold).cast(_RUNS))
+
+        def of(distinct):
+            none = F.array().cast(_RUNS)
+            return F.concat(*[F.coalesce(F.when(F.size(distinct) >= _need(b, threshold), let(F.array_intersect(distinct, _array(b)), possible(name, b))), none) for name, b in sorted(templates.items())])
+
+        return let(let(F.array_distinct(pairs), of), lambda r: let(F.sort_array(r, asc=False), _apart))
+
+    line = F.flatten(F.transform(lines, lambda w, i: F.array_repeat(i, F.size(w))))
+    return let(_pairs(F.flatten(lines)), lambda pairs: let(line, lambda n: tried(pairs, n)))
+
+
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_hits (lines), licenses (sorted, distinct), best_dice, text_license.
 
     A line or a whole text carries the template with the largest Dice coefficient of distinct word bigrams (ties: the
-    first name in order) if that is ``threshold`` or more. ``text_license`` is the whole text's, ``licenses`` those of
-    its lines and of the whole. Null counts as empty and has no hit; other columns are ignored; repeated rows give
-    repeated results; an empty table gives an empty result.
+    first name in order) if that is ``threshold`` or more; so does a run of two or more lines, where runs that share
+    lines with one that has more bigrams in common with its template (ties: the larger coefficient) do not count.
+    ``text_license`` is the whole text's, ``licenses`` those of its lines, of runs of its lines and of the whole.
+    ``templates``: name -> text, by default ``all_templates()``. Null counts as empty and has no hit; other columns are
+    ignored; repeated rows give repeated results; an empty table gives an empty result.
     """
-    grams = {name: template_bigrams(t) for name, t in templates.items()}
+    grams = {name: template_bigrams(t) for name, t in (all_templates() if templates is None else templates).items()}
     rows = id_text(docs, id_col, text_col)
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: _best(x, grams, threshold)), lambda x: x.isNotNull())
-    found = rows.select("doc_id", lines.alias("hits"), _best(F.col("text"), grams, threshold).alias("whole"))
-    every = F.array_compact(F.concat("hits", F.array("whole")))
+
+    def scanned(lines):
+        hits = F.array_compact(F.transform(lines, lambda x: _best(x, grams, threshold)))
+        units = F.struct(hits.alias("hits"), _best(F.flatten(lines), grams, threshold).alias("whole"), _runs(lines, grams, threshold).alias("runs"))
+        return units
+
+    lines = F.transform(F.split("text", "\n"), _words)
+    found = rows.select("doc_id", F.when(F.arrays_overlap(_words(F.col("text")), _array(marks(grams, threshold))), let(lines, scanned)).alias("f"))
+    hits = F.coalesce("f.hits", F.array().cast("array<struct<dice:double,license:string>>"))
+    runs = F.coalesce(F.transform("f.runs", lambda x: F.struct(x["dice"].alias("dice"), x["license"].alias("license"))), F.array().cast("array<struct<dice:double,license:string>>"))
+    found = found.select("doc_id", hits.alias("hits"), F.col("f.whole").alias("whole"), runs.alias("runs"))
+    every = F.array_compact(F.concat("hits", "runs", F.array("whole")))
     return found.select(
         "doc_id",
         F.size("hits").cast("long").alias("n_hits"),
