@@ -4,7 +4,8 @@ A text is the sequence of its lines that are not blank. Of every window of ``WIN
 smallest (the last among equals) is a fingerprint, so two texts that share a run of ``WINDOW`` lines share a
 fingerprint. Fingerprints that occur more than once are joined back to their positions, and a match is extended both
 ways window by window: each window that contains its fingerprint is compared with the first place of the same window.
-Lines of every window that starts earlier elsewhere are deleted. Each later place meets only the first one, so the
+Lines of every window that starts earlier elsewhere are deleted. Runs of fewer lines count as windows of their own where
+they have ``MIN_WORDS`` words or more, so a later run goes if it has ``WINDOW`` lines or that many words. Each later place meets only the first one, so the
 work is linear in the number of places however often a line occurs.
 """
 
@@ -17,6 +18,7 @@ from .common import SPACE, id_text
 from .fingerprints import let
 
 WINDOW = 3
+MIN_WORDS = 50
 
 
 def _bare(line: Column) -> Column:
@@ -24,45 +26,50 @@ def _bare(line: Column) -> Column:
 
 
 def line_hashes(text: Column) -> Column:
-    """array<bigint> of the lines that are not blank; runs of white space count as one space."""
+    """array<struct<h, words>> of the lines that are not blank; runs of white space count as one space."""
     lines = F.filter(F.transform(F.split(text, "\n"), _bare), lambda x: x != "")
-    return F.transform(lines, lambda x: F.xxhash64(x))
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("words")))
 
 
-def winnow(h: Column) -> Column:
-    """array<struct<at, window, mark>>: every window with its hash and its fingerprint."""
-    at = F.sequence(F.lit(0), F.size(h) - WINDOW)
+def winnow(lines: Column) -> Column:
+    """array<struct<at, size, window, mark>>: every window with its hash and its fingerprint."""
 
-    def one(i):
-        members = [F.get(h, i + j) for j in range(WINDOW)]
-        return F.struct(i.alias("at"), F.xxhash64(*members).alias("window"), F.least(*members).alias("mark"))
+    def windows(size):
+        def one(i):
+            members = [F.get(lines, i + j) for j in range(size)]
+            h = [m["h"] for m in members]
+            w = F.struct(i.alias("at"), F.lit(size).alias("size"), F.xxhash64(*h).alias("window"), (F.least(*h) if size > 1 else h[0]).alias("mark"))
+            return w if size == WINDOW else F.when(sum(m["words"] for m in members) >= MIN_WORDS, w)
 
-    return F.when(F.size(h) >= WINDOW, F.transform(at, one)).otherwise(F.array().cast("array<struct<at:int,window:bigint,mark:bigint>>"))
+        at = F.sequence(F.lit(0), F.size(lines) - size)
+        return F.when(F.size(lines) >= size, F.array_compact(F.transform(at, one))).otherwise(F.array().cast("array<struct<at:int,size:int,window:bigint,mark:bigint>>"))
+
+    return F.concat(*[windows(size) for size in range(1, WINDOW + 1)])
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, starts): the windows that start earlier elsewhere. ``docs``: doc_id, text."""
+    """(doc_id, starts): the windows (at, size) that start earlier elsewhere. ``docs``: doc_id, text."""
     windows = docs.select("doc_id", F.explode(let(line_hashes(F.col("text")), winnow)).alias("w")).select("doc_id", "w.*")
     marks = windows.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark")
     matched = windows.join(marks, "mark", "left_semi")
-    first = matched.groupBy("window").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("window", F.col("first.doc_id").alias("first_id"), F.col("first.at").alias("first_at"))
-    later = windows.join(first, "window").filter(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("at") == F.col("first_at"))))
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    first = matched.groupBy("window", "size").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("window", "size", F.col("first.doc_id").alias("first_id"), F.col("first.at").alias("first_at"))
+    later = windows.join(first, ["window", "size"]).filter(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("at") == F.col("first_at"))))
+    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("starts"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, n_runs, kept_text.
 
-    A line goes if a run of ``WINDOW`` lines that holds it starts earlier too (smaller id, or earlier in the same
-    text). Null counts as empty; blank lines are no lines and stay in ``kept_text``; texts with fewer than ``WINDOW``
-    lines are never touched. Rows without an id come last in the order and share one fate if they repeat, as do rows
+    A line goes if a run that holds it, of ``WINDOW`` lines or of fewer with ``MIN_WORDS`` words, starts earlier too
+    (smaller id, or earlier in the same text). Null counts as empty; blank lines are no lines and stay in ``kept_text``.
+    The SQL below knows runs of ``WINDOW`` lines only, so it removes less. Rows without an id come last in the order and share one fate if they repeat, as do rows
     that repeat an id. Other columns are ignored; an empty table gives an empty result.
     """
     rows = id_text(docs, id_col, text_col)
     found = repeated_windows(rows)
     joined = rows.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left").select("d.doc_id", "d.text", "f.starts")
     # lines with their number among those not blank (null: blank)
-    gone = F.coalesce(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (WINDOW - 1))))), F.array().cast("array<int>"))
+    gone = F.coalesce(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1)))), F.array().cast("array<int>"))
     split = F.split(F.col("text"), "\n")
     t = joined.select("doc_id", "text", gone.alias("gone"), "starts")
     kept_all = F.col("text")
