@@ -1,12 +1,11 @@
-"""Line dedup by winnowing over line hashes (DataFrame operations only).
-
-A text is the sequence of its lines that are not blank. Of every window of ``WINDOW`` consecutive line hashes the
-smallest (the last among equals) is a fingerprint, so two texts that share a run of ``WINDOW`` lines share a
-fingerprint. Fingerprints that occur more than once are joined back to their positions, and a match is extended both
-ways window by window: each window that contains its fingerprint is compared with the first place of the same window.
-Lines of every window that starts earlier elsewhere are deleted. Runs of fewer lines count as windows of their own where
-they have ``MIN_WORDS`` words or more, so a later run goes if it has ``WINDOW`` lines or that many words. Each later place meets only the first one, so the
-work is linear in the number of places however often a line occurs.
+"""Line dedup by hashes of runs of lines (DataFrame operations only).
+
+A text is the sequence of its lines that are not blank. Every window of ``WINDOW`` consecutive line hashes, and every
+window of fewer lines with ``MIN_WORDS`` words or more, is grouped by its hash, and the lines of every window that
+starts earlier elsewhere are deleted. A later run therefore goes if it has ``WINDOW`` lines or ``MIN_WORDS`` words. The
+smallest line hash of a window is its mark: windows whose mark occurs once are left out before the grouping. That is a
+filter only; no window is selected by winnowing and no match is extended, as neighbouring windows repeat themselves.
+Each later place meets only the first one, so the work is linear in the number of places however often a line occurs.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ def line_hashes(text: Column) -> Column:
 
 
 def winnow(lines: Column) -> Column:
-    """array<struct<at, size, window, mark>>: every window with its hash and its fingerprint."""
+    """array<struct<at, size, window, mark>>: every window with its hash and its mark."""
 
     def windows(size):
         def one(i):
