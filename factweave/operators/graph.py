@@ -100,6 +100,15 @@ def neighbours(facts: DataFrame, names: DataFrame | None = None) -> DataFrame:
     return inc.join(deg.withColumnRenamed("ent", "other"), "other", "left").select("ent", "fait_id", F.when(F.col("role") == "s", "sortant").otherwise("entrant").alias("sens"), "predicat", F.col("other").alias("vers"), "statut", "degre")
 
 
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` with ``pos``, the place of each in the whole order from 1; sorted by ranges, so no task holds all rows."""
+    part = checkpointed(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    sizes = part.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row a partition
+    pos = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return part.join(F.broadcast(before), "part").withColumn("pos", pos).drop("part", "before")
+
+
 def ordered_union(parts: list[DataFrame], key: str = "fait_id") -> DataFrame:
     """Rows (key, pos) of several lists, the first list that has a key wins."""
     every = None

@@ -393,9 +393,9 @@ WITH a AS (SELECT o_orderkey AS fait_id, row_number() OVER (ORDER BY o_totalpric
 u AS (SELECT fait_id, pos, 0 AS prio FROM a UNION ALL SELECT fait_id, pos, 1 FROM b)
 SELECT fait_id, prio, pos FROM u QUALIFY row_number() OVER (PARTITION BY fait_id ORDER BY prio, pos) = 1""")
 def ordered_union(spark, d):
-    o = table(spark, d, "orders").withColumnRenamed("o_orderkey", "fait_id")
-    top = lambda *by: o.orderBy(*by).limit(50).withColumn("pos", F.row_number().over(Window.orderBy(*by)))
-    return G.ordered_union([top(F.desc("o_totalprice"), "fait_id"), top("o_orderdate", "fait_id")])
+    """Both whole lists of orders; the SQL above still has the first 50 of each, so it gives fewer rows."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("fait_id"), "o_totalprice", "o_orderdate")
+    return G.ordered_union([G.ranked(o, F.desc("o_totalprice"), F.asc("fait_id")), G.ranked(o, F.asc("o_orderdate"), F.asc("fait_id"))])
 
 
 @query("""

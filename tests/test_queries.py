@@ -3,7 +3,10 @@
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from factweave import queries as Q
+from factweave.operators import graph as G
 
 
 def test_fragment_scores_reads_all_of_lineitem(spark, tmp_path):
@@ -26,3 +29,15 @@ def test_fragment_scores_reads_all_of_lineitem(spark, tmp_path):
                     expected[f"s{a}", f"s{b}"] = ("organisation" if a % 3 else "personne", round(sum(shares), 6), rare)
     got = {(r.a, r.b): (r.fam, r.score, r.rares) for r in Q.fragment_scores(spark, str(tmp_path)).collect()}
     assert got == expected and ("s153", "s66") in got
+
+
+def test_ordered_union_takes_whole_lists(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, rng.randint(1, 60) * 10.0, rng.randint(1, 30)) for i in range(130)]
+    df = spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, day int")
+    df.selectExpr("o_orderkey", "o_totalprice", "timestamp'2020-01-01' + make_dt_interval(day) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    expected = {i: (0, k + 1) for k, (i, _, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+    got = Q.ordered_union(spark, str(tmp_path)).collect()
+    assert len(got) == 130 and {r.fait_id: (r.prio, r.pos) for r in got} == expected
+    by_day = G.ranked(df, F.asc("day"), F.desc("o_orderkey")).collect()
+    assert {r.o_orderkey: r.pos for r in by_day} == {i: k + 1 for k, (i, _, _) in enumerate(sorted(rows, key=lambda r: (r[2], -r[0])))}
