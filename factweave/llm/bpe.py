@@ -6,7 +6,8 @@ follows from those of shorter prefixes, and symbols can be read one at a time. A
 once the paths from every place where a later token could start go through its end. ``sufficient_lookahead`` bounds
 from the merge list how far a merge can depend on what follows; the transducer looks for stable tokens whenever it
 holds that much more than the longest token, so a run of letters of any length is encoded in constant memory.
-Short words are remembered in a bounded table.
+Words that end before that (nearly all) are read in lock step, many at a time: ``Lockstep`` makes the same steps as
+``Transducer`` on arrays, a symbol of each word a round. Words are remembered in two bounded generations.
 
 Decoding is the reverse machine: ids in, text out, with the state of an incremental UTF-8 decoder in byte mode.
 """
@@ -22,14 +23,19 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import held, id_text
+from .shingles import slices
 
 END = "</w>"
-_CACHE = 250_000
-_LONG = 200
+#: Words remembered by a generation, and the longest (in bytes) that is.
+_CACHE = 120_000
+_LONG = 64
+#: Pairs of tokens remembered.
+_PAIRS = 1 << 19
 
 
 def byte_alphabet() -> list[str]:
@@ -39,11 +45,11 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
-def _ranges(kind: str) -> str:
-    """A regular expression class body of all code points whose category starts with ``kind``."""
+def _ranges(kind: str, most: int) -> str:
+    """A regular expression class body of all code points up to ``most`` whose category starts with ``kind``."""
     out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == kind
+    for c in range(most + 2):
+        inside = c <= most and unicodedata.category(chr(c))[0] == kind
         if inside and start is None:
             start = c
         elif not inside and start is not None:
@@ -62,15 +68,19 @@ _NEW_LETTERS = (
 _NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
 _NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 _NEW_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-#: Python's split() also splits at these, which are no white space in Unicode.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-
 _WHITE = "\t-\r \x85\xa0  -     　"
 
 
+#: Texts with no code point beyond the first or second of these are split by smaller, much faster classes.
+_LEVELS = (0xFF, 0xFFFF, sys.maxunicode)
+_BEYOND = tuple(re.compile(f"[^\\U00000000-\\U{most:08x}]") for most in _LEVELS[:-1])
+
+
 @functools.cache
-def word_pattern() -> re.Pattern:
-    letters, digits = (_ranges(kind) + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in new) for kind, new in (("L", _NEW_LETTERS), ("N", _NEW_NUMBERS)))
+def word_pattern(most: int = sys.maxunicode) -> re.Pattern:
+    """Words of texts without a code point above ``most``."""
+    new = lambda pairs: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in pairs if b <= most)
+    letters, digits = (_ranges(kind, most) + new(pairs) for kind, pairs in (("L", _NEW_LETTERS), ("N", _NEW_NUMBERS)))
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{_WHITE}{letters}{digits}]+")
 
 
@@ -105,19 +115,23 @@ class Vocabulary:
         self.rank = {m: r for r, m in enumerate(merges)}
         if len({a + b for a, b in merges}) != len(merges):
             raise ValueError("a token has two merges; neighbours do not determine the encoding")
-        # every ending of a token -> the token's id if it is one itself, else -1; inside a word and at its end
-        self.inner: dict[str, int] = {}
-        self.final: dict[str, int] = {}
+        self.pairs: dict[int, bool] = {}
+        self.alphabet = byte_alphabet()
+        self.byte_of = {c: b for b, c in enumerate(self.alphabet)}
+        self.mapped = str.maketrans({b: c for b, c in enumerate(self.alphabet)})
+
+    @functools.cached_property
+    def endings(self) -> tuple[dict[str, int], dict[str, int]]:
+        """Every ending of a token -> the token's id if it is one itself, else -1; inside a word and at its end."""
+        inner: dict[str, int] = {}
+        final: dict[str, int] = {}
         for t, i in self.ids.items():
             ends = t.endswith(END) and len(t) > len(END)
-            body, table = (t[: -len(END)], self.final) if ends else (t, self.inner)
+            body, table = (t[: -len(END)], final) if ends else (t, inner)
             for k in range(1, len(body)):
                 table.setdefault(body[k:], -1)
             table[body] = i
-        self.pairs: dict[int, bool] = {}
-        self.alphabet = byte_alphabet()
-        self.byte_of = {c: b for b, c in enumerate(self.alphabet)}
-        self.mapped = str.maketrans({b: c for b, c in enumerate(self.alphabet)})
+        return inner, final
 
     def symbols(self, token: str) -> list[str]:
         if token.endswith(END) and len(token) > 4:
@@ -141,7 +155,7 @@ class Vocabulary:
         key = (left << 20) | right if left >= 0 else -right - 1
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 4_000_000:
+            if len(self.pairs) >= _PAIRS:
                 self.pairs.clear()
             b = self.tokens[right]
             want = [b] if left < 0 else [self.tokens[left], b]
@@ -164,9 +178,10 @@ class Transducer:
         """Append the last token for each further symbol; ``end`` closes the last of them."""
         v, follows = self.v, self.v.follows
         text, last, size, before = self.text + symbols, self.last, self.size, self.before
-        final = len(text) - 1 if end else -1
+        close = len(text) - 1 if end else -1
+        inner, final = v.endings
         for j in range(len(last), len(text)):
-            endings = v.final if j == final else v.inner
+            endings = final if j == close else inner
             found, s = [], j
             while s >= 0:
                 t = endings.get(text[s : j + 1])
@@ -222,19 +237,178 @@ class Transducer:
         return self._emit(len(self.text) - 1)
 
 
-class _Remembered(dict):
-    """What ``make`` gives for short strings, in a table of bounded size."""
+class IntMap:
+    """Non-negative 64-bit integers to 32-bit ones, many at a time: open addressing in arrays of a fixed size."""
+
+    def __init__(self, slots: int):
+        self.bits = max(4, (slots - 1).bit_length())
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.zeros(1 << self.bits, np.int32)
+        self.size = 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values, -1 where there is none."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.values[slot], np.int32(-1))
+        live = np.flatnonzero((there != keys) & (there >= 0))
+        while len(live):
+            slot[live] = (slot[live] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slot[live]]
+            hit = there == keys[live]
+            out[live[hit]] = self.values[slot[live[hit]]]
+            live = live[~hit & (there >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """New distinct keys."""
+        self.size += len(keys)
+        slot = self._slot(keys)
+        live = np.arange(len(keys))
+        while len(live):
+            free = live[self.keys[slot[live]] < 0]
+            self.keys[slot[free]] = keys[free]  # of several that want a slot, one gets it
+            self.values[slot[free]] = values[free]
+            live = live[self.keys[slot[live]] != keys[live]]
+            slot[live] = (slot[live] + 1) & ((1 << self.bits) - 1)
 
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
 
-    def __missing__(self, key: str) -> bytes:
-        out = self.make(key)
-        if len(key) <= _LONG:
-            if len(self) >= _CACHE:
-                self.clear()
-            self[key] = out
+class Lockstep:
+    """The transducer's steps for many words at once, none longer than its lookahead."""
+
+    def __init__(self, v: Vocabulary):
+        n = 1 + max(v.tokens)
+        symbol = {t: i for t, i in v.ids.items()}
+        # the tree of merges: when a token is made (-1: a symbol) and of what
+        self.made = np.full(n, -1, np.int64)
+        self.left, self.right = np.arange(n), np.arange(n)
+        for (a, b), r in v.rank.items():
+            i = symbol[a + b]
+            self.made[i], self.left[i], self.right[i] = r, symbol[a], symbol[b]
+        merged = np.flatnonzero(self.made >= 0)
+        if (np.maximum(self.made[self.left[merged]], self.made[self.right[merged]]) >= self.made[merged]).any():
+            raise ValueError("a merge comes before those of its parts")
+        self.merges = IntMap(4 * max(1, len(merged)))
+        self.merges.put(self.left[merged] << 20 | self.right[merged], self.made[merged].astype(np.int32))
+        # whether a token is the encoding of its own text: its parts are, and nothing joins them earlier otherwise
+        whole = np.ones(n, bool)
+        whole[merged] = self._apart(self.left[merged], self.right[merged], self.made[merged])
+        before = None
+        while before is None or (before != whole).any():
+            before = whole.copy()
+            whole[merged] &= whole[self.left[merged]] & whole[self.right[merged]]
+        self.whole = whole
+        # a tree of the tokens' bytes from the last to the first; node 0 inside words, node 1 at their ends
+        steps: dict[int, int] = {}
+        token = [-1, -1]
+        for t, i in v.ids.items():
+            ends = t.endswith(END) and len(t) > len(END)
+            body = t[: -len(END)] if ends else t
+            if not all(c in v.byte_of for c in body):
+                continue
+            node = int(ends)
+            for c in reversed(body):
+                key = node << 8 | v.byte_of[c]
+                node = steps.setdefault(key, len(token))
+                if node == len(token):
+                    token.append(-1)
+            token[node] = i
+        self.steps = IntMap(4 * len(steps) + 4)
+        self.steps.put(np.fromiter(steps, np.int64), np.fromiter(steps.values(), np.int32))
+        self.token = np.array(token, np.int64)
+        self.known = IntMap(2 * _PAIRS)
+
+    def _apart(self, x: np.ndarray, y: np.ndarray, until: np.ndarray) -> np.ndarray:
+        """Whether no merge that comes before ``until`` joins the end of x's text to the beginning of y's.
+
+        Time runs backwards: of the two pieces at the border the one that was made later is taken apart. Two pieces
+        would have been joined if their merge comes before those that made each part of something larger (of equal
+        merges the left one is first).
+        """
+        out = np.ones(len(x), bool)
+        live = np.arange(len(x))
+        p, q, end_p, end_q = x.copy(), y.copy(), until.copy(), until - 1
+        while len(live):
+            m = self.merges.get(p << 20 | q)
+            joined = (m >= 0) & (m < end_p) & (m <= end_q)
+            out[live[joined]] = False
+            born_p, born_q = self.made[p], self.made[q]
+            go = ~joined & ((born_p >= 0) | (born_q >= 0))
+            live, p, q, end_p, end_q, born_p, born_q = (a[go] for a in (live, p, q, end_p, end_q, born_p, born_q))
+            of_p = born_p > born_q
+            end_p, end_q = np.where(of_p, born_p, end_p), np.where(of_p, end_q, born_q)
+            p, q = np.where(of_p, self.right[p], p), np.where(of_p, q, self.left[q])
+        return out
+
+    def follows(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``Vocabulary.follows`` of tokens that are both encodings of their own texts."""
+        key = left << 20 | right
+        got = self.known.get(key)
+        new = np.unique(key[got < 0])
+        if len(new):
+            apart = self._apart(new >> 20, new & ((1 << 20) - 1), np.full(len(new), 1 << 40))
+            if self.known.size + len(new) > _PAIRS:
+                self.known.clear()
+            if len(new) <= _PAIRS:
+                self.known.put(new, apart.astype(np.int32))
+            miss = got < 0
+            got[miss] = apart[np.searchsorted(new, key[miss])]
+        return got == 1
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of at least one byte, as little-endian unsigned 32-bit integers."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-size, kind="stable")
+        length = size[order]
+        begin = np.cumsum(length) - length
+        data = np.frombuffer(b"".join([words[i] for i in order.tolist()]), np.uint8)
+        last = np.full((int(length[0]), len(words)), -2, np.int64)  # the last token of the encoding up to each symbol
+        width = np.ones((int(length[0]), len(words)), np.int64)
+        for j in range(int(length[0])):
+            n = int(np.searchsorted(-length, -j, side="left"))  # words with more than j symbols
+            which, node = np.arange(n), (length[:n] == j + 1).astype(np.int64)
+            found = []
+            for d in range(j + 1):
+                node = self.steps.get(node << 8 | data[begin[which] + (j - d)])
+                alive = node >= 0
+                which, node = which[alive], node[alive].astype(np.int64)
+                if not len(which):
+                    break
+                t = self.token[node]
+                is_token = t >= 0
+                w, t = which[is_token], t[is_token]
+                left = last[j - d - 1, w] if d < j else np.full(len(w), -1)
+                ok = self.whole[t] & (left != -2)
+                found.append((w[ok], t[ok], left[ok], d))
+            w, t, left = (np.concatenate([f[k] for f in found]) for k in range(3))
+            d = np.repeat([f[3] for f in found], [len(f[0]) for f in found])
+            ok = left < 0
+            inside = np.flatnonzero(~ok)
+            ok[inside] = self.follows(left[inside], t[inside])
+            last[j, w[ok]], width[j, w[ok]] = t[ok], d[ok] + 1
+        # the paths back from the last symbols
+        paths, at, which = [], length - 1, np.arange(len(words))
+        while len(which):
+            paths.append((which, last[at, which]))
+            at = at - width[at, which]
+            which, at = which[at >= 0], at[at >= 0]
+        count = np.zeros(len(words), np.int64)
+        for which, _ in paths:
+            count[which] += 1
+        end = np.cumsum(count)
+        ids = np.empty(int(end[-1]), "<u4")
+        for k, (which, t) in enumerate(paths):
+            ids[end[which] - 1 - k] = t
+        raw = ids.tobytes()
+        out: list[bytes] = [b""] * len(words)
+        for i, a, b in zip(order.tolist(), ((end - count) * 4).tolist(), (end * 4).tolist(), strict=True):
+            out[i] = raw[a:b]
         return out
 
 
@@ -243,40 +417,64 @@ class Encoder:
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.pattern = word_pattern()
-        self.words = _Remembered(self.word)
-        self.pieces = _Remembered(self._matches)
+        self.lockstep = Lockstep(v)
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.special = re.compile("|".join(map(re.escape, sorted(v.special, key=len, reverse=True)))) if v.special else None
 
     def word(self, w: str) -> bytes:
+        """One word through the streaming transducer."""
         mapped = w.encode("utf-8").decode("latin-1").translate(self.v.mapped)
         t = Transducer(self.v)
-        if len(mapped) <= _LONG:
-            return array("I", t.close(mapped)).tobytes()
         out = array("I", t.feed(mapped[:-1]))
         out.extend(t.close(mapped[-1:]))
         return out.tobytes()
 
-    def _matches(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
+    def _learn(self, words: set[str]) -> None:
+        """Make sure that ``self.words`` has these; what an earlier generation still knows is not encoded again."""
+        if len(self.words) >= _CACHE:
+            self.words, self.older = {}, self.words
+        new = []
+        for w in words.difference(self.words):
+            known = self.older.get(w)
+            if known is None:
+                new.append(w)
+            else:
+                self.words[w] = known
+        if new:
+            self.words.update(zip(new, self.lockstep.encode([w.encode() for w in new]), strict=True))
 
-    def _plain(self, text: str) -> bytes:
+    def _matches(self, text: str) -> list[str]:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").translate(_NEW_LOWER)
+            text = unicodedata.normalize("NFC", text)
+            if _BEYOND[0].search(text):
+                text = text.replace("Σ", "σ").translate(_NEW_LOWER)
         text = text.lower()
-        if _SEPARATORS.search(text):
-            return self._matches(text)
-        return b"".join(map(self.pieces.__getitem__, text.split()))
+        level = 0 if text.isascii() else next((k for k, beyond in enumerate(_BEYOND) if not beyond.search(text)), len(_BEYOND))
+        return word_pattern(_LEVELS[level]).findall(text)
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+    def _segments(self, text: str) -> list:
+        """Words in order; ids of special tokens as bytes."""
         if "<|" not in text or not self.special:
-            return self._plain(text)
+            return self._matches(text)
         out, at = [], 0
         for m in self.special.finditer(text):
-            out += [self._plain(text[at : m.start()]), self.v.special[m[0]].to_bytes(4, "little")]
+            out += [*self._matches(text[at : m.start()]), self.v.special[m[0]].to_bytes(4, "little")]
             at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
+        return out + self._matches(text[at:])
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        parts = [self._segments(t) for t in texts]
+        distinct = set().union(*parts)
+        apart = {w: w if isinstance(w, bytes) else self.word(w) for w in distinct if isinstance(w, bytes) or len(w) > _LONG // 4 and len(w.encode()) > _LONG}
+        self._learn(distinct.difference(apart))
+        if not apart:
+            return [b"".join(map(self.words.__getitem__, p)) for p in parts]
+        return [b"".join([apart[w] if w in apart else self.words[w] for w in p]) for p in parts]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 class Decoder:
@@ -313,13 +511,13 @@ def _encoder(path: str) -> Encoder:
     return held(("bpe", path), lambda: Encoder(Vocabulary(path)))
 
 
-def _coded(path: str, rows: int = 256):
+def _coded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path)
         for b in batches:
-            for at in range(0, b.num_rows, rows):
-                part = b.slice(at, rows)
-                ids = [enc.encode(t.as_py()) for t in part.column(1)]
+            for i, j in slices(b.column(1), 1 << 20):
+                part = b.slice(i, j - i)
+                ids = enc.encode_all(part.column(1).to_pylist())
                 texts = []
                 for x in ids:
                     d = Decoder(enc.v)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from factweave.llm import bpe
@@ -47,6 +48,31 @@ def test_words_in_pieces_and_in_constant_memory(both):
     assert out == ids(enc.word(word))
 
 
+def test_lockstep_makes_the_transducers_steps(both):
+    _, enc = both
+    rng = random.Random(9)
+    words = ["".join(rng.choice(["th", "e", "ing", "an", "é", "st", "'", "日", "a", "b", "aa", "!", "7"]) for _ in range(rng.randint(1, 14))) for _ in range(600)]
+    words += ["a" * n for n in range(1, 40)] + ["ab" * n for n in range(1, 30)]
+    words = [w.encode() for w in words]
+    assert enc.lockstep.encode(words) == [enc.word(w.decode()) for w in words]
+    v = enc.v
+    some = [i for i in rng.sample(sorted(v.tokens), 1500) if i not in v.special.values()]
+    assert [bool(enc.lockstep.whole[i]) for i in some] == [v.follows(-1, i) for i in some]
+    pairs = [(rng.choice(some), rng.choice(some)) for _ in range(2000)]
+    pairs = [(a, b) for a, b in pairs if not v.tokens[a].endswith(bpe.END)]
+    got = enc.lockstep.follows(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    assert got.tolist() == [v.follows(a, b) for a, b in pairs]
+
+
+def test_tables_stay_bounded(both, monkeypatch):
+    monkeypatch.setattr(bpe, "_CACHE", 50)
+    monkeypatch.setattr(bpe, "_PAIRS", 64)
+    enc = bpe.Encoder(both[1].v)
+    for t in [t or "" for _, t in corpus()] + ["x" * 300 + " y"]:
+        assert ids(enc.encode(t)) == both[0].encode(t, add_special_tokens=False).ids
+    assert len(enc.words) + len(enc.older) < 400 and enc.lockstep.known.size <= 64
+
+
 def test_bytes_come_back(both):
     _, enc = both
     d = bpe.Decoder(enc.v, "bytes")
