@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text
+from .common import cut, with_row
 from .shingles import mix, slices, utf8
 from .suffixes import common_prefixes, suffix_array
 
@@ -28,6 +28,9 @@ LENGTH = 100
 K = 32
 _WINDOWS = LENGTH - K + 1
 MOST_SPANS = 512
+#: Bytes of text that are hashed at a time, and strings that are packed at a time.
+BLOCK = 256 << 10
+STRINGS = 256 << 10
 _B = 0x9E3779B97F4A7C15 | 1
 #: 40 bits of the minimiser's hash above those of its bucket, 48 bits of the span's.
 _PLACE = np.dtype([("mark", "<u4"), ("mark_high", "u1"), ("span", "<u4"), ("span_high", "<u2"), ("doc", "<i8"), ("lo", "<u4"), ("n", "u1")])
@@ -167,15 +170,19 @@ def _posted(buckets: int, chunks: int, hold: int = 400_000):
 
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for i, j in slices(b.column(1), 256 << 10):
+            for i, j in slices(b.column(1), BLOCK):
                 data, at = utf8(b.column(1).slice(i, j - i))
-                p, m = places(data, at, ids[i:j])
-                parts.append(p)
-                marks.append(m)
-                held += len(p)
-                if held >= hold:
-                    yield from flush()
-                    parts, marks, held = [], [], 0
+                # a long text comes alone, and is read in blocks that overlap by a string
+                for lo in range(0, max(1, len(data)), BLOCK) if len(data) > 2 * BLOCK else (0,):
+                    some = data[lo : lo + BLOCK + LENGTH - 1] if len(data) > 2 * BLOCK else data
+                    p, m = places(some, at if some is data else np.array([0, len(some)]), ids[i:j])
+                    p["lo"] += np.uint32(lo)
+                    parts.append(p)
+                    marks.append(m)
+                    held += len(p)
+                    if held >= hold:
+                        yield from flush()
+                        parts, marks, held = [], [], 0
         if held:
             yield from flush()
 
@@ -239,8 +246,8 @@ def _settled(chunks: int, buckets: int):
 
 
 def _texts(table: pa.Table):
-    """(ids, rows by id, bytes, offsets) of a chunk's documents."""
-    ids = table.column("doc_id").to_numpy()
+    """(rows, bytes, offsets) of a chunk's documents."""
+    ids = table.column("row").to_numpy()
     text = table.column("text").combine_chunks()
     text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
     data, at = utf8(text)
@@ -252,6 +259,30 @@ def _rows_of(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return order[np.searchsorted(ids[order], doc)]
 
 
+def _strings(data: np.ndarray, hot: np.ndarray, lo: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """The strings of places (in order; ``lo``: where they start in ``data``) by shard (kind 4), hashed in blocks."""
+    if not len(hot):
+        return
+    held, size = [], 0
+    block = lo // BLOCK
+    cuts = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
+    for i, j in zip(cuts, [*cuts[1:], len(hot)], strict=True):
+        n = hot["n"][i:j].astype(np.int64)
+        base = int(lo[i])
+        which = np.repeat(np.arange(i, j), n)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        start = lo[which] + step - base
+        s = np.empty(len(which), _STRING)
+        s["hash"] = Hashes(data[base : base + int(start.max()) + LENGTH]).of(start, start + LENGTH)
+        s["doc"], s["start"] = hot["doc"][which], hot["lo"][which] + step
+        held.append(s)
+        size += len(s)
+        if size >= STRINGS or j == len(hot):
+            s = np.concatenate(held)
+            yield keyed(4, (s["hash"] % np.uint64(shards)).astype(np.int32), s)
+            held, size = [], 0
+
+
 def _fetched(shards: int):
     """A chunk's documents and wanted places -> pieces of text by shard (kind 3), strings by shard (kind 4)."""
 
@@ -260,9 +291,9 @@ def _fetched(shards: int):
         if wanted.num_rows and docs.num_rows:
             w = unpack(wanted.column("blob").to_pylist(), _WANT)
             ids, data, at = _texts(docs)
-            w = w[np.lexsort((w["lo"], w["doc"]))]
-            row = _rows_of(ids, w["doc"])
-            lo = at[row] + w["lo"]
+            lo = at[_rows_of(ids, w["doc"])] + w["lo"]
+            order = np.argsort(lo, kind="stable")
+            w, lo = w[order], lo[order]
             cold = w["hot"] == 0
             pieces: dict[int, list[bytes]] = {}
             shard = (mix(w["mark"]) % np.uint64(shards)).astype(np.int32)
@@ -272,16 +303,7 @@ def _fetched(shards: int):
                 a = int(lo[k])
                 pieces.setdefault(int(shard[k]), []).append(w[k].tobytes() + raw[a : a + size])
             out.append(pa.RecordBatch.from_arrays([pa.array([3] * len(pieces), pa.int32()), pa.array(list(pieces), pa.int32()), pa.array([zstandard.compress(b"".join(v), 1) for v in pieces.values()], pa.binary())], _BATCH))
-            hot = w[~cold]
-            if len(hot):
-                n = hot["n"].astype(np.int64)
-                which = np.repeat(np.arange(len(hot)), n)
-                step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                start = lo[~cold][which] + step
-                s = np.empty(len(which), _STRING)
-                s["hash"] = Hashes(data).of(start, start + LENGTH)
-                s["doc"], s["start"] = hot["doc"][which], hot["lo"][which] + step
-                out.append(keyed(4, (s["hash"] % np.uint64(shards)).astype(np.int32), s))
+            out += _strings(data, w[~cold], lo[~cold], shards)
         return pa.Table.from_batches(out, schema=pa.schema([("kind", pa.int32()), ("key", pa.int32()), ("blob", pa.binary())]))
 
     return run
@@ -367,29 +389,32 @@ def _cut_out(docs: pa.Table, ranges: pa.Table) -> pa.Table:
         edges = np.flatnonzero(np.diff(np.concatenate([[False], g, [False]]).astype(np.int8)))
         spans.append([{"start": int(x), "end": int(y)} for x, y in zip(edges[::2], edges[1::2], strict=True)])
         kept.append(data[a:b][~g].tobytes())
-    return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(spans, _OUT.field("spans").type), pa.array(kept, pa.binary())], schema=_OUT)
+    return pa.Table.from_arrays([docs.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(spans, _OUT.field("spans").type), pa.array(kept, pa.binary())], schema=_OUT)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, buckets: int = 1024, shard_bytes: int = 16 << 20) -> DataFrame:
-    """One row per row of ``docs`` that has an id: doc_id, n_bytes, spans, kept.
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, bucket_bytes: int = 64 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, spans, kept.
 
     ``spans`` are the maximal ranges of bytes of the text's UTF-8 that lie in a string of 100 bytes which also starts
     earlier (in a document with a smaller id, or earlier in the same one; overlaps count, on the input as it is);
     ``kept`` are the other bytes, in order. Null counts as empty; texts under 100 bytes are never touched. Rows without
-    an id are left out; ids are taken to be unique. Other columns are ignored; an empty table gives an empty result.
-    Work is dealt by hashes of content and of ids: buckets of places, shards of text (at least 1024, and one for every
-    ``shard_bytes`` of input), chunks of about ``chunk_bytes``.
+    an id come after all others; rows that repeat an id are documents of their own, in an order that is fixed for the
+    call. Other columns are ignored; an empty table gives an empty result. Work is dealt by hashes of content and of
+    ids: buckets of places (at least 1024, and one for every ``bucket_bytes`` of input), shards of text (the same with
+    ``shard_bytes``), chunks of about ``chunk_bytes``.
     """
-    rows = id_text(docs, id_col, text_col).filter("doc_id IS NOT NULL")
+    wide = with_row(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    rows = wide.select("row", "doc_id", "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(64, total // chunk_bytes) | 1
+    buckets = max(1024, total // bucket_bytes)
     shards = max(1024, total // shard_bytes)
-    chunked = rows.withColumn("chunk", chunk_column(F.col("doc_id"), chunks))
+    chunked = rows.withColumn("chunk", chunk_column(F.col("row"), chunks))
 
-    posted = rows.mapInArrow(_posted(buckets, chunks), _KEYED)
+    posted = rows.select("row", "text").mapInArrow(_posted(buckets, chunks), _KEYED)
     settled = cut(posted.repartition("key").sortWithinPartitions("key").mapInArrow(_settled(chunks, buckets), _KEYED))
     wanted = settled.filter("kind = 2")
-    fetched = chunked.groupBy("chunk").cogroup(wanted.groupBy("key")).applyInArrow(_fetched(shards), _KEYED)
+    fetched = chunked.select("chunk", "row", "text").groupBy("chunk").cogroup(wanted.groupBy("key")).applyInArrow(_fetched(shards), _KEYED)
     more = cut(fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_sharded(chunks), _KEYED))
     ranges = settled.filter("kind = 1").union(more)
     return chunked.groupBy("chunk").cogroup(ranges.groupBy("key")).applyInArrow(_cut_out, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
