@@ -3,7 +3,8 @@
 The templates are few and fixed, so they are literals of the plan: notices, headers and openings, and whole licence
 texts. A unit (a line, a run of lines, or the whole text) is compared with a template only if their numbers of distinct
 bigrams allow the threshold: 2 * min / (a + b) >= t. A unit at the threshold holds at least t / (2 - t) of the
-template's distinct bigrams, so a text without any of the words that more than the rest of them contain has no hit.
+template's distinct bigrams, and all of its bigrams are bigrams of the text. So each text is read once against a hash
+set of all templates' bigrams; only templates of which it has enough are compared with its units, in most texts none.
 """
 
 from __future__ import annotations
@@ -81,25 +82,6 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
 
 
-# Fixed value: words that say little about a text being a licence; they are taken last as marks.
-_COMMON = set("the of to and or is this a in any under by you for that not with as it be work an are on at from which 0 1 2 3 4".split())
-
-
-def marks(grams: dict[str, list[str]], threshold: float) -> list[str]:
-    """Words of which a unit at the threshold has at least one: too few bigrams of its template lack them all."""
-    out = set()
-    for b in grams.values():
-        left = set(b)
-        words = {w for x in b for w in x.split()}
-        count = {w: sum(w in x.split() for x in b) for w in words}
-        for w in sorted(words, key=lambda w: (w in _COMMON, len(w) < 7, -count[w], w)):
-            if len(left) < _need(b, threshold):
-                break
-            out.add(w)
-            left = {x for x in left if w not in x.split()}
-    return sorted(out)
-
-
 def _need(b: list[str], threshold: float) -> float:
     """The least number of a template's bigrams in a unit at the threshold, and so the unit's least size."""
     return len(b) * threshold / (2 - threshold) - 1e-9
@@ -120,6 +102,36 @@ def _pairs(w: Column) -> Column:
     return F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))).otherwise(F.array().cast("array<string>"))
 
 
+def _in(x: str, items: list[str]) -> str:
+    """SQL: whether ``x`` is one of literals (letters, digits and blanks), which Spark looks up in a hash set."""
+    return f"{x} IN (" + ", ".join(f"'{i}'" for i in items) + ")"
+
+
+def _shared(grams: dict[str, list[str]]) -> Column:
+    """The distinct bigrams of the column ``text`` that any template has."""
+    every = sorted({x for b in grams.values() for x in b})
+    if not every:
+        return F.array().cast("array<string>")
+    words = "split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ')), ' ')"
+    pairs = "CASE WHEN size(w) > 1 THEN transform(sequence(0, size(w) - 2), i -> concat_ws(' ', get(w, i), get(w, i + 1))) ELSE array() END"
+    return F.expr(f"array_distinct(filter(get(transform(array({words}), w -> {pairs}), 0), x -> {_in('x', every)}))")
+
+
+def _possible(grams: dict[str, list[str]], threshold: float) -> Column:
+    """The names of the templates of which the column ``shared`` holds what a unit at the threshold needs."""
+    quoted = lambda name: "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    enough = [f"CASE WHEN size(filter(shared, x -> {_in('x', b)})) >= {_need(b, threshold):.9f}D THEN {quoted(name)} END" for name, b in sorted(grams.items()) if b]
+    none = F.array().cast("array<string>")
+    if not enough:
+        return none
+    least = min(_need(b, threshold) for b in grams.values() if b)
+    return F.when(F.size("shared") >= least, F.expr(f"array_compact(array({', '.join(enough)}))")).otherwise(none)
+
+
+def _open(name: str) -> Column:
+    return F.array_contains(F.col("possible"), name)
+
+
 def _named(name: str, threshold: float):
     return lambda d: F.when(d >= threshold, F.struct(d.alias("dice"), F.lit(name).alias("license")))
 
@@ -135,7 +147,7 @@ def _best(unit: Column, templates: dict[str, list[str]], threshold: float) -> Co
         for name, b in sorted(templates.items(), reverse=True):
             fits = (n >= len(b) * threshold / (2 - threshold)) & (n <= len(b) * (2 - threshold) / threshold)
             dice = 2 * F.size(F.array_intersect(a, _array(b))) / (n + len(b))
-            tried.append(F.when(fits, let(dice, _named(name, threshold))))
+            tried.append(F.when(_open(name) & fits, let(dice, _named(name, threshold))))
         return F.when((n >= low) & (n <= high), F.reduce(F.array(*tried), F.lit(None).cast("struct<dice:double,license:string>"), lambda x, y: F.when(x.isNull() | (y["dice"] >= x["dice"]), y).otherwise(x)))
 
     return let(F.array_distinct(_pairs(unit)), score)
@@ -202,7 +214,7 @@ def _runs(lines: Column, templates: dict[str, list[str]], threshold: float) -> C
 
         def of(distinct):
             none = F.array().cast(_RUNS)
-            return F.concat(*[F.coalesce(F.when(F.size(distinct) >= _need(b, threshold), let(F.array_intersect(distinct, _array(b)), possible(name, b))), none) for name, b in sorted(templates.items())])
+            return F.concat(*[F.coalesce(F.when(_open(name) & (F.size(distinct) >= _need(b, threshold)), let(F.array_intersect(distinct, _array(b)), possible(name, b))), none) for name, b in sorted(templates.items())])
 
         return let(let(F.array_distinct(pairs), of), lambda r: let(F.sort_array(r, asc=False), _apart))
 
@@ -221,7 +233,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ignored; repeated rows give repeated results; an empty table gives an empty result.
     """
     grams = {name: template_bigrams(t) for name, t in (all_templates() if templates is None else templates).items()}
-    rows = id_text(docs, id_col, text_col)
+    rows = id_text(docs, id_col, text_col).withColumn("shared", _shared(grams)).select("doc_id", "text", _possible(grams, threshold).alias("possible"))
 
     def scanned(lines):
         hits = F.array_compact(F.transform(lines, lambda x: _best(x, grams, threshold)))
@@ -229,7 +241,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return units
 
     lines = F.transform(F.split("text", "\n"), _words)
-    found = rows.select("doc_id", F.when(F.arrays_overlap(_words(F.col("text")), _array(marks(grams, threshold))), let(lines, scanned)).alias("f"))
+    found = rows.select("doc_id", F.when(F.size("possible") > 0, let(lines, scanned)).alias("f"))
     hits = F.coalesce("f.hits", F.array().cast("array<struct<dice:double,license:string>>"))
     runs = F.coalesce(F.transform("f.runs", lambda x: F.struct(x["dice"].alias("dice"), x["license"].alias("license"))), F.array().cast("array<struct<dice:double,license:string>>"))
     found = found.select("doc_id", hits.alias("hits"), F.col("f.whole").alias("whole"), runs.alias("runs"))
