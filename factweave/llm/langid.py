@@ -8,6 +8,7 @@ few array operations; texts are parsed in blocks, each of which starts a phrase
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,12 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, id_text
+from .common import id_text, release
 from .shingles import slices
 
 UNKNOWN = "und"
 BLOCK = 2048
-_FLAG = 1 << 30
+#: Bytes of text that are parsed at a time.
+STEP = 1 << 20
 
 
 def crc_bucket(doc_id: Column, n: int) -> Column:
@@ -32,10 +34,11 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the training sample: documents a language, code points of each that count, and symbols in all."""
+    """Bounds of the training sample: documents a language, pieces of each and code points of a piece, symbols in all."""
 
     docs_per_language: int = 48
-    chars_per_doc: int = 4096
+    pieces: int = 8
+    piece_chars: int = 512
     symbols: int = 256 << 10
 
 
@@ -92,32 +95,54 @@ class SuffixAutomaton:
             last = cur
         self.next = nxt
 
-    def table(self, width: int) -> np.ndarray:
-        """Flat [state * width + symbol] -> next state * width; a step that ends a phrase restarts it and has _FLAG."""
-        n = len(self.next)
-        root = np.zeros(width, np.int32)
-        for c, s in self.next[0].items():
-            root[c] = s * width
-        t = np.tile(root | _FLAG, n).astype(np.int32)
-        at = np.fromiter((i * width + c for i, d in enumerate(self.next) for c in d), np.int64)
-        t[at] = np.fromiter((s * width for d in self.next for s in d.values()), np.int32)
-        return t
-
 
 class CrossParser:
-    """Phrase counts of texts against each language. ``samples``: (language, rows, training symbols as bytes)."""
+    """Phrase counts of texts against each language. ``samples``: (language, rows, training symbols as bytes).
+
+    States of all automata are numbered through. Most have one transition: ``only`` is its symbol and ``goto`` the
+    state it leads to. The others (``only`` 0) have a row of ``branches`` that begins at ``goto``, with -1 where a
+    phrase ends. ``roots`` says where the next phrase of a language is after its first symbol.
+    """
 
     def __init__(self, samples: list[tuple[str, int, bytes]]):
         self.languages = [s[0] for s in samples]
         used = np.unique(np.frombuffer(b"".join(s[2] for s in samples), np.uint8))
         self.code = np.zeros(256, np.uint8)  # 0: in no sample
         self.code[used] = np.arange(1, len(used) + 1)
-        self.width = len(used) + 1
-        tables = [SuffixAutomaton(self.code[np.frombuffer(s[2], np.uint8)].tolist()).table(self.width) for s in samples]
-        self.start = np.cumsum([0, *map(len, tables)])[:-1].astype(np.int64)
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        width = len(used) + 1
+        self.root = np.zeros(len(samples), np.int32)
+        self.roots = np.zeros((len(samples), width), np.int32)
+        only, goto, rows = [], [], []
+        for k, (_, _, sample) in enumerate(samples):
+            states = SuffixAutomaton(self.code[np.frombuffer(sample, np.uint8)].tolist()).next
+            first = len(only)
+            self.root[k] = self.roots[k] = first
+            for c, s in states[0].items():
+                self.roots[k, c] = first + s
+            for i, d in enumerate(states):
+                if len(d) == 1 and i:
+                    ((c, s),) = d.items()
+                    only.append(c)
+                    goto.append(first + s)
+                else:
+                    only.append(0)
+                    goto.append(len(rows) * width)
+                    row = np.full(width, -1, np.int32)
+                    for c, s in d.items():
+                        row[c] = first + s
+                    rows.append(row)
+        self.only, self.goto = np.array(only, np.uint8), np.array(goto, np.int32)
+        self.branches = np.concatenate(rows) if rows else np.zeros(0, np.int32)
         self.prior = np.argsort(np.argsort([(-s[1]) for s in samples], kind="stable"), kind="stable")
 
+    def step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """[language, text] states, after a symbol of each text, and where a phrase ended before it."""
+        only, goto = self.only[state], self.goto[state]
+        branches = only == 0
+        to = np.where(branches, self.branches[np.where(branches, goto + c, 0)], np.where(only == c, goto, -1))
+        ended = to < 0
+        return np.where(ended, self.roots[:, c], to), ended
+
     def phrases(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """[language, text] -> phrases, for the texts codes[start:end]."""
         lengths = ends - starts
@@ -129,14 +154,11 @@ class CrossParser:
         order = np.argsort(-n, kind="stable")
         at, n = at[order], n[order]
         count = np.zeros((len(self.languages), len(at)), np.int32)
-        state = np.zeros_like(count)
-        base = self.start[:, None]
+        state = np.repeat(self.root[:, None], len(at), 1)
         for t in range(int(n[0]) if len(n) else 0):
             k = int(np.searchsorted(-n, -t, side="left"))  # blocks with more than t symbols
-            c = codes[at[:k] + t]
-            v = self.table[base + (state[:, :k] + c)]
-            count[:, :k] += v >> 30
-            state[:, :k] = v & (_FLAG - 1)
+            state[:, :k], ended = self.step(state[:, :k], codes[at[:k] + t])
+            count[:, :k] += ended
         total = np.zeros((len(self.languages), len(starts)), np.int64)
         for i in range(len(self.languages)):
             total[i] = np.bincount(owner[order], weights=count[i] + 1, minlength=len(starts)).astype(np.int64)
@@ -176,39 +198,56 @@ class CrossParser:
 def sample(rows: DataFrame, s: Settings) -> list[tuple[str, int, bytes]]:
     """Training symbols per language from ``rows`` (doc_id, text, lang; labelled, not empty).
 
-    Of each language the documents with the smallest hashes of their ids; the numbers of rows by language come from
-    all rows, so the sample is drawn evenly whatever the table's size. What reaches the driver is bounded by ``s``.
+    Of each language the documents with the smallest hashes of their ids, of each of these up to ``s.pieces`` pieces
+    that are spread evenly over the whole text, and of all pieces, in the order of a hash, as many as fit. The numbers
+    of rows by language come from all rows, so the sample is drawn evenly whatever the table's size. What reaches the
+    driver is bounded by ``s``.
     """
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 11) / float(1 << 53)
     share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, 3 * s.docs_per_language / n)))])
-    drawn = rows.filter(unit < share[F.col("lang")]).select("lang", unit.alias("u"), "doc_id", F.left("text", F.lit(s.chars_per_doc)).alias("text")).collect()
+    spread = F.transform(
+        F.sequence(F.lit(0), F.lit(s.pieces - 1)),
+        lambda i: F.substring(F.col("text"), (F.floor(i * F.char_length("text") / s.pieces) + 1).cast("int"), F.lit(s.piece_chars)),
+    )
+    pieces = F.when(F.char_length("text") > s.pieces * s.piece_chars, spread).otherwise(F.array("text"))
+    drawn = rows.filter(unit < share[F.col("lang")]).select("lang", unit.alias("u"), "doc_id", pieces.alias("pieces")).collect()
     per = max(1024, s.symbols // len(counts))
     out = []
     for lang in sorted(counts):
-        parts, size = [], 0
-        for r in sorted((r for r in drawn if r["lang"] == lang), key=lambda r: (r["u"], r["doc_id"] or 0))[: s.docs_per_language]:
-            x = symbols(np.frombuffer(r["text"].encode(), np.uint8))
-            x = x[squeezed(x, np.zeros(1, np.int64))]
-            parts.append(x.tobytes() + b" ")
-            size += len(x) + 1
-        share_of = per / max(size, 1)  # if there is too much, as large a part of each
-        cut = [p[: max(1, int(len(p) * share_of))] if share_of < 1 else p for p in parts]
-        out.append((lang, counts[lang], b"".join(cut)))
+        chosen = sorted((r for r in drawn if r["lang"] == lang), key=lambda r: (r["u"], r["doc_id"] or 0))[: s.docs_per_language]
+        found = []
+        for r in chosen:
+            for i, text in enumerate(r["pieces"]):
+                x = symbols(np.frombuffer(text.encode(), np.uint8))
+                x = x[squeezed(x, np.zeros(1, np.int64))]
+                found.append((zlib.crc32(f"{r['doc_id']} {i}".encode()), len(found), x.tobytes() + b" "))
+        fits, size = [], 0
+        for _, _, x in sorted(found):
+            if fits and size + len(x) > per:
+                continue
+            fits.append(x)
+            size += len(x)
+        out.append((lang, counts[lang], b"".join(fits)))
     return out
 
 
-def _parser(model) -> CrossParser:
-    return held(("language", hash(tuple(model))), lambda: CrossParser(model))
+def _sent(docs: DataFrame, model: list):
+    return docs.sparkSession.sparkContext.broadcast(CrossParser(model))
+
+
+def _parser(sent) -> CrossParser:
+    release()
+    return sent.value
 
 
-def _predicted(model):
+def _predicted(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(model.value)
+        parser = _parser(sent)
         for b in batches:
-            for i, j in slices(b.column(1)):
+            for i, j in slices(b.column(1), STEP):
                 part = b.slice(i, j - i)
                 lang, score, rate = parser.predict(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], ["doc_id", "lang_pred", "score", "phrase_rate"])
@@ -229,21 +268,20 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     then by name. Null, empty and letterless texts, and all texts if nothing was labelled, get ``und`` and 0. Equal
     texts get equal results; other columns are ignored; an empty table gives an empty result. No shuffle.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    return id_text(docs, id_col, text_col).mapInArrow(_predicted(sent), "doc_id long, lang_pred string, score double, phrase_rate double")
+    return id_text(docs, id_col, text_col).mapInArrow(_predicted(_sent(docs, model)), "doc_id long, lang_pred string, score double, phrase_rate double")
 
 
 def keep_identified(docs: DataFrame, model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose text has a language, with all columns; a null ``lang_col`` gets the prediction."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = _sent(docs, model)
     text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(sent.value)
+        parser = _parser(sent)
         for b in batches:
             text = b.column(text_at)
             text = pc.fill_null(text, "") if text.null_count else text
-            for i, j in slices(text):
+            for i, j in slices(text, STEP):
                 part = b.slice(i, j - i)
                 lang = pa.array(parser.predict(text.slice(i, j - i))[0], pa.string())
                 columns = list(part.columns)
