@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, release
+from .common import cut, id_text, release, unique_ids, with_row
 from .components import components
 from .shingles import shingle_sets, slices
 
@@ -291,28 +291,40 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[j], node[i])), pa.array(np.maximum(node[j], node[i]))], ["a", "b"])
 
 
-def ngram_join(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; the set holds the distinct 5-word shingles, or the whole
+    sequence if there are fewer words. Sets are compared by 64-bit hashes of their shingles. Texts that are null, empty
+    or blank have an empty set and link with nothing; equal sets are linked. Every row is a document: rows that repeat
+    an id are linked only if their texts are, and rows without one come after all others, so a component of such rows
+    alone has no id. Other columns are ignored; an empty table gives no rows. ``settings``: see ``linked_rows``.
+    """
+    named = id_text(docs, id_col, text_col)
+    if unique_ids(named):
+        return linked_rows(named, **settings)
+    rows = with_row(named).select(F.col("row"), "doc_id", "text")
+    out = linked_rows(rows.select(F.col("row").alias("doc_id"), "text"), **settings)
+    own = rows.select(F.col("row").alias("doc_id"), F.col("doc_id").alias("own"))
+    least = rows.select(F.col("row").alias("component_id"), F.col("doc_id").alias("least"))
+    return out.join(own, "doc_id").join(least, "component_id").select(F.col("own").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+
+
+def linked_rows(
+    rows: DataFrame,
     often: int = 4,
     frequent_df: int = 64,
     most_frequent: int = 1_000_000,
-    buckets: int = 1024,
+    bucket_bytes: int = 64 << 20,
 ) -> DataFrame:
-    """One row per row of ``docs`` that has an id: doc_id, n_shingles, component_id.
-
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; the set holds the distinct 5-word shingles, or the whole
-    sequence if there are fewer words. Sets are compared by 64-bit hashes of their shingles. Texts that are null, empty
-    or blank have an empty set and link with nothing; equal sets are linked; rows without an id are left out; a
-    repeated id is one document whose rows are all linked. Other columns are ignored; an empty table gives no rows.
+    """``ngram_join`` of rows (doc_id, text) with unique ids and without nulls.
 
     ``often``, ``frequent_df`` and ``most_frequent`` only shape the order of shingles: those with a counted frequency
     of ``frequent_df`` or more, at most ``most_frequent`` of them (12 bytes each, which bounds what is broadcast), come
-    last. No pair is lost by them.
+    last. No pair is lost by them. Postings are dealt to at least 1024 buckets, and one for every ``bucket_bytes``.
     """
-    spark = docs.sparkSession
-    rows = id_text(docs, id_col, text_col).filter("doc_id IS NOT NULL")
+    spark = rows.sparkSession
+    buckets = max(1024, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes)
     about = cut(rows.mapInArrow(facts(often), _FACTS))
     sizes = about.filter("kind = 0").select("doc_id", "n", "set_id")
     frequent = (

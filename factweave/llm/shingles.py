@@ -67,7 +67,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a text of fewer than K words has one shingle, of none no shingle."""
     out: list[np.ndarray] = []
-    for i, j in slices(texts):
+    for i, j in slices(texts, 512 << 10):
         data, at = utf8(texts.slice(i, j - i))
         w, count = word_hashes(data, at)
         if len(w) >= K:

@@ -65,7 +65,14 @@ def test_chain_of_near_copies(spark):
 
 def test_nothing(spark):
     assert run(spark, []) == {}
-    assert run(spark, [(1, None), (2, ""), (None, "a b c d e f")]) == {1: (0, 1), 2: (0, 2)}
+    assert run(spark, [(1, None), (2, ""), (None, "a b c d e f")]) == {1: (0, 1), 2: (0, 2), None: (2, None)}
+
+
+def test_every_row_is_a_document(spark):
+    text, near = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(59))
+    rows = [(5, text), (5, "something else of its own here"), (5, text), (3, near), (None, text), (None, "no id and no link at all"), (9, "no id and no link at all")]
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.ngram_join(frame(spark, rows)).collect())
+    assert got == sorted([("5", 56, "3"), ("5", 2, "5"), ("5", 56, "3"), ("3", 55, "3"), ("None", 56, "3"), ("None", 3, "9"), ("9", 3, "9")])
 
 
 def test_components(spark):
