@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, unique_ids, with_row
 
 _DELETED = b" \t\n\v\f\r"
 _PARTIAL = "digest binary, content binary, n_chars long, doc_id long, n long"
 _CLASSES = "digest binary, keep_id long, group_size long"
 _FAN_OUT = 16
-_MAX_LEVEL = 7
+#: Nibbles of a SHA-256: beyond the last, records have one digest and so one content.
+_MAX_LEVEL = 64
 
 
 def _better(a: tuple, b: tuple) -> bool:
@@ -155,34 +156,42 @@ def _class_batch(rows: list) -> pa.RecordBatch:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_bytes: int = 64 << 20) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_chars.
 
-    Texts are equal when identical without the characters ``[\\x20\\x09-\\x0D]``; the row with the most code points
-    in its original text stays, then the smallest id. Null text counts as empty, so null, empty and blank texts form
-    one group. A null id is kept as a row and comes last among ties. Rows with the same id and equal text are both
-    marked kept if that id stays. Other columns are ignored. An empty table gives an empty result.
+    Texts are equal when identical without the characters ``[\\x20\\x09-\\x0D]``; of a group one row stays, that with
+    the most code points in its original text, then the smallest id. Null text counts as empty, so null, empty and
+    blank texts form one group. Rows without an id come last among ties, and of rows that repeat an id the first in an
+    order that is fixed for the call. Other columns are ignored. An empty table gives an empty result.
     ``memory_bytes`` bounds each task's table; beyond it the bucket is split into spill files.
     """
-    rows = id_text(docs, id_col, text_col)
+    named = id_text(docs, id_col, text_col)
+    unique = unique_ids(named)
+    rows = named.select(F.col("doc_id").alias("row"), "text", "doc_id") if unique else with_row(named).select("row", "text", "doc_id")
     classes = (
-        rows.mapInArrow(collapse(memory_bytes), _PARTIAL)
+        rows.select("row", "text").mapInArrow(collapse(memory_bytes), _PARTIAL)
         .repartition("digest")
         .mapInArrow(bucket_classes(memory_bytes), _CLASSES)
-        .select(F.lower(F.hex("digest")).alias("text_sha256"), "keep_id", "group_size")
-    )
+        .select(F.lower(F.hex("digest")).alias("text_sha256"), F.col("keep_id").alias("keep_row"), "group_size")
+    )
     small = rows.select(
+        "row",
         "doc_id",
         F.sha2(F.translate("text", " \t\n\x0b\x0c\r", ""), 256).alias("text_sha256"),
         F.char_length("text").cast("long").alias("n_chars"),
     )
     joined = small.join(classes, "text_sha256", "left")
     alone = F.col("group_size").isNull()
-    return joined.select(
+    keep = F.when(alone, F.col("row")).otherwise(F.col("keep_row"))
+    out = joined.select(
         "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        keep.alias("keep_id"),
         F.when(alone, F.lit(1).cast("long")).otherwise(F.col("group_size")).alias("group_size"),
-        (alone | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        (F.col("row") == keep).alias("kept"),
         "text_sha256",
         "n_chars",
     )
+    if unique:
+        return out
+    ids = rows.select(F.col("row").alias("keep_id"), F.col("doc_id").alias("keep_doc"))
+    return out.join(ids, "keep_id").select("doc_id", F.col("keep_doc").alias("keep_id"), "group_size", "kept", "text_sha256", "n_chars")
 
 
 ORACLE = r"""

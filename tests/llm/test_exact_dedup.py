@@ -40,5 +40,16 @@ def test_grace_recursion(tmp_path):
     assert not list(tmp_path.iterdir())
 
 
+def test_one_row_of_a_group_stays(spark):
+    rows = [(None, None), (None, ""), (1, " "), (1, " "), (1, "x y"), (1, "xy"), (None, "x  y"), (2, "only"), (None, "alone")]
+    got = exact_dedup.exact_dedup(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.text_sha256, []).append(r)
+    assert sorted((len(g), g[0].group_size, sum(r.kept for r in g), {r.keep_id for r in g}) for g in by.values() if len(g) > 1) == [(3, 3, 1, {None}), (4, 4, 1, {1})]
+    assert all(g[0].kept for g in by.values() if len(g) == 1)
+
+
 def test_empty(spark):
     assert run(spark, []) == {}
