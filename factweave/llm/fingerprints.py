@@ -1,6 +1,7 @@
 """Document fingerprints by Order MinHash (DataFrame operations only).
 
-The k-mers of a text are its runs of ``K`` words, each numbered by its occurrence, so repeats stay apart. One hash
+The k-mers of a text are its runs of ``K`` words, or of ``K`` code points if it has few or very long words (as texts
+without spaces do), each numbered by its occurrence, so repeats stay apart. One hash
 deals the numbered k-mers to ``1 << SLOT_BITS`` slots (one-permutation hashing); a slot selects its two smallest,
 puts them back in text order and hashes the pair. A slot of two texts agrees only if the selected k-mers and their
 order agree, which is what makes the signature follow edit distance rather than set overlap. Everything happens within
@@ -14,9 +15,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, id_text
+from .common import SPACE, cut, id_text, with_row
 
 K = 5
+#: Code points a word, on average, beyond which a text is read by code points.
+LONG_WORDS = 32
 SLOT_BITS = 6
 _POS_BITS = 26
 _POS_MASK = (1 << _POS_BITS) - 1
@@ -33,6 +36,16 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE + "+"))
 
 
+def units(text: Column) -> Column:
+    """What k-mers are made of: words, or code points where there are fewer than ``K`` words or they are long."""
+
+    def chosen(w):
+        by_words = (F.size(w) >= K) & (F.char_length(text) <= LONG_WORDS * F.size(w))
+        return F.when(by_words | (F.size(w) == 0), w).otherwise(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
+
+    return let(words(text), chosen)
+
+
 def _pack(h: Column, pos: Column) -> Column:
     """37 bits of the hash above 26 bits of the position; not negative, so order is by hash, then position."""
     return F.shiftleft(F.shiftrightunsigned(h, 27), _POS_BITS).bitwiseOR(pos.cast("long").bitwiseAND(F.lit(_POS_MASK).cast("long")))
@@ -89,7 +102,7 @@ def _tuples(s: Column) -> Column:
 
 def signature(text: Column) -> Column:
     """array<bigint>: (slot << 32 | 32 bits of the tuple's hash) for every slot that got a k-mer."""
-    return let(words(text), lambda w: let(_kmers(w), lambda s: let(_numbered(s), lambda n: let(_smallest_two(n), _tuples))))
+    return let(units(text), lambda w: let(_kmers(w), lambda s: let(_numbered(s), lambda n: let(_smallest_two(n), _tuples))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -104,17 +117,17 @@ def as_string(sig: Column) -> Column:
 
 
 def followers(ids: DataFrame) -> DataFrame:
-    """(doc_id, next_id, n_chars) with the next id in ascending order, after the last the first.
+    """(row, next_row, n_chars) with the next row in ascending order, after the last the first. ``row`` is unique.
 
-    Ids are range-partitioned once; the next id comes from a window within a partition, and for a partition's last id
-    from the table of the partitions' first ids, which has one row per partition.
+    Rows are range-partitioned once; the next one comes from a window within a partition, and for a partition's last
+    from the table of the partitions' first rows, which has one row per partition.
     """
-    parts = cut(ids.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
-    firsts = parts.groupBy("part").agg(F.min("doc_id").alias("first"))
+    parts = cut(ids.repartitionByRange("row").withColumn("part", F.spark_partition_id()))
+    firsts = parts.groupBy("part").agg(F.min("row").alias("first"))
     order = Window.orderBy("part")
     firsts = firsts.select("part", F.coalesce(F.lead("first").over(order), F.first("first").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
-    inside = F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id"))
-    return parts.withColumn("inside", inside).join(firsts, "part").select("doc_id", F.coalesce("inside", "after").alias("next_id"), "n_chars")
+    inside = F.lead("row").over(Window.partitionBy("part").orderBy("row"))
+    return parts.withColumn("inside", inside).join(firsts, "part").select("row", F.coalesce("inside", "after").alias("next_row"), "n_chars")
 
 
 def order_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,17 +140,16 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     The edited text is the text whose last ``floor(n_chars / 2)`` code points are replaced by the first as many (or
     all) of the next document's. Null counts as empty; an empty text has an empty fingerprint, is like another empty
-    one (1.0) and unlike all others (0.0). Fewer than five words make one k-mer. A single document is its own next.
-    Ids are taken to be unique: a repeated id gives a row per combination. Rows without an id are left out, as they
-    have no place in the order. Other columns are ignored; an empty table gives an empty result.
+    one (1.0) and unlike all others (0.0). Fewer than ``K`` units make one k-mer. A single document is its own next.
+    Every row is a document: rows without an id come after all others, and rows that repeat an id follow one another in
+    an order that is fixed for the call. Other columns are ignored; an empty table gives an empty result.
     """
-    signed = order_minhash(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
-    ids = id_text(docs, id_col, text_col).filter("doc_id IS NOT NULL").select("doc_id", F.char_length("text").cast("long").alias("n_chars"))
-    before = followers(ids).select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prev_id"), F.expr("int(n_chars div 2)").alias("need"))
-    heads = signed.join(before, "doc_id").select(
-        F.col("prev_id").alias("doc_id"), F.expr("left(text, need)").alias("head"), F.col("sig").alias("next_sig")
-    )
-    both = signed.join(heads, "doc_id").withColumn("n_chars", F.char_length("text"))
+    rows = with_row(id_text(docs, id_col, text_col))
+    signed = rows.withColumn("sig", signature(F.col("text")))
+    ids = rows.select("row", F.char_length("text").cast("long").alias("n_chars"))
+    before = followers(ids).select(F.col("next_row").alias("row"), F.col("row").alias("prev_row"), F.expr("int(n_chars div 2)").alias("need"))
+    heads = signed.join(before, "row").select(F.col("prev_row").alias("row"), F.expr("left(text, need)").alias("head"), F.col("sig").alias("next_sig"))
+    both = signed.join(heads, "row").withColumn("n_chars", F.char_length("text"))
     edited = both.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "sig", "next_sig", F.expr("concat(left(text, n_chars - n_chars div 2), head)").alias("edited"))
     signed2 = edited.select("doc_id", "n_chars", "sig", "next_sig", F.sha2("edited", 256).alias("edited_sha256"), signature(F.col("edited")).alias("edited_sig"))
     return signed2.select(

@@ -32,6 +32,8 @@ def signature(text):
     if not w:
         return []
     k = fingerprints.K
+    if len(w) < k or len(text) > fingerprints.LONG_WORDS * len(w):
+        w = list(text)
     grams = [w[i : i + k] for i in range(max(len(w) - k, 0) + 1)]
     seen, items = Counter(), []
     first = sorted((chain(*g) >> 27, i) for i, g in enumerate(grams))
@@ -49,7 +51,7 @@ def signature(text):
 
 
 def test_signatures(spark):
-    rows = [(i, t) for i, t in corpus() if t]
+    rows = [(i, t) for i, t in corpus() if t] + [(3000, "ab cd"), (3001, "日本語のテキスト🙂" * 30), (3002, "x"), (3003, "w " * 4 + "y" * 500)]
     for r in fingerprints.order_minhash(frame(spark, rows)).collect():
         assert list(r.sig) == signature(r.text)
 
@@ -75,6 +77,32 @@ def test_edit_report(spark):
     assert one.near_next == 1.0
 
 
+def near(a, b):
+    """Share of the slots used by either signature in which both agree."""
+    used = {x >> 32 for x in a} | {x >> 32 for x in b}
+    return len(set(a) & set(b)) / len(used) if used else 1.0
+
+
+def test_likeness_against_brute_force(spark):
+    rows = sorted(corpus(4)) + [(4000, "ab cd"), (4001, "日本語のテキスト" * 9)]
+    got = {r.doc_id: r for r in fingerprints.edit_report(frame(spark, rows)).collect()}
+    for (doc, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        t, a = text or "", after or ""
+        edited = t[: len(t) - len(t) // 2] + a[: len(t) // 2]
+        assert got[doc].fingerprint == " ".join(f"{x:x}" for x in signature(t))
+        assert got[doc].near_edited == near(signature(t), signature(edited)) and got[doc].near_next == near(signature(t), signature(a))
+
+
+def test_every_row_has_one_report(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "q r s t u v"), (None, "one two three four five six"), (None, None), (0, "x y z x y z")]
+    got = fingerprints.edit_report(frame(spark, rows)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_chars) for r in got) == sorted((i is None, i or 0, len(t or "")) for i, t in rows)
+    assert next(r for r in got if r.doc_id == 0).near_next == 0.0
+    # rows without an id come last; the last row's next is the first, so one of theirs is edited with its beginning
+    ends = {hashlib.sha256(e.encode()).hexdigest() for e in ("one two three " + "x y z x y z"[:14], "")}
+    assert any(r.doc_id is None and r.edited_sha256 in ends for r in got)
+
+
 def dice(unit, grams):
     w = re.findall("[a-z0-9]+", unit.lower())
     a = {f"{x} {y}" for x, y in zip(w, w[1:])}
