@@ -1,6 +1,7 @@
 """Corpus pipeline: language ID, exact dedup, near dedup, mixing, BPE coding.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. What an
+operator decides is decided for rows, not ids: rows without an id or that repeat one are documents of their own.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.llm import bpe, exact_dedup, langid, mixing, ngram_join
-from factweave.llm.common import shared_dir, table
+from factweave.llm.common import free_name, remove, shared_dir, table, with_row
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,22 +21,30 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of equal texts: the longest, of these the one with the smallest id, an id before none.
+    Null, empty and blank texts are one group; an empty table stays empty."""
+    row = free_name(docs, "row")
+    rows = with_row(docs, name=row)
+    kept = exact_dedup.exact_dedup(rows, id_col=row).filter("kept").select(F.col("doc_id").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group linked by 5-word shingles."""
-    kept = ngram_join.ngram_join(docs).filter("component_id = doc_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document, that with the smallest id (an id before none), of each group linked by 5-word shingles. Null, empty
+    and blank texts are linked with nothing and stay."""
+    row = free_name(docs, "row")
+    rows = with_row(docs, name=row)
+    kept = ngram_join.ngram_join(rows, id_col=row).filter("component_id = doc_id").select(F.col("doc_id").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, up to three times."""
-    copies = mixing.mix(docs).filter("copies > 0").select("doc_id", "copies")
-    rows = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.select(*docs.columns)
+    """Every document as often as the mix takes it, up to three times; texts without a word are not taken. The null
+    source is a source of its own; ties go by a hash of the row's number."""
+    row, copies = free_name(docs, "row"), free_name(docs, "copies")
+    rows = with_row(docs, name=row)
+    taken = mixing.mix(rows, id_col=row).filter("copies > 0").select(F.col("doc_id").alias(row), F.col("copies").alias(copies))
+    return rows.join(taken, row).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def coded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,11 +71,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents. A stage's table is removed once that of the stage after it is written; the result reads
+    the last one, so that one stays."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            path = f"{folder}/{k}-{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return docs
