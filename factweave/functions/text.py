@@ -12,12 +12,14 @@ TITLES = ["m", "mme", "mlle", "dr", "pr", "le", "la", "les", "l", "entreprise",
 GENERATIONS = ["ii", "iii", "iv", "vi", "vii", "viii", "ix", "jr", "sr", "junior", "senior"]
 
 # Labels that are only a pronoun or an indefinite.
-PRONOUNS = (
-    "je|tu|il|elle|on|nous|vous|ils|elles|moi|toi|lui|soi|eux|moi-meme|toi-meme|lui-meme|elle-meme|soi-meme|nous-memes|vous-memes|"
-    "eux-memes|elles-memes|celui|celle|ceux|celles|celui-ci|celui-la|celle-ci|celle-la|ceux-ci|ceux-la|celles-ci|celles-la|ceci|cela|ca|"
-    "lequel|laquelle|lesquels|lesquelles|quiconque|personne|quelqu'un|quelque chose|rien|nul|nulle|aucun|aucune|chacun|chacune|certains|"
-    "certaines|plusieurs|autrui|untel|d'aucuns|l'un|l'autre|les uns|les autres|un autre|une autre|d'autres|tout le monde|n'importe qui|n'importe quoi"
-).split("|")
+PRONOUNS = [
+    "je", "tu", "il", "elle", "on", "nous", "vous", "ils", "elles", "moi", "toi", "lui", "soi", "eux", "moi-meme", "toi-meme", "lui-meme",
+    "elle-meme", "soi-meme", "nous-memes", "vous-memes", "eux-memes", "elles-memes", "celui", "celle", "ceux", "celles", "celui-ci", "celui-la",
+    "celle-ci", "celle-la", "ceux-ci", "ceux-la", "celles-ci", "celles-la", "ceci", "cela", "ca", "lequel", "laquelle", "lesquels", "lesquelles",
+    "quiconque", "personne", "quelqu'un", "quelque chose", "rien", "nul", "nulle", "aucun", "aucune", "chacun", "chacune", "certains", "certaines",
+    "plusieurs", "autrui", "untel", "d'aucuns", "l'un", "l'autre", "les uns", "les autres", "un autre", "une autre", "d'autres", "tout le monde",
+    "n'importe qui", "n'importe quoi",
+]
 
 # Patterns over text in lower case without accents.
 LITOTES = r"n'a\s+pas\s+manqu|n'a\s+(?:jamais\s+)?cess|ne\s+cesse|n'a\s+pas\s+perdu|faux\s+de\s+dire|loin\s+d'?|\bdement\b|\bdementi|ne\s+saurait"
@@ -41,33 +43,48 @@ SINCE = rf"\bdepuis\s+{YEAR}\b|\ba\s+partir\s+de\s+{YEAR}\b"
 ON_DAY = rf"\ble\s+\d{{1,2}}(?:er)?\s+{MONTHS}\s+{YEAR}\b"
 DATE_OBJECT = r"^\s*([eE][nN]\s+|[vV][eE][rR][sS]\s+)?\d{4}(-\d{2}){0,2}\s*$"
 
-# Fine types of each family; of each signature slot.
-FAMILIES = {
-    "personne": "personne individu scientifique artiste athlete joueur acteur ecrivain dirigeant homme femme auteur realisateur",
-    "organisation": "organisation entreprise societe institution club parti federation comite banque",
-    "lieu": "lieu ville capitale region continent fleuve riviere montagne mer ocean desert commune pays etat",
-    "oeuvre": "oeuvre film livre roman album tableau chanson produit texte",
-    "date": "date annee periode",
-    "distinction": "distinction recompense medaille trophee titre",
-    "evenement": "evenement competition match tournoi sommet ceremonie festival",
-    "substance": "substance molecule element gaz",
-    "espece": "espece animal plante",
-    "valeur": "valeur nombre quantite mesure record",
-}
-TAGS = {
-    "personne": "personne individu scientifique artiste athlete joueur acteur ecrivain dirigeant homme femme",
-    "organisation": "organisation entreprise societe institution club parti federation comite banque pays etat nation equipe",
-    "lieu": "pays etat nation lieu ville capitale region continent fleuve riviere montagne mer ocean desert commune",
-    "oeuvre": "oeuvre film livre roman album tableau chanson produit texte",
-    "date": "date annee periode",
-    "valeur": "valeur nombre quantite mesure record prix",
-    "distinction": "prix distinction recompense medaille trophee titre",
-    "groupe": "club nation groupe equipe selection",
-    "evenement": "evenement competition match tournoi sommet ceremonie festival",
-    "competition": "competition",
-    "espece": "espece animal plante",
-    "substance": "substance molecule element gaz",
-}
+# The family of each fine type; the signature slots that an entity of each type can fill.
+FAMILY_OF = {
+    "personne": "personne", "individu": "personne", "scientifique": "personne", "artiste": "personne", "athlete": "personne", "joueur": "personne",
+    "acteur": "personne", "ecrivain": "personne", "dirigeant": "personne", "homme": "personne", "femme": "personne", "auteur": "personne",
+    "realisateur": "personne",
+    "organisation": "organisation", "entreprise": "organisation", "societe": "organisation", "institution": "organisation", "club": "organisation",
+    "parti": "organisation", "federation": "organisation", "comite": "organisation", "banque": "organisation",
+    "lieu": "lieu", "ville": "lieu", "capitale": "lieu", "region": "lieu", "continent": "lieu", "fleuve": "lieu", "riviere": "lieu",
+    "montagne": "lieu", "mer": "lieu", "ocean": "lieu", "desert": "lieu", "commune": "lieu", "pays": "lieu", "etat": "lieu",
+    "oeuvre": "oeuvre", "film": "oeuvre", "livre": "oeuvre", "roman": "oeuvre", "album": "oeuvre", "tableau": "oeuvre", "chanson": "oeuvre",
+    "produit": "oeuvre", "texte": "oeuvre",
+    "date": "date", "annee": "date", "periode": "date",
+    "distinction": "distinction", "recompense": "distinction", "medaille": "distinction", "trophee": "distinction", "titre": "distinction",
+    "evenement": "evenement", "competition": "evenement", "match": "evenement", "tournoi": "evenement", "sommet": "evenement",
+    "ceremonie": "evenement", "festival": "evenement",
+    "substance": "substance", "molecule": "substance", "element": "substance", "gaz": "substance",
+    "espece": "espece", "animal": "espece", "plante": "espece",
+    "valeur": "valeur", "nombre": "valeur", "quantite": "valeur", "mesure": "valeur", "record": "valeur",
+}
+SLOTS_OF = {
+    "personne": ["personne"], "individu": ["personne"], "scientifique": ["personne"], "artiste": ["personne"], "athlete": ["personne"],
+    "joueur": ["personne"], "acteur": ["personne"], "ecrivain": ["personne"], "dirigeant": ["personne"], "homme": ["personne"],
+    "femme": ["personne"],
+    "organisation": ["organisation"], "entreprise": ["organisation"], "societe": ["organisation"], "institution": ["organisation"],
+    "parti": ["organisation"], "federation": ["organisation"], "comite": ["organisation"], "banque": ["organisation"],
+    "club": ["organisation", "groupe"], "pays": ["organisation", "lieu"], "etat": ["organisation", "lieu"],
+    "competition": ["evenement", "competition"], "nation": ["organisation", "lieu", "groupe"], "equipe": ["organisation", "groupe"],
+    "prix": ["valeur", "distinction"],
+    "lieu": ["lieu"], "ville": ["lieu"], "capitale": ["lieu"], "region": ["lieu"], "continent": ["lieu"], "fleuve": ["lieu"], "riviere": ["lieu"],
+    "montagne": ["lieu"], "mer": ["lieu"], "ocean": ["lieu"], "desert": ["lieu"], "commune": ["lieu"],
+    "oeuvre": ["oeuvre"], "film": ["oeuvre"], "livre": ["oeuvre"], "roman": ["oeuvre"], "album": ["oeuvre"], "tableau": ["oeuvre"],
+    "chanson": ["oeuvre"], "produit": ["oeuvre"], "texte": ["oeuvre"],
+    "date": ["date"], "annee": ["date"], "periode": ["date"],
+    "distinction": ["distinction"], "recompense": ["distinction"], "medaille": ["distinction"], "trophee": ["distinction"], "titre": ["distinction"],
+    "evenement": ["evenement"], "match": ["evenement"], "tournoi": ["evenement"], "sommet": ["evenement"], "ceremonie": ["evenement"],
+    "festival": ["evenement"],
+    "substance": ["substance"], "molecule": ["substance"], "element": ["substance"], "gaz": ["substance"],
+    "espece": ["espece"], "animal": ["espece"], "plante": ["espece"],
+    "valeur": ["valeur"], "nombre": ["valeur"], "quantite": ["valeur"], "mesure": ["valeur"], "record": ["valeur"],
+    "groupe": ["groupe"], "selection": ["groupe"],
+}
+# Predicates that stand for others.
 REROUTED = {"a_fonde": "date_fondation_de", "a_publie": "date_sortie_de", "a_cree": "date_sortie_de", "a_lance": "date_sortie_de"}
 CANONICAL = {"pdg_de": "dirige", "a_dirige": "dirige"}
 RAW_VERBS = {"diriger": "dirige", "interpreter": "a_interprete"}
@@ -143,21 +160,13 @@ def distinct_homonyms(a: Column, b: Column) -> Column:
     return (F.size(tokens(a)) >= 2) & (F.size(tokens(b)) >= 2) & (generation(a) != generation(b))
 
 
-def _inverse(table: dict[str, str]) -> dict[str, list[str]]:
-    out: dict[str, list[str]] = {}
-    for slot, words in table.items():
-        for w in words.split():
-            out.setdefault(w, []).append(slot)
-    return out
-
-
 def lookup(table: dict[str, str], key: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
 
 
 def family(kind: Column) -> Column:
     """T9."""
-    return lookup({w: s[0] for w, s in _inverse(FAMILIES).items()}, F.lower(F.trim(kind)))
+    return lookup(FAMILY_OF, F.lower(F.trim(kind)))
 
 
 def types_compatible(a: Column, b: Column) -> Column:
@@ -223,8 +232,7 @@ def rerouted(predicate: Column, obj: Column) -> Column:
 
 def type_tags(kind: Column) -> Column:
     """The slots that an entity of this type can fill."""
-    table = _inverse(TAGS)
-    m = F.create_map(*[x for w, s in table.items() for x in (F.lit(w), F.array(*map(F.lit, s)))])
+    m = F.create_map(*[x for w, s in SLOTS_OF.items() for x in (F.lit(w), F.array(*map(F.lit, s)))])
     return F.coalesce(m[F.trim(norm_statement(kind))], F.array().cast("array<string>"))
 
 

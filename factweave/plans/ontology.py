@@ -5,116 +5,116 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Predicate, functional (1) or multi-valued (n), volatility, kind of object, type of subject and of object, weight.
-PREDICATES = """
-pdg_de 1 changeant entite organisation personne 0.9
-maire_de 1 changeant entite lieu personne 0.9
-siege_de 1 stable valeur organisation lieu 0.5
-effectif_de 1 changeant valeur organisation valeur 0.2
-prix_de 1 volatil valeur oeuvre valeur 0.1
-horaire_de 1 volatil valeur lieu valeur 0.1
-date_fondation_de 1 immuable valeur organisation date 0.4
-date_naissance_de 1 immuable valeur personne date 0.6
-marie_a 1 stable entite personne personne 0.9
-produit n stable valeur organisation valeur 0.5
-connait n stable entite personne personne 0.5
-profession_de 1 stable valeur personne valeur 0.5
-population_de 1 stable valeur lieu valeur 0.4
-ville_exercice_de 1 changeant valeur personne lieu 0.4
-rue_de 1 stable valeur lieu valeur 0.3
-nom_de 1 immuable valeur personne valeur 1.0
-parent_de n immuable entite personne personne 0.95
-enfant_de n immuable entite personne personne 0.95
-repas_de n volatil valeur personne valeur 0.05
-frere_de n immuable entite personne personne 0.9
-ami_de n stable entite personne personne 0.5
-dirige 1 changeant entite organisation personne 0.9
-appartient_a n stable entite entite groupe 0.5
-possede n stable entite personne entite 0.5
-travaille_pour 1 changeant entite personne organisation 0.5
-qualifie_pour n stable entite groupe evenement 0.5
-se_separe_de n stable entite personne personne 0.6
-a_rencontre n stable entite personne personne 0.4
-critique n stable entite personne personne 0.3
-a_fonde n immuable entite personne organisation 0.7
-a_dirige n changeant entite personne organisation 0.7
-enseigne_a n changeant entite personne organisation 0.5
-etudie_a n stable entite personne organisation 0.4
-a_achete n immuable entite personne organisation 0.5
-a_investi_dans n stable entite personne organisation 0.4
-a_demissionne_de n immuable entite personne organisation 0.5
-lieu_naissance_de 1 immuable valeur personne lieu 0.6
-lieu_deces_de 1 immuable valeur personne lieu 0.5
-s_installe_a n changeant valeur personne lieu 0.4
-date_deces_de 1 immuable valeur personne date 0.6
-a_cree n immuable valeur personne oeuvre 0.6
-a_publie n immuable valeur personne oeuvre 0.5
-a_ecrit_lettre n immuable valeur personne oeuvre 0.3
-a_signe n immuable valeur personne oeuvre 0.4
-a_recu_prix n immuable valeur personne distinction 0.6
-a_decouvert n immuable valeur personne valeur 0.7
-a_obtenu_diplome n immuable valeur personne valeur 0.5
-a_nationalite n stable valeur personne valeur 0.6
-a_contribue_a n immuable valeur personne valeur 0.5
-a_rejete n stable valeur personne valeur 0.3
-a_vendu n immuable valeur personne valeur 0.3
-a_participe_a n immuable valeur personne evenement 0.4
-s_oppose_a n stable valeur personne evenement 0.4
-soutient n stable valeur personne evenement 0.4
-traverse n immuable valeur lieu lieu 0.3
-a_pour_capitale 1 stable valeur organisation lieu 0.5
-a_pour_frontiere n immuable valeur lieu lieu 0.3
-superficie_de 1 immuable valeur lieu valeur 0.3
-altitude_de 1 immuable valeur lieu valeur 0.3
-longueur_de 1 immuable valeur lieu valeur 0.3
-langue_de n stable valeur organisation valeur 0.4
-monnaie_de 1 changeant valeur organisation valeur 0.4
-situe_dans 1 stable valeur lieu lieu 0.4
-a_battu n changeant entite groupe groupe 0.3
-affronte n changeant entite groupe groupe 0.2
-organise n stable valeur organisation evenement 0.5
-detient_record n changeant valeur personne valeur 0.5
-a_recrute n changeant entite organisation personne 0.4
-entraine 1 changeant entite personne organisation 0.5
-a_remporte n immuable valeur groupe distinction 0.6
-est_compose_de n stable valeur substance substance 0.4
-propriete_de n stable valeur substance valeur 0.3
-a_adopte n changeant valeur organisation oeuvre 0.5
-a_adhere_a n stable entite organisation organisation 0.5
-se_retire_de n changeant entite organisation organisation 0.5
-a_nomme n changeant entite organisation personne 0.5
-a_pour_date 1 immuable valeur evenement date 0.4
-se_deroule_a n stable valeur evenement lieu 0.4
-expose_a 1 changeant valeur oeuvre lieu 0.3
-date_sortie_de 1 immuable valeur oeuvre date 0.4
-a_interprete n immuable valeur personne oeuvre 0.3
-a_acquis n immuable entite organisation organisation 0.5
-chiffre_affaires_de 1 changeant valeur organisation valeur 0.3
-concurrent_de n stable entite organisation organisation 0.3
-a_lance n immuable valeur organisation oeuvre 0.4
-partenaire_de n changeant entite organisation organisation 0.3
-condamne n immuable entite organisation personne 0.5
-poursuit n stable entite organisation personne 0.4
-autorise n changeant valeur organisation valeur 0.4
-interdit n changeant valeur organisation valeur 0.4
-accorde n immuable valeur organisation valeur 0.4
-gere 1 changeant entite organisation lieu 0.4
-construit_par n immuable entite lieu organisation 0.4
-date_ouverture_de 1 immuable valeur lieu date 0.5
-date_fermeture_de 1 immuable valeur lieu date 0.4
-capacite_de 1 stable valeur lieu valeur 0.3
-cout_de 1 stable valeur oeuvre valeur 0.3
-remporte_election n immuable valeur personne evenement 0.5
-succede_a n changeant entite personne personne 0.5
-ordonne n changeant valeur organisation valeur 0.4
-remplace n changeant entite personne personne 0.5
-annonce n stable valeur personne valeur 0.3
-provoque n immuable valeur evenement valeur 0.4
-attaque n changeant entite groupe lieu 0.4
-occupe n changeant valeur groupe lieu 0.4
-renove n immuable entite organisation lieu 0.3
-signe_accord n immuable entite organisation organisation 0.5
-"""
+# Predicate, functional, volatility, kind of object, type of subject and of object, weight.
+PREDICATES = [
+    ("pdg_de", True, "changeant", "entite", "organisation", "personne", 0.9),
+    ("maire_de", True, "changeant", "entite", "lieu", "personne", 0.9),
+    ("siege_de", True, "stable", "valeur", "organisation", "lieu", 0.5),
+    ("effectif_de", True, "changeant", "valeur", "organisation", "valeur", 0.2),
+    ("prix_de", True, "volatil", "valeur", "oeuvre", "valeur", 0.1),
+    ("horaire_de", True, "volatil", "valeur", "lieu", "valeur", 0.1),
+    ("date_fondation_de", True, "immuable", "valeur", "organisation", "date", 0.4),
+    ("date_naissance_de", True, "immuable", "valeur", "personne", "date", 0.6),
+    ("marie_a", True, "stable", "entite", "personne", "personne", 0.9),
+    ("produit", False, "stable", "valeur", "organisation", "valeur", 0.5),
+    ("connait", False, "stable", "entite", "personne", "personne", 0.5),
+    ("profession_de", True, "stable", "valeur", "personne", "valeur", 0.5),
+    ("population_de", True, "stable", "valeur", "lieu", "valeur", 0.4),
+    ("ville_exercice_de", True, "changeant", "valeur", "personne", "lieu", 0.4),
+    ("rue_de", True, "stable", "valeur", "lieu", "valeur", 0.3),
+    ("nom_de", True, "immuable", "valeur", "personne", "valeur", 1.0),
+    ("parent_de", False, "immuable", "entite", "personne", "personne", 0.95),
+    ("enfant_de", False, "immuable", "entite", "personne", "personne", 0.95),
+    ("repas_de", False, "volatil", "valeur", "personne", "valeur", 0.05),
+    ("frere_de", False, "immuable", "entite", "personne", "personne", 0.9),
+    ("ami_de", False, "stable", "entite", "personne", "personne", 0.5),
+    ("dirige", True, "changeant", "entite", "organisation", "personne", 0.9),
+    ("appartient_a", False, "stable", "entite", "entite", "groupe", 0.5),
+    ("possede", False, "stable", "entite", "personne", "entite", 0.5),
+    ("travaille_pour", True, "changeant", "entite", "personne", "organisation", 0.5),
+    ("qualifie_pour", False, "stable", "entite", "groupe", "evenement", 0.5),
+    ("se_separe_de", False, "stable", "entite", "personne", "personne", 0.6),
+    ("a_rencontre", False, "stable", "entite", "personne", "personne", 0.4),
+    ("critique", False, "stable", "entite", "personne", "personne", 0.3),
+    ("a_fonde", False, "immuable", "entite", "personne", "organisation", 0.7),
+    ("a_dirige", False, "changeant", "entite", "personne", "organisation", 0.7),
+    ("enseigne_a", False, "changeant", "entite", "personne", "organisation", 0.5),
+    ("etudie_a", False, "stable", "entite", "personne", "organisation", 0.4),
+    ("a_achete", False, "immuable", "entite", "personne", "organisation", 0.5),
+    ("a_investi_dans", False, "stable", "entite", "personne", "organisation", 0.4),
+    ("a_demissionne_de", False, "immuable", "entite", "personne", "organisation", 0.5),
+    ("lieu_naissance_de", True, "immuable", "valeur", "personne", "lieu", 0.6),
+    ("lieu_deces_de", True, "immuable", "valeur", "personne", "lieu", 0.5),
+    ("s_installe_a", False, "changeant", "valeur", "personne", "lieu", 0.4),
+    ("date_deces_de", True, "immuable", "valeur", "personne", "date", 0.6),
+    ("a_cree", False, "immuable", "valeur", "personne", "oeuvre", 0.6),
+    ("a_publie", False, "immuable", "valeur", "personne", "oeuvre", 0.5),
+    ("a_ecrit_lettre", False, "immuable", "valeur", "personne", "oeuvre", 0.3),
+    ("a_signe", False, "immuable", "valeur", "personne", "oeuvre", 0.4),
+    ("a_recu_prix", False, "immuable", "valeur", "personne", "distinction", 0.6),
+    ("a_decouvert", False, "immuable", "valeur", "personne", "valeur", 0.7),
+    ("a_obtenu_diplome", False, "immuable", "valeur", "personne", "valeur", 0.5),
+    ("a_nationalite", False, "stable", "valeur", "personne", "valeur", 0.6),
+    ("a_contribue_a", False, "immuable", "valeur", "personne", "valeur", 0.5),
+    ("a_rejete", False, "stable", "valeur", "personne", "valeur", 0.3),
+    ("a_vendu", False, "immuable", "valeur", "personne", "valeur", 0.3),
+    ("a_participe_a", False, "immuable", "valeur", "personne", "evenement", 0.4),
+    ("s_oppose_a", False, "stable", "valeur", "personne", "evenement", 0.4),
+    ("soutient", False, "stable", "valeur", "personne", "evenement", 0.4),
+    ("traverse", False, "immuable", "valeur", "lieu", "lieu", 0.3),
+    ("a_pour_capitale", True, "stable", "valeur", "organisation", "lieu", 0.5),
+    ("a_pour_frontiere", False, "immuable", "valeur", "lieu", "lieu", 0.3),
+    ("superficie_de", True, "immuable", "valeur", "lieu", "valeur", 0.3),
+    ("altitude_de", True, "immuable", "valeur", "lieu", "valeur", 0.3),
+    ("longueur_de", True, "immuable", "valeur", "lieu", "valeur", 0.3),
+    ("langue_de", False, "stable", "valeur", "organisation", "valeur", 0.4),
+    ("monnaie_de", True, "changeant", "valeur", "organisation", "valeur", 0.4),
+    ("situe_dans", True, "stable", "valeur", "lieu", "lieu", 0.4),
+    ("a_battu", False, "changeant", "entite", "groupe", "groupe", 0.3),
+    ("affronte", False, "changeant", "entite", "groupe", "groupe", 0.2),
+    ("organise", False, "stable", "valeur", "organisation", "evenement", 0.5),
+    ("detient_record", False, "changeant", "valeur", "personne", "valeur", 0.5),
+    ("a_recrute", False, "changeant", "entite", "organisation", "personne", 0.4),
+    ("entraine", True, "changeant", "entite", "personne", "organisation", 0.5),
+    ("a_remporte", False, "immuable", "valeur", "groupe", "distinction", 0.6),
+    ("est_compose_de", False, "stable", "valeur", "substance", "substance", 0.4),
+    ("propriete_de", False, "stable", "valeur", "substance", "valeur", 0.3),
+    ("a_adopte", False, "changeant", "valeur", "organisation", "oeuvre", 0.5),
+    ("a_adhere_a", False, "stable", "entite", "organisation", "organisation", 0.5),
+    ("se_retire_de", False, "changeant", "entite", "organisation", "organisation", 0.5),
+    ("a_nomme", False, "changeant", "entite", "organisation", "personne", 0.5),
+    ("a_pour_date", True, "immuable", "valeur", "evenement", "date", 0.4),
+    ("se_deroule_a", False, "stable", "valeur", "evenement", "lieu", 0.4),
+    ("expose_a", True, "changeant", "valeur", "oeuvre", "lieu", 0.3),
+    ("date_sortie_de", True, "immuable", "valeur", "oeuvre", "date", 0.4),
+    ("a_interprete", False, "immuable", "valeur", "personne", "oeuvre", 0.3),
+    ("a_acquis", False, "immuable", "entite", "organisation", "organisation", 0.5),
+    ("chiffre_affaires_de", True, "changeant", "valeur", "organisation", "valeur", 0.3),
+    ("concurrent_de", False, "stable", "entite", "organisation", "organisation", 0.3),
+    ("a_lance", False, "immuable", "valeur", "organisation", "oeuvre", 0.4),
+    ("partenaire_de", False, "changeant", "entite", "organisation", "organisation", 0.3),
+    ("condamne", False, "immuable", "entite", "organisation", "personne", 0.5),
+    ("poursuit", False, "stable", "entite", "organisation", "personne", 0.4),
+    ("autorise", False, "changeant", "valeur", "organisation", "valeur", 0.4),
+    ("interdit", False, "changeant", "valeur", "organisation", "valeur", 0.4),
+    ("accorde", False, "immuable", "valeur", "organisation", "valeur", 0.4),
+    ("gere", True, "changeant", "entite", "organisation", "lieu", 0.4),
+    ("construit_par", False, "immuable", "entite", "lieu", "organisation", 0.4),
+    ("date_ouverture_de", True, "immuable", "valeur", "lieu", "date", 0.5),
+    ("date_fermeture_de", True, "immuable", "valeur", "lieu", "date", 0.4),
+    ("capacite_de", True, "stable", "valeur", "lieu", "valeur", 0.3),
+    ("cout_de", True, "stable", "valeur", "oeuvre", "valeur", 0.3),
+    ("remporte_election", False, "immuable", "valeur", "personne", "evenement", 0.5),
+    ("succede_a", False, "changeant", "entite", "personne", "personne", 0.5),
+    ("ordonne", False, "changeant", "valeur", "organisation", "valeur", 0.4),
+    ("remplace", False, "changeant", "entite", "personne", "personne", 0.5),
+    ("annonce", False, "stable", "valeur", "personne", "valeur", 0.3),
+    ("provoque", False, "immuable", "valeur", "evenement", "valeur", 0.4),
+    ("attaque", False, "changeant", "entite", "groupe", "lieu", 0.4),
+    ("occupe", False, "changeant", "valeur", "groupe", "lieu", 0.4),
+    ("renove", False, "immuable", "entite", "organisation", "lieu", 0.3),
+    ("signe_accord", False, "immuable", "entite", "organisation", "organisation", 0.5),
+]
 
 # Days in which certainty halves, by volatility (immuable: never).
 HALF_LIFE = {"stable": 730.0, "changeant": 180.0, "volatil": 45.0}
@@ -138,12 +138,7 @@ SPEC_SCHEMA = "predicat string, fonctionnel boolean, volatilite string, objet_en
 
 
 def spec_rows() -> list[tuple]:
-    out = []
-    for line in PREDICATES.split("\n"):
-        if line:
-            p, f, v, o, a, b, w = line.split()
-            out.append((p, f == "1", v, o == "entite", a, b, float(w), HALF_LIFE.get(v)))
-    return out
+    return [(p, f, v, o == "entite", a, b, w, HALF_LIFE.get(v)) for p, f, v, o, a, b, w in PREDICATES]
 
 
 def specification(spark: SparkSession, extra: list[tuple] = ()) -> DataFrame:
