@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,9 +21,15 @@ RANK = {"courant": 0, "dormant": 1, "disputé": 2, "clos": 3}
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage in the session's checkpoint folder; a temporary one only where all runs in one process."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            path = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(path)
     return df.checkpoint()
 
 
@@ -36,6 +43,43 @@ def vector_topk(items: DataFrame, query: Column, k: int = TOP_K, id_col: str = "
     return items.withColumn("score", score).orderBy(F.desc("score"), id_col).limit(k)
 
 
+def v1_topk(memories: DataFrame, query: Column, k: int = 5) -> DataFrame:
+    """K7: the active memories nearest to a query (id, embedding, statut), ties by id."""
+    return memories.filter("statut = 'actif'").withColumn("score", dot(F.col("embedding"), query)).orderBy(F.desc("score"), "id").limit(k)
+
+
+def prototype_score(kind: str, similarity: Column, force: Column, importance: Column, named_subject: Column) -> Column:
+    """K8: the scorers of the prototypes: ``v2`` similarity weighted by force; ``v2_entity`` with the bonus of a named
+    subject; ``v3`` and ``v3_importance`` sums of similarity, force, that bonus and, in the last, importance."""
+    bonus = F.when(named_subject, ENTITY_BONUS).otherwise(0.0)
+    if kind in ("v2", "v2_entity"):
+        weighted = similarity * (0.5 + 0.5 * force)
+        return weighted if kind == "v2" else weighted + bonus
+    total = W_SIM * similarity + W_FORCE * force + bonus
+    return total + W_IMPORTANCE * importance if kind == "v3_importance" else total
+
+
+# Fixed value: what recognition adds in the recall bench.
+RECOGNISED = 5.0
+
+
+def bench_rank(rows: DataFrame, mode: str, by: str = "qid", id_col: str = "fait_id") -> DataFrame:
+    """K9: facts of each question in the order of a bench mode (``rang`` from 1). ``rows``: by, fait_id, sim, force,
+    importance, statut, reconnu, sujet_nomme.
+
+    ``inerte``: similarity alone, of all facts. ``porte``: with force and the bonuses of a named subject and of
+    recognition; dormant facts only if they are recognised. ``axe``, ``axe_retr``: with importance as well.
+    """
+    if mode not in ("inerte", "porte", "axe", "axe_retr"):
+        raise ValueError(f"unknown mode {mode}")
+    score = F.col("sim")
+    if mode != "inerte":
+        rows = rows.filter((F.col("statut") != "dormant") | F.col("reconnu"))
+        kind = "v3" if mode == "porte" else "v3_importance"
+        score = prototype_score(kind, F.col("sim"), F.col("force"), F.col("importance"), F.col("sujet_nomme")) + F.when(F.col("reconnu"), RECOGNISED).otherwise(0.0)
+    return rows.withColumn("score", score).withColumn("rang", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), id_col)))
+
+
 def sleep_penalty(n_src: Column) -> Column:
     """K2."""
     return F.greatest(F.lit(SLEEP_MIN), SLEEP_BASE / (1 + SLEEP_BETA * F.greatest(n_src - 1, F.lit(0))))
@@ -63,6 +107,22 @@ def recognised(entities: DataFrame, questions: DataFrame, lenient: bool = True)
     return e.join(q, "tok").filter(named(F.col("nt"), F.col("qt"), lenient)).select("qid", "ent").distinct()
 
 
+def valid_at(rows: DataFrame, when: Column) -> DataFrame:
+    """P10: what held at a moment: begun by then and not over (``valide_jusqua`` null: open; the end is not included)."""
+    return rows.filter((F.col("valide_de") <= when) & (F.col("valide_jusqua").isNull() | (when < F.col("valide_jusqua"))))
+
+
+def with_name(rows: DataFrame, names: DataFrame, key: str, out: str) -> DataFrame:
+    """``rows`` with the name of the entity in ``key`` as ``out``, "?" for one that is not known. ``names``: ent, nom."""
+    n = names.select(F.col("ent").alias(key), F.col("nom").alias(out))
+    return rows.join(n, key, "left").withColumn(out, F.coalesce(out, F.lit("?")))
+
+
+def recallable(facts: DataFrame, graded: bool = True) -> DataFrame:
+    """The facts that free recall can bring up: current and disputed ones, and with graded dormancy dormant ones."""
+    return facts.filter(F.col("statut").isin(*["courant", "disputé"], *(["dormant"] if graded else [])))
+
+
 def incidence(facts: DataFrame) -> DataFrame:
     """(ent, fait_id, role, other): a fact at each of its ends that is an entity."""
     s = facts.select(F.col("sujet_key").alias("ent"), "fait_id", F.lit("s").alias("role"), F.col("objet_key").alias("other"))
@@ -163,6 +223,15 @@ def typology(links: DataFrame) -> DataFrame:
     })
 
 
+# Fixed value: lasting predicates that no structure shows, as they have no reverse and no date.
+DECLARED = ["dirige", "appartient_a", "possede", "travaille_pour"]
+
+
+def declared(predicate: Column, nature: Column) -> Column:
+    """Links of the declared predicates last, whatever their structure says; the others are as predicted."""
+    return F.when(predicate.isin(DECLARED), "DURABLE").otherwise(nature)
+
+
 def _small_rank(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     """The same rounds on arrays, for a graph whose size was checked: a job a round costs more than its numbers."""
     import numpy as np

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.plans.ontology import HALF_LIFE, with_specification
 
+from .graph import checkpointed
+from .resolution import spread
+from .vectors import vector_pairs
 from .writing import CERT_LIAR, FORCE_DORMANT, n_sources
 
 # Fixed values.
@@ -60,6 +64,11 @@ def dormancy(facts: DataFrame, beta: float = 0.0) -> DataFrame:
     return facts.withColumns({"statut_avant": F.when(sleeps, F.col("statut")).otherwise(F.col("statut_avant")), "statut": F.when(sleeps, "dormant").otherwise(F.col("statut"))})
 
 
+def decay_and_sleep(facts: DataFrame, spec: DataFrame, as_of: Column, beta: float = 0.0) -> DataFrame:
+    """C1, then C4."""
+    return dormancy(decay(facts, spec, as_of), beta)
+
+
 def recompute_dormancy(facts: DataFrame, beta: float = 0.0) -> DataFrame:
     """All wake, then C4 anew."""
     asleep = F.col("statut") == "dormant"
@@ -83,6 +92,28 @@ def learned_volatility(facts: DataFrame, spec: DataFrame) -> DataFrame:
     )
 
 
+def _wide(x: Column, n: int, left: bool = True) -> Column:
+    """At least ``n`` characters, with blanks before or after; never cut."""
+    return F.when(F.length(x) >= n, x).otherwise(F.lpad(x, n, " ") if left else F.rpad(x, n, " "))
+
+
+def volatility_lines(learned: DataFrame, spec: DataFrame) -> DataFrame:
+    """A4: (predicat, n_clos, ligne): what was learnt, as text, for reading in the order of closings (most first)."""
+    l = with_specification(learned, spec.select("predicat", "fonctionnel", "volatilite", "objet_entite", "poids", "demivie"))
+    span = lambda c: F.when(c.isNull(), "immuable").otherwise(F.format_string("%.0fj", F.bround(c, 0)))
+    parts = [_wide(F.col("predicat"), 18, left=False), _wide(F.col("volatilite"), 9), _wide(span(F.col("demivie")), 8), _wide(F.format_string("%.0f%%", F.bround(F.col("taux") * 100, 0)), 5)]
+    counts = [_wide(F.col(c).cast("string"), 3) for c in ("n_occ", "n_clos")]
+    line = F.format_string("%s prior=%s(%s) taux=%s n_obs=%s clos=%s conf=%.2f → demi-vie=%s [%s]", *parts, *counts, "confiance", _wide(span(F.col("dv")), 8), "etiquette")
+    return l.select("predicat", "n_clos", line.alias("ligne")).orderBy(F.desc("n_clos"), "predicat")
+
+
+def due(events: DataFrame, every: int = 20, order: str = "seq") -> DataFrame:
+    """The periodic trigger: ``epoque`` numbers the epochs of ``every`` events; an epoch's last event (``consolide``) is
+    followed by a consolidation. ``order`` numbers the events from 1 without gaps, as a log does."""
+    nth = F.col(order)
+    return events.withColumns({"epoque": F.floor((nth - 1) / every).cast("long"), "consolide": nth % every == 0})
+
+
 def consolidate(facts: DataFrame, spec: DataFrame, as_of: Column, learn: bool = False, merges: list[Callable] = (), before_dormancy: list[Callable] = (), beta: float = 0.0) -> DataFrame:
     """Stages in order: learning, decay, core, merges, floor, hooks (importance), dormancy."""
     f = core(decay(facts, spec, as_of, learned_volatility(facts, spec) if learn else None))
@@ -112,6 +143,50 @@ def v1_archive(memories: DataFrame, threshold: float = V1_ARCHIVE) -> DataFrame:
     return memories.withColumn("statut", F.when(F.col("confiance") < threshold, "archive").otherwise(F.col("statut")))
 
 
+def v1_merge(memories: DataFrame, pairs: DataFrame) -> DataFrame:
+    """C9's fusion of active memories (id, confiance, confirme, statut) that are near (a, b: a < b, of active ones).
+
+    Ids in order meet the later ones that are still active: of the two the surer stays, then the one confirmed later,
+    then the smaller id; the other goes to the archive. A memory that loses goes on meeting the rest of its list, as the
+    order of the pairs is fixed when it begins. Components of pairs are folded apart, each by one task.
+    """
+    live = memories.filter("statut = 'actif'").select("id", "confiance", "confirme")
+    side = lambda k: live.select(F.col("id").alias(k), F.col("confiance").alias(f"c_{k}"), F.col("confirme").alias(f"d_{k}"))
+    p = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    later = (F.col("c_b") > F.col("c_a")) | ((F.col("c_b") == F.col("c_a")) & (F.col("d_b") > F.col("d_a")))
+    p = checkpointed(p.select("a", "b", later.alias("second")))
+    rows = p.join(spread(p.select("a", "b")).withColumnRenamed("id", "a"), "a").select("root", "a", "b", "second")
+    rows = rows.repartition("root").sortWithinPartitions("root", "a", "b")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, gone, first, begun = None, set(), None, False
+        for pdf in batches:
+            out = []
+            for root, a, b, second in pdf.itertuples(index=False):
+                if root != now:
+                    now, gone, first = root, set(), None
+                if a != first:
+                    first, begun = a, a not in gone
+                if begun and b not in gone:
+                    lost, kept = (a, b) if second else (b, a)
+                    if lost not in gone:
+                        out.append((lost, kept))
+                    gone.add(lost)
+            yield pd.DataFrame(out, columns=["id", "garde"])
+
+    lost = rows.mapInPandas(fold, "id long, garde long")
+    j = memories.join(lost, "id", "left")
+    return j.withColumn("statut", F.when(F.col("garde").isNotNull(), "archive").otherwise(F.col("statut"))).select(*memories.columns, "garde")
+
+
+def v1_consolidate(memories: DataFrame, threshold: float = V1_SAME, archive: float = V1_ARCHIVE) -> DataFrame:
+    """The fusion of near memories (``embedding``), then the archive of weak active ones. ``garde``: the memory that
+    one lost against."""
+    near = vector_pairs(memories.filter("statut = 'actif'"), threshold).select("a", "b")
+    merged = v1_merge(memories, near)
+    return merged.withColumn("statut", F.when((F.col("statut") == "actif") & (F.col("confiance") < archive), "archive").otherwise(F.col("statut")))
+
+
 def half_life_of(volatility: Column) -> Column:
     """T26."""
     return F.create_map(*[F.lit(x) for kv in HALF_LIFE.items() for x in kv])[volatility]

@@ -37,6 +37,10 @@ FACTS = (
 REPORT = "claim_seq long, action string, touches array<long>"
 
 
+def _moment(x):
+    return x.to_pydatetime() if isinstance(x, pd.Timestamp) else x
+
+
 @dataclass
 class Fact:
     fait_id: int
@@ -52,6 +56,8 @@ class Fact:
     contradiction: datetime | None = None
     avant: str | None = None
     acces: int = 0
+    noyau: bool = False
+    importance: float = 0.0
     provenance: list = field(default_factory=list)
 
     def __post_init__(self):
@@ -59,6 +65,16 @@ class Fact:
         self.creation = self.dernier_acces = self.confirmation = self.seen
         self.cap()
 
+    @classmethod
+    def stored(cls, x: dict) -> Fact:
+        """A fact as it was written, whatever consolidation, merging or promotion has made of it since."""
+        f = cls(x["fait_id"], x["objet"], x["valeur_key"], x["valide_de"], x["date_creation"], "", x["statut"])
+        f.force, f.certitude, f.valide_jusqua, f.contradiction = x["force"], x["certitude"], x["valide_jusqua"], x["derniere_contradiction"]
+        f.avant, f.acces, f.noyau, f.importance = x["statut_avant"], x["compteur_acces"], x["noyau"], x["importance"]
+        f.dernier_acces, f.confirmation = x["dernier_acces"], x["derniere_confirmation"]
+        f.provenance = [(p["source_id"], _moment(p["date"]), p["type"]) for p in x["provenance"]]
+        return f
+
     def reports(self) -> int:
         return len({s for s, _, t in self.provenance if t == "rapport"})
 
@@ -174,18 +190,39 @@ class Key:
         return op, [f.fait_id]
 
 
-def prepared(claims: DataFrame, spec: DataFrame) -> DataFrame:
-    """Claims with keys, dates and the predicate's kind. Missing columns are null; names resolve by normal form."""
+#: Operations that mention entities; all others only look names up.
+WRITES = ("assert", "closed_interval")
+
+
+def _resolved(c: DataFrame, resolved: DataFrame, column: str) -> DataFrame:
+    """Names of a column by what they resolve to: key ``{column}_key`` and the entity's name. A claim that only looks up
+    finds no name that comes later in the log, and then no fact."""
+    r = resolved.select(F.col("name").alias("_n"), F.col("id").alias("_at"), F.col("ent_name").alias("_key"), F.col("ent_nom").alias("_nom"))
+    j = c.withColumn("_n", norm_name(F.col(column))).join(r, "_n", "left")
+    known = F.col("_key").isNotNull() & (F.col("op").isin(*WRITES) | (F.col("_at") <= F.col("claim_seq") * 2))
+    return j.withColumns({f"{column}_key": F.when(known, F.col("_key")).otherwise(F.concat(F.lit("? "), F.col("_n"))), f"{column}_nom": F.when(known, F.col("_nom")).otherwise(F.col(column))}).drop("_n", "_at", "_key", "_nom")
+
+
+def prepared(claims: DataFrame, spec: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """Claims with keys, dates and the predicate's kind. Missing columns are null.
+
+    Without ``resolved`` names are equal if their normal forms are. With it (see ``resolution.resolve_names``) a name
+    stands for its entity: keys are the normal forms of the entity's own name, and facts carry that name.
+    """
     c = claims.select(*[(F.col(n) if n in claims.columns else F.lit(None)).cast(t).alias(n) for n, t in CLAIM.items()])
     c = with_specification(c.filter("claim_seq IS NOT NULL"), spec.select("predicat", "fonctionnel", "volatilite", "objet_entite", "poids", "demivie"))
-    obj_name = norm_name(F.col("objet"))
+    if resolved is None:
+        c = c.withColumns({"sujet_key": norm_name(F.col("sujet")), "objet_key": norm_name(F.col("objet"))})
+    else:
+        c = _resolved(_resolved(c, resolved, "sujet"), resolved, "objet")
+        c = c.withColumns({"sujet": F.col("sujet_nom"), "objet": F.when(F.col("objet_entite"), F.col("objet_nom")).otherwise(F.col("objet"))})
     return c.select(
         *CLAIM,
         "fonctionnel",
-        norm_name(F.col("sujet")).alias("sujet_key"),
-        F.when(F.col("objet_entite"), obj_name).alias("objet_key"),
-        F.when(F.col("objet_entite"), F.concat(F.lit("e"), obj_name)).otherwise(F.concat(F.lit("v"), norm_value(F.col("objet")))).alias("valeur_key"),
-        F.coalesce(F.col("objet_entite") & (obj_name == norm_name(F.col("sujet"))), F.lit(False)).alias("reflexif"),
+        "sujet_key",
+        F.when(F.col("objet_entite"), F.col("objet_key")).alias("objet_key"),
+        F.when(F.col("objet_entite"), F.concat(F.lit("e"), "objet_key")).otherwise(F.concat(F.lit("v"), norm_value(F.col("objet")))).alias("valeur_key"),
+        F.coalesce(F.col("objet_entite") & (F.col("objet_key") == F.col("sujet_key")), F.lit(False)).alias("reflexif"),
         parse_date(F.col("date_validite")).alias("explicit"),
         parse_date(F.col("date_fin")).alias("end"),
     )
@@ -195,19 +232,23 @@ class _Row:
     __slots__ = ("claim_seq", "op", "objet", "source_id", "date_obs", "cible", "valeur_key", "reflexif", "explicit", "end")
 
 
+#: Columns of a fact that a row carries when the fold goes on from stored facts.
+STORED = ("fait_id", "objet", "valeur_key", "valide_de", "date_creation", "statut", "force", "certitude", "valide_jusqua", "derniere_contradiction", "statut_avant", "compteur_acces", "noyau", "importance", "dernier_acces", "derniere_confirmation")
+
+
 def _rows(pdf: pd.DataFrame):
     cols = {}
-    for c in ["sujet_key", "predicat", "sujet", "objet_key", "type_sujet", "type_objet", "fonctionnel", *_Row.__slots__]:
-        v = pdf[c].astype(object).where(pdf[c].notna(), None)
-        cols[c] = [x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in v]
+    for c in ["sujet_key", "predicat", "sujet", "objet_key", "type_sujet", "type_objet", "fonctionnel", "stored", *_Row.__slots__]:
+        v = pdf[c].astype(object).where(pdf[c].notna(), None) if c != "stored" else pdf[c] if c in pdf else [None] * len(pdf)
+        cols[c] = [_moment(x) for x in v]
     return zip(*cols.values(), strict=True)
 
 
 def _walk(batches: Iterator[pd.DataFrame], done, report=None):
-    """Fold rows sorted by key and claim_seq; ``done(ident, key)`` gets every finished key."""
+    """Fold rows sorted by key, stored facts before claims, and claim_seq; ``done(ident, key)`` gets every finished key."""
     now, key, meta = None, None, {}
     for pdf in batches:
-        for subject_key, predicate, subject, obj_key, type_s, type_o, functional, *rest in _rows(pdf):
+        for subject_key, predicate, subject, obj_key, type_s, type_o, functional, stored, *rest in _rows(pdf):
             if (subject_key, predicate) != now:
                 if key is not None:
                     done(now, key, meta)
@@ -219,6 +260,11 @@ def _walk(batches: Iterator[pd.DataFrame], done, report=None):
             r.cible = None if r.cible is None else int(r.cible)
             meta["keys"].setdefault(r.valeur_key, (obj_key, type_o))
             meta["type_sujet"] = meta["type_sujet"] or type_s
+            if stored is not None:
+                x = {c: _moment(stored[c]) if stored[c] is not None and stored[c] is not pd.NaT else None for c in STORED}
+                key.facts[r.claim_seq] = Fact.stored(x | {"provenance": stored["provenance"]})
+                continue
+            key.functional = bool(functional)
             action, touched = key.apply(r)
             if report is not None:
                 report.append((r.claim_seq, action, touched))
@@ -240,7 +286,7 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in key.facts.values():
             obj_key, type_o = meta["keys"].get(f.valeur_key, (None, None))
             prov = [{"source_id": s, "date": d, "type": t} for s, d, t in f.provenance]
-            out.append((f.fait_id, ident[0], meta["sujet"], ident[1], f.objet, obj_key, f.valeur_key, f.force, f.certitude, prov, f.valide_de, f.valide_jusqua, f.creation, f.dernier_acces, f.confirmation, f.contradiction, f.statut, f.avant, f.acces, False, 0.0, meta["type_sujet"], type_o))
+            out.append((f.fait_id, ident[0], meta["sujet"], ident[1], f.objet, obj_key, f.valeur_key, f.force, f.certitude, prov, f.valide_de, f.valide_jusqua, f.creation, f.dernier_acces, f.confirmation, f.contradiction, f.statut, f.avant, f.acces, f.noyau, f.importance, meta["type_sujet"], type_o))
 
     names = [c.split()[0] for c in FACTS.replace("array<struct<source_id:string,date:timestamp,type:string>>", "x").split(", ")]
     for _ in _walk(batches, done):
@@ -257,19 +303,34 @@ def _reports(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["claim_seq", "action", "touches"])
 
 
-def _ordered(claims: DataFrame, spec: DataFrame) -> DataFrame:
-    rows = prepared(claims, spec).filter("sujet_key IS NOT NULL AND predicat IS NOT NULL AND date_obs IS NOT NULL")
+def _ordered(claims: DataFrame, spec: DataFrame, resolved: DataFrame | None) -> DataFrame:
+    rows = prepared(claims, spec, resolved).filter("sujet_key IS NOT NULL AND predicat IS NOT NULL AND date_obs IS NOT NULL")
     return rows.repartition("sujet_key", "predicat").sortWithinPartitions("sujet_key", "predicat", "claim_seq")
 
 
-def write_facts(claims: DataFrame, spec: DataFrame) -> DataFrame:
-    """The facts after all claims. Claims without a key, an order or an observation date are left out."""
-    return _ordered(claims, spec).mapInPandas(_facts, FACTS)
+def write_facts(claims: DataFrame, spec: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """The facts after all claims. Claims without a key, an order or an observation date are left out. ``resolved``:
+    what names stand for, see ``prepared``."""
+    return _ordered(claims, spec, resolved).mapInPandas(_facts, FACTS)
+
+
+def write_more(facts: DataFrame, claims: DataFrame, spec: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """The facts after further claims, from the facts as they are stored: what consolidation, merges and promotions have
+    made of them stays. Only keys that a claim names are folded; a key's stored facts come before its claims."""
+    new = prepared(claims, spec, resolved).filter("sujet_key IS NOT NULL AND predicat IS NOT NULL AND date_obs IS NOT NULL")
+    keys = new.select("sujet_key", "predicat").distinct()
+    kind = new.select("sujet_key", "predicat", "fonctionnel").dropDuplicates(["sujet_key", "predicat"])
+    old = facts.join(kind, ["sujet_key", "predicat"]).withColumns({"stored": F.struct(*STORED, "provenance"), "claim_seq": F.col("fait_id")})
+    blank = {c: F.lit(None).cast(t) for c, t in dict(new.dtypes).items() if c not in old.columns}
+    rows = new.withColumns({"stored": F.lit(None).cast(old.schema["stored"].dataType), "is_claim": F.lit(1)})
+    rows = rows.unionByName(old.withColumns(blank | {"is_claim": F.lit(0)}).select(*rows.columns))
+    folded = rows.repartition("sujet_key", "predicat").sortWithinPartitions("sujet_key", "predicat", "is_claim", "claim_seq").mapInPandas(_facts, FACTS)
+    return facts.join(keys, ["sujet_key", "predicat"], "left_anti").select(*folded.columns).unionByName(folded)
 
 
-def write_report(claims: DataFrame, spec: DataFrame) -> DataFrame:
+def write_report(claims: DataFrame, spec: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     """Per claim the action taken and the facts touched."""
-    return _ordered(claims, spec).mapInPandas(_reports, REPORT)
+    return _ordered(claims, spec, resolved).mapInPandas(_reports, REPORT)
 
 
 def n_sources(provenance):
