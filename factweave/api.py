@@ -75,7 +75,7 @@ def retrieve(facts: DataFrame, question: str, vector: list[float] | None = None)
         n = n_sources(F.col("provenance"))
         penalty = F.when(F.col("statut") == "dormant", G.sleep_penalty(n)).otherwise(0.0)
         bonus = F.when(F.col("mentioned"), G.ENTITY_BONUS).otherwise(0.0)
-        m = facts.filter(F.col("statut").isin("courant", "disputé", "dormant")).join(named.select(F.col("ent").alias("sujet_key"), F.lit(True).alias("m")), "sujet_key", "left").withColumn("mentioned", F.coalesce("m", F.lit(False)))
+        m = G.recallable(facts).join(named.select(F.col("ent").alias("sujet_key"), F.lit(True).alias("m")), "sujet_key", "left").withColumn("mentioned", F.coalesce("m", F.lit(False)))
         top = G.vector_topk(m, query, extra=G.W_FORCE * F.col("force") - penalty + bonus)
         parts.append(top.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "fait_id"))).select("fait_id", "pos"))
     seeds = parts[0].select("fait_id")

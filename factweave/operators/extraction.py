@@ -2,29 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions import text as T
 
+from .graph import first_of
+from .models import Asking
+
 GRID = "struct<sujet:string,predicat:string,objet:string,type_e_sujet:string,type_e_objet:string,polarite:string,modalite:string,temporalite:string,date_debut:string,date_fin:string>"
+# Fixed values.
 MODALITIES = ["accompli", "projete", "rapporte", "nie_rapporte"]
 TEMPORALITIES = ["courant", "debut_seul", "fin_seule", "intervalle_ferme", "occurrence", "sans_date"]
 
 
-def grids(statements: DataFrame, answer_col: str = "reponse") -> DataFrame:
-    """The JSON answer of a model, one row per fact (pos); reasoning and text around the object are dropped."""
+def grids(statements: DataFrame, answer_col: str = "reponse", several: bool = True) -> DataFrame:
+    """The JSON answer of a model, one row per fact (pos); reasoning and text around the object are dropped.
+
+    ``several``: the answer lists facts under "faits" (what is no list gives no fact); otherwise it is one fact's grid.
+    """
     raw = T.without_reasoning(F.col(answer_col))
     body = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
-    parsed = F.from_json(body, f"faits array<{GRID}>")
-    return statements.select("*", F.posexplode(parsed["faits"]).alias("pos", "grille"))
+    if several:
+        return statements.select("*", F.posexplode(F.from_json(body, f"faits array<{GRID}>")["faits"]).alias("pos", "grille"))
+    return statements.withColumns({"pos": F.lit(0), "grille": F.from_json(body, GRID)}).filter("grille IS NOT NULL")
+
+
+def distinct_facts(axes: DataFrame, by: list[str]) -> DataFrame:
+    """Of the facts of a statement (``by``, pos) that are equal by their normal forms the first."""
+    keys = {"_s": T.norm_statement(F.col("sujet")), "_o": T.norm_statement(F.col("objet"))}
+    return first_of(axes.withColumns(keys), [*by, "_s", "predicat", "_o"], ["pos"]).drop("_s", "_o")
 
 
-def finalise(rows: DataFrame, spec: DataFrame, text_col: str = "texte") -> DataFrame:
-    """T22 on rows with ``grille``: the axes; grids without a known predicate, a subject or an object go, as do pronouns."""
+def finalise(rows: DataFrame, spec: DataFrame, text_col: str = "texte", coreference: Asking | None = None) -> DataFrame:
+    """T22 on rows with ``grille``: the axes; grids without a known predicate, a subject or an object go, as do pronouns
+    that ``coreference`` (see ``models.local_coreference``) does not replace by a name."""
     g = lambda n: F.col("grille")[n]
     text = F.col(text_col)
     blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
@@ -60,6 +72,8 @@ def finalise(rows: DataFrame, spec: DataFrame, text_col: str = "texte") -> DataF
         kind(pick(g("type_e_sujet"), g("type_e_objet"))).alias("type_sujet"), kind(pick(g("type_e_objet"), g("type_e_sujet"))).alias("type_objet"),
         "polarite", "modalite", "temporalite", "date_debut", "date_fin",
     )
+    if coreference is not None:
+        out = coreference(out)
     return out.filter(~T.is_pronoun(F.col("sujet")) & ~T.is_pronoun(F.col("objet")))
 
 
@@ -73,30 +87,7 @@ def derive(axes: DataFrame) -> DataFrame:
     return axes.withColumn("action", action).withColumn("op", op)
 
 
-def answered(statements: DataFrame, model: Callable[[str], str], prompt_col: str = "invite", out_col: str = "reponse") -> DataFrame:
-    """An injected model over statements; a failed call is tried three times, then the answer is '{}'."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for prompt in pdf[prompt_col]:
-                answer = "{}"
-                for _ in range(3):
-                    try:
-                        answer = model(prompt)
-                        break
-                    except (ValueError, OSError):
-                        continue
-                out.append(answer)
-            yield pdf.assign(**{out_col: out})
-
-    fields = ", ".join(f"`{n}` {t}" for n, t in statements.dtypes)
-    return statements.mapInPandas(run, f"{fields}, `{out_col}` string")
-
-
 def trailing_context(statements: DataFrame, size: int = 3) -> DataFrame:
     """Each statement with the ``size`` before it in its stream (stream, seq, texte)."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("stream").orderBy("seq").rowsBetween(-size, -1)
     return statements.withColumn("contexte", F.array_join(F.collect_list("texte").over(w), "\n"))

@@ -10,6 +10,7 @@ from factweave.plans.ontology import said, sentence
 from .writing import CERT_SURE, n_sources
 
 
+# Fixed values below: the wording of the lines.
 def month(day: Column) -> Column:
     return F.coalesce(F.date_format(day, "yyyy-MM"), F.lit("?"))
 
@@ -56,6 +57,25 @@ def memory_line(text: Column, confidence: Column, confirmed: Column, mode: str =
     return F.concat(dated, F.when(confidence < doubt, ", à confirmer)").otherwise(")"))
 
 
+def memory_block(memories: DataFrame, by: str, order: list, mode: str = "verbal") -> DataFrame:
+    """V5r, V7r: (by, bloc): the lines of the memories found for each question, in order. ``mode``: numeric (with the
+    confidence), plain, or verbal. ``memories``: by, id, contenu, confiance, confirme, and the columns of ``order``."""
+    text, conf, seen = F.col("contenu"), F.col("confiance"), F.col("confirme")
+    line = memory_line(text, conf, seen, mode)
+    if mode == "numeric":
+        line = F.concat(F.lit("[#"), F.col("id").cast("string"), F.format_string(" | confiance %.2f", conf), F.lit(" | màj "), F.date_format(seen, "yyyy-MM-dd"), F.lit("] "), text)
+    g = memories.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("ligne")))).alias("x"))
+    return g.select(by, F.array_join("x.ligne", "\n").alias("bloc"))
+
+
+def write_summary(report: DataFrame, facts: DataFrame) -> DataFrame:
+    """(claim_seq, action, faits): what a write did, with a line for each fact that it touched, in its order."""
+    lines = facts.select("fait_id", one_liner().alias("ligne"))
+    touched = report.select("claim_seq", F.posexplode("touches").alias("pos", "fait_id")).join(lines, "fait_id")
+    told = touched.groupBy("claim_seq").agg(F.array_sort(F.collect_list(F.struct("pos", "ligne"))).alias("x"))
+    return report.select("claim_seq", "action").join(told.select("claim_seq", F.col("x.ligne").alias("faits")), "claim_seq", "left").withColumn("faits", F.coalesce("faits", F.array().cast("array<string>")))
+
+
 def inferred_line(f1: Column, f2: Column, phrase: Column) -> Column:
     """V2r."""
     return F.concat(F.lit("• [INFÉRÉ — DÉDUCTION, jamais un fait observé · en reliant #"), f1.cast("string"), F.lit(" et #"), f2.cast("string"), F.lit("] il semblerait que "), F.lower(phrase), F.lit("."))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.operators.writing import CLAIM
+from factweave.operators.writing import CLAIM, FACTS
 
 CLAIM_SCHEMA = ", ".join(f"{n} {t}" for n, t in CLAIM.items())
 
@@ -41,6 +41,41 @@ def load_snapshot(spark: SparkSession, root: str, version: int | None = None) ->
     return spark.read.parquet(f"{root}/version={known[-1] if version is None else version:010d}")
 
 
+def save_buckets(facts: DataFrame, root: str, version: int) -> str:
+    """A version that holds only the buckets (column ``bucket``) that changed."""
+    path = f"{root}/version={version:010d}"
+    facts.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return path
+
+
+def load_buckets(spark: SparkSession, root: str, version: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """The facts of ``buckets`` (all by default) in their newest versions, up to ``version``; null if there are none."""
+    jvm = spark._jvm
+    found: dict[str, str] = {}
+    for v in reversed([v for v in versions(spark, root) if version is None or v <= version]):
+        base = jvm.org.apache.hadoop.fs.Path(f"{root}/version={v:010d}")
+        for s in base.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(base):
+            name = s.getPath().getName()
+            if name.startswith("bucket=") and (buckets is None or int(name.split("=")[1]) in buckets):
+                found.setdefault(name, s.getPath().toString())
+    return spark.read.schema(FACTS).parquet(*found.values()) if found else None
+
+
 def append_confidence(memories: DataFrame, path: str, day) -> None:
     """One row per memory and day."""
     memories.select(F.lit(day).alias("date"), "id", F.round("confiance", 4).alias("confiance")).write.mode("append").parquet(path)
+
+
+def save_memories(memories: DataFrame, path: str) -> None:
+    """The memories of the first generation as JSON lines, their confidence with four decimals; no vectors."""
+    rows = memories.drop("embedding", "vecteur")
+    rows.withColumn("confiance", F.round("confiance", 4)).write.mode("overwrite").json(path)
+
+
+def save_report(rows: DataFrame, path: str, fmt: str = "csv") -> None:
+    """The results of an experiment as CSV with a header, or as JSON lines."""
+    writer = rows.write.mode("overwrite")
+    if fmt == "csv":
+        writer.option("header", True).csv(path)
+    else:
+        writer.json(path)

@@ -12,6 +12,7 @@ from factweave.functions import text as T
 from factweave.operators import extraction as X
 from factweave.operators import graph as G
 from factweave.operators import maintenance as M
+from factweave.operators import models as L
 from factweave.operators import promotion as P
 from factweave.operators import rendering as R
 from factweave.operators import resolution as E
@@ -216,8 +217,30 @@ def test_extraction_rules(spark):
         (4, "V", "rapatrier", "W", "assert"), (5, "Lea", "appartient_a", "CAC", "negate"), (6, "Lea", "dirige", "Bob", "closed_interval"),
     ]
     assert (got[-1].date_debut, got[-1].date_fin) == ("1990", "1995")
-    asked = X.answered(spark.createDataFrame([("q",)], "invite string"), lambda p: p + "!").first()
-    assert asked.reponse == "q!"
+    one = X.finalise(X.grids(spark.createDataFrame([(1, "x", '{"sujet":"Lea","predicat":"travaille_pour","objet":"Corp"}'), (2, "x", "rien")], "id int, texte string, reponse string"), several=False), O.specification(spark))
+    assert [(r.id, r.pos, r.sujet, r.objet) for r in one.collect()] == [(1, 0, "Lea", "Corp")]
+    twice = spark.createDataFrame([(1, 0, "Léa", "dirige", "Corp"), (1, 1, "lea", "dirige", "corp"), (1, 2, "lea", "possede", "corp")], "id int, pos int, sujet string, predicat string, objet string")
+    assert [r.pos for r in X.distinct_facts(twice, ["id"]).orderBy("pos").collect()] == [0, 2]
+
+
+def test_models(spark):
+    tries = lambda p, system, t: "no" if t < 0.6 else f'x {{"p": "{p}{system}"}} y'
+    q = spark.createDataFrame([("q",), ("q",), ("z",)], "invite string")
+    assert sorted(r.reponse for r in L.answered(q, tries, system="s").collect()) == ['{"p": "qs"}', '{"p": "qs"}', '{"p": "zs"}']
+    assert {r.reponse for r in L.answered(q, lambda *_: "never", as_json=True).collect()} == {"{}"}
+    assert {r.reponse for r in L.answered(q, lambda p, s, t: f"<think>a</think> {p}! ", as_json=False).collect()} == {"q!", "z!"}
+    e = L.embedded(spark.createDataFrame([("ab",), (None,), ("",)], "t string"), lambda t: [float(len(t)), 0.0], "t").collect()
+    assert [r.embedding for r in e] == [[1.0, 0.0], None, None]
+    said = lambda a: spark.range(1).select(L.antecedent(F.lit(a), F.lit("Hier Ada Martin"), F.lit("elle part"))).first()[0]
+    assert said('{"statut":"Résolu","entite":"Ada Martin"}') == "Ada Martin" and said('{"statut":"resolu","entite":"Bob Hill"}') is None
+    assert said('{"statut":"ambigu","entite":"Ada Martin"}') is None and said('{"statut":"resolu","entite":"elle"}') is None and said("{}") is None
+    rows = spark.createDataFrame([(1, '{"verdicts":[{"id":"7","verdict":"utilise"},{"id":"x","verdict":"UTILISE"},{"id":"8","verdict":"?"}]}'), (2, "rien")], "qid int, reponse string")
+    assert sorted((r.qid, r.id, r.verdict) for r in L.verdicts_of(rows, ["UTILISE"], "NON_UTILISE").collect()) == [(1, 7, "UTILISE"), (1, 8, "NON_UTILISE")]
+    judged = spark.createDataFrame([(1, "q", "r", [(7, "a"), (8, "b")]), (2, "q", "r", [])], "qid int, question string, reponse string, souvenirs array<struct<id:long,contenu:string>>")
+    judge = lambda p, s, t: '{"verdicts":[{"id":8,"verdict":"UTILISE"},{"id":9,"verdict":"UTILISE"},{"id":7,"verdict":"NON_UTILISE"}]}'
+    assert [tuple(r) for r in L.used(judged, judge).collect()] == [(1, 8)]
+    p = spark.range(1).select(L.responder_prompt("A", F.lit("q"), F.lit("b")), L.responder_prompt("B", F.lit("q"), F.lit("b"))).first()
+    assert p[0] == "q" and p[1].startswith("Informations :\nb")
 
 
 def test_inference(spark):
@@ -318,9 +341,14 @@ def test_promotion(spark):
 
 
 def test_scores(spark):
-    v = lambda a, st, q=False: spark.range(1).select(S.verdict(F.lit(a), F.lit(st), F.lit(q))).first()[0]
+    v = lambda a, st, q=False: spark.range(1).select(S.verdict(F.lit(a), F.lit(st), F.lit("Est-elle qualifiée ?" if q is True else q or None))).first()[0]
     assert v("Elle a quitté le CAC 40", "absent") == "OK" and v("Elle fait partie du CAC", "absent") == "FAUX" and v("Je ne sais pas", "absent") == "REFUS"
     assert v("", "present") == "VIDE" and v("Oui, bien sûr", "present") == "OK" and v("pas qualifié", "present", True) == "FAUX" and v("bla", "present") == "AUTRE"
+    assert v("Seule une source non vérifiée le dit : incertain", "incertain") == "OK" and v("Oui l Italie est qualifiée", "incertain") == "FAUX" and v("je ne sais pas", "incertain") == "REFUS"
+    assert v("Le CAC vaut environ 8020", "reserve") == "FAUX" and v("8020 fin novembre", "reserve") == "OK" and v("bla", "reserve") == "AUTRE" and v("8 020 points", "historique") == "OK"
+    listed = "Quelles sociétés sont entrées au CAC en 2025 ?"
+    assert v("Euronext et Eiffage sont entrées", "present", listed) == "OK" and v("Euronext", "present", listed) == "AUTRE" and v("aucune entrée", "present", listed) == "REFUS"
+    assert v("no_reply NotSpecified", "absent") == "VIDE" and v("oui", "inconnu") == "AUTRE"
     s = spark.range(1).select(S.strictly_right(F.lit("c'est Bob, avant c'était Anne"), F.lit("Bob"), F.lit("Anne")), S.strictly_right(F.lit("Bob ou Anne"), F.lit("bob"), F.lit("anne"))).first()
     assert list(s) == [True, False]
     assert S.first_crossing(spark.createDataFrame([(60, 0.2), (120, 0.5), (240, 0.6)], "h int, y double"), "h", "y", F.lit(0.4)).first()[0] == 120
@@ -338,8 +366,14 @@ def test_snapshots_and_stream(spark, tmp_path):
     q.awaitTermination(120)
     pick = lambda df: sorted((r.fait_id, r.statut, round(r.certitude, 9)) for r in df.collect())
     assert store.versions(spark, root) == [0, 1]
-    assert pick(store.load_snapshot(spark, root)) == pick(W.write_facts(rows, spec))
-    assert len(pick(store.load_snapshot(spark, root, 0))) == 1
+    assert pick(store.load_buckets(spark, root)) == pick(W.write_facts(rows, spec))
+    assert len(pick(store.load_buckets(spark, root, 0))) == 1
+    # the second batch touched two subjects and wrote no more
+    assert len(pick(store.load_snapshot(spark, root, 1))) <= 3
+    store.save_memories(spark.createDataFrame([(1, 0.123456, [1.0])], "id int, confiance double, embedding array<double>"), str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m")).first().confiance == 0.1235
+    store.save_report(spark.range(3), str(tmp_path / "r"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "r")).count() == 3
     rows.select("claim_seq", "op", "sujet").write.json(str(tmp_path / "j"))
     assert store.read_claims(spark, str(tmp_path / "j")).filter("sujet = 'A'").count() == 3
     assert store.load_snapshot(spark, str(tmp_path / "none")) is None
