@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factweave import api
 from factweave.functions import text as T
 from factweave.operators import extraction as X
 from factweave.operators import graph as G
 from factweave.operators import maintenance as M
+from factweave.operators import messages as C
+from factweave.operators import models as L
+from factweave.operators import promotion as P
 from factweave.operators import rendering as R
 from factweave.operators import resolution as E
 from factweave.operators import scoring as S
+from factweave.operators import vectors as V
 from factweave.operators import writing as W
 from factweave.plans import ontology as O
 
@@ -92,13 +97,12 @@ def gate_classify(spark, d):
 
 @query("SELECT conv_id, arg_max(text, turn) AS dernier FROM conversations WHERE role = 'user' GROUP BY conv_id")
 def last_user_message(spark, d):
-    c = table(spark, d, "conversations").filter("role = 'user'")
-    return c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("dernier"))
+    return C.last_of(table(spark, d, "conversations"), "user").select("conv_id", F.col("text").alias("dernier"))
 
 
 @query("SELECT conv_id, CAST(ceil(sum(length(text)) / 4.0) AS BIGINT) AS jetons FROM conversations GROUP BY conv_id")
 def token_estimate(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.ceil(F.sum(F.length("text")) / 4).alias("jetons"))
+    return C.token_estimate(table(spark, d, "conversations"))
 
 
 _SAYINGS = (
@@ -151,7 +155,11 @@ def type_gate(spark, d):
 @query("""
 SELECT event_type AS predicat, user_id, count(DISTINCT value) AS n_src, least(0.95, 0.55 + 0.20 * (count(DISTINCT value) - 1)) AS certitude FROM events GROUP BY 1, 2""")
 def source_count(spark, d):
-    g = table(spark, d, "events").groupBy(F.col("event_type").alias("predicat"), "user_id").agg(F.count_distinct("value").alias("n_src"))
+    """A1 over provenance arrays, and the certainty that follows."""
+    told = F.struct(F.col("value").cast("string").alias("source_id"), F.col("ts").alias("date"), F.lit("rapport").alias("type"))
+    closing = F.struct(F.lit("cloture").alias("source_id"), F.col("ts").alias("date"), F.lit("cloture").alias("type"))
+    g = table(spark, d, "events").groupBy(F.col("event_type").alias("predicat"), "user_id").agg(F.flatten(F.collect_list(F.array(told, closing))).alias("provenance"))
+    g = g.select("predicat", "user_id", W.n_sources(F.col("provenance")).cast("long").alias("n_src"))
     return g.withColumn("certitude", F.least(F.lit(W.CERT_CAP), W.CERT_INIT + W.CERT_GAIN * (F.col("n_src") - 1)))
 
 
@@ -159,8 +167,14 @@ _AS_OF = "2024-03-01"
 
 
 def _event_facts(spark, d):
-    e = table(spark, d, "events").groupBy("user_id", F.col("event_type").alias("predicat")).agg(F.max("ts").alias("vu"), F.count("*").alias("n"), F.count_distinct(F.col("value").cast("int")).alias("n_src"))
-    return e
+    """A fact for each user and event type, as it was when last seen, with a source for each whole value."""
+    source = F.struct(F.col("value").cast("int").cast("string").alias("source_id"), F.col("ts").alias("date"), F.lit("rapport").alias("type"))
+    g = table(spark, d, "events").groupBy("user_id", F.col("event_type").alias("predicat")).agg(F.max("ts").alias("vu"), F.count("*").alias("compteur_acces"), F.collect_list(source).alias("provenance"))
+    alone = W.n_sources(F.col("provenance")) < 2
+    return g.withColumns({
+        "dernier_acces": F.col("vu"), "derniere_confirmation": F.col("vu"), "force": F.lit(W.FORCE_INIT), "certitude": F.when(alone, W.CERT_INIT).otherwise(W.CERT_INIT + W.CERT_GAIN),
+        "noyau": F.lit(False), "importance": F.lit(0.0), "statut": F.lit("courant"), "statut_avant": F.lit(None).cast("string"),
+    })
 
 
 @query(f"""
@@ -170,16 +184,12 @@ SELECT user_id, predicat, noyau, round(0.5 * pow(0.5, j / (240 * CASE WHEN noyau
   round(greatest(CASE WHEN n_src < 2 THEN least(0.6, 0.55 * pow(0.5, j / 45)) ELSE 0.75 * pow(0.5, j / (45 * CASE WHEN noyau THEN 2 ELSE 1 END)) END, CASE WHEN n_src >= 2 THEN 0.55 ELSE 0 END), 9) AS certitude,
   (0.5 * pow(0.5, j / (240 * CASE WHEN noyau THEN 2 ELSE 1 END)) < 0.15 AND NOT noyau AND n_src < 3) AS dort FROM a""")
 def decay_as_of(spark, d):
-    e = _event_facts(spark, d)
-    as_of = F.lit(_AS_OF).cast("timestamp")
-    core = (F.col("n_src") >= M.CORE_SOURCES) & (F.col("n") >= M.CORE_ACCESSES)
-    fac = F.when(core, M.CORE_FACTOR).otherwise(1.0)
-    j = M.days(as_of, F.col("vu"))
-    force = M.halved(F.lit(0.5), j, M.FORCE_HALF_LIFE * fac)
-    cert = M.halved(F.when(F.col("n_src") < 2, 0.55).otherwise(0.75), j, M.half_life_of(F.lit("volatil")) * fac)
-    cert = F.when(F.col("n_src") < 2, F.least(F.lit(W.CERT_LIAR), cert)).otherwise(F.greatest(cert, F.lit(M.FLOOR)))
-    sleeps = (force < W.FORCE_DORMANT) & ~core & (F.col("n_src") < M.PROTECTED_SOURCES)
-    return e.select("user_id", "predicat", core.alias("noyau"), F.round(force, 9).alias("force"), F.round(cert, 9).alias("certitude"), sleeps.alias("dort"))
+    """Core, decay, floor and dormancy of what events say, as of a day."""
+    kinds = [(k, False, "volatil", False, None, None, 0.4, O.HALF_LIFE["volatil"]) for k in ("click", "view", "purchase", "signup", "error")]
+    spec = O.specification(spark, kinds)
+    f = M.core(_event_facts(spark, d))
+    f = M.dormancy(M.floor(M.decay(f, spec, F.lit(_AS_OF).cast("timestamp"))))
+    return f.select("user_id", "predicat", "noyau", F.round("force", 9).alias("force"), F.round("certitude", 9).alias("certitude"), (F.col("statut") == "dormant").alias("dort"))
 
 
 @query("""
@@ -197,10 +207,10 @@ def learned_volatility(spark, d):
 WITH s AS (SELECT o_custkey, o_orderpriority, o_orderdate AS de, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS a FROM orders)
 SELECT o_custkey, o_orderpriority FROM s WHERE de <= TIMESTAMP '1996-07-01' AND (a IS NULL OR TIMESTAMP '1996-07-01' < a)""")
 def point_in_time(spark, d):
+    """P10: the priority of each customer that held at a moment."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    s = table(spark, d, "orders").select("o_custkey", "o_orderpriority", F.col("o_orderdate").alias("de"), F.lead("o_orderdate").over(w).alias("a"))
-    at = F.lit("1996-07-01").cast("timestamp")
-    return s.filter((F.col("de") <= at) & (F.col("a").isNull() | (at < F.col("a")))).select("o_custkey", "o_orderpriority")
+    s = table(spark, d, "orders").select("o_custkey", "o_orderpriority", F.col("o_orderdate").alias("valide_de"), F.lead("o_orderdate").over(w).alias("valide_jusqua"))
+    return G.valid_at(s, F.lit("1996-07-01").cast("timestamp")).select("o_custkey", "o_orderpriority")
 
 
 # ---- the write path ----
@@ -216,22 +226,67 @@ def priority_claims(spark, d) -> DataFrame:
     )
 
 
+#: The write rules as SQL: a recursion over each customer's orders whose state is the list of facts.
+_FOLD = """
+WITH RECURSIVE c AS (
+  SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n,
+         epoch(date_trunc('day', o_orderdate))::BIGINT // 86400 * 10000000000 + o_orderkey AS seq, o_orderpriority AS v, o_orderstatus AS src, o_orderdate AS d
+  FROM orders
+), s AS (
+  SELECT k, 0::BIGINT AS n, NULL::VARCHAR AS action,
+         []::STRUCT(id BIGINT, v VARCHAR, f DOUBLE, c DOUBLE, srcs VARCHAR[], de TIMESTAMP, fin TIMESTAMP, vu TIMESTAMP, st VARCHAR)[] AS x
+  FROM (SELECT DISTINCT k FROM c)
+  UNION ALL
+  SELECT k, n, action,
+    CASE action
+      WHEN 'repetition' THEN list_transform(x, lambda y: CASE WHEN y.v = v THEN struct_pack(id := y.id, v := y.v, f := least(0.99::DOUBLE, y.f + 0.05::DOUBLE), c := y.c, srcs := y.srcs, de := y.de, fin := y.fin, vu := d, st := y.st) ELSE y END)
+      WHEN 'corroboration' THEN list_transform(x, lambda y: CASE WHEN y.v = v THEN struct_pack(id := y.id, v := y.v, f := y.f, c := up, srcs := list_append(y.srcs, src), de := y.de, fin := y.fin, vu := d, st := y.st) ELSE y END)
+      WHEN 'corroboration_courant' THEN list_transform(x, lambda y: CASE WHEN y.v = v THEN struct_pack(id := y.id, v := y.v, f := y.f, c := up, srcs := list_append(y.srcs, src), de := y.de, fin := y.fin, vu := d, st := 'courant') ELSE y END)
+      WHEN 'creation' THEN list_append(x, fresh)
+      WHEN 'cloture' THEN list_append(list_transform(x, lambda y: CASE WHEN y.id = held.id THEN struct_pack(id := y.id, v := y.v, f := y.f, c := y.c, srcs := y.srcs, de := y.de, fin := d, vu := y.vu, st := 'clos') ELSE y END), fresh)
+      ELSE list_append(list_transform(x, lambda y: CASE WHEN y.id = held.id THEN struct_pack(id := y.id, v := y.v, f := y.f, c := CASE action WHEN 'dispute_corrobore' THEN greatest(0::DOUBLE, y.c - 0.1::DOUBLE) ELSE y.c END, srcs := y.srcs, de := y.de, fin := y.fin, vu := y.vu, st := 'disputé') ELSE y END),
+             struct_pack(id := fresh.id, v := fresh.v, f := fresh.f, c := fresh.c, srcs := fresh.srcs, de := fresh.de, fin := fresh.fin, vu := fresh.vu, st := 'disputé'))
+    END
+  FROM (
+    SELECT *, CASE
+        WHEN same IS NOT NULL AND list_contains(same.srcs, src) THEN 'repetition'
+        WHEN same IS NOT NULL AND same.st = 'disputé' AND up >= 0.6 THEN 'corroboration_courant'
+        WHEN same IS NOT NULL THEN 'corroboration'
+        WHEN held IS NULL THEN 'creation'
+        WHEN d > held.de AND (NOT list_contains(held.srcs, src) OR held.c < 0.6) THEN 'cloture'
+        WHEN held.c >= 0.6 AND len(held.srcs) >= 2 THEN 'dispute_corrobore'
+        ELSE 'dispute' END AS action
+    FROM (
+      SELECT *, least(0.95::DOUBLE, same.c + 0.2::DOUBLE) AS up FROM (
+        SELECT s.k, c.n, c.v, c.src, c.d, s.x, list_filter(s.x, lambda y: y.v = c.v)[1] AS same,
+               list_filter(s.x, lambda y: y.st IN ('courant', 'disputé') AND y.de = list_max(list_transform(list_filter(s.x, lambda z: z.st IN ('courant', 'disputé')), lambda z: z.de)))[1] AS held,
+               struct_pack(id := c.seq, v := c.v, f := 0.5::DOUBLE, c := 0.55::DOUBLE, srcs := [c.src], de := c.d, fin := NULL::TIMESTAMP, vu := c.d, st := 'courant') AS fresh
+        FROM s JOIN c ON c.k = s.k AND c.n = s.n + 1)))
+), f AS (
+  SELECT 'cust ' || k AS sujet_key, unnest(x, recursive := true) FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC) = 1
+)
+"""
+
 PRIORITY = ("priorite", True, "changeant", False, "entite", "valeur", 0.4, 180.0)
 
 
-@query()
+@query(_FOLD + """
+SELECT id AS fait_id, sujet_key, 'priorite' AS predicat, v AS objet, round(f, 9) AS force, round(c, 9) AS certitude, len(srcs) AS n_sources, de AS valide_de, fin AS valide_jusqua, st AS statut FROM f""")
 def priority_facts(spark, d):
     """I1 over orders: the facts of each customer's priority, whole log."""
     f = W.write_facts(priority_claims(spark, d), O.specification(spark, [PRIORITY]))
-    return f.select("fait_id", "sujet_key", "predicat", "objet", "force", "certitude", W.n_sources(F.col("provenance")).alias("n_sources"), "valide_de", "valide_jusqua", "statut")
+    n = W.n_sources(F.col("provenance")).cast("long").alias("n_sources")
+    return f.select("fait_id", "sujet_key", "predicat", "objet", F.round("force", 9).alias("force"), F.round("certitude", 9).alias("certitude"), n, "valide_de", "valide_jusqua", "statut")
 
 
-@query()
+@query(_FOLD + "SELECT action, count(*) AS n FROM s WHERE n > 0 GROUP BY 1")
 def priority_actions(spark, d):
     return W.write_report(priority_claims(spark, d), O.specification(spark, [PRIORITY])).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_FOLD + """
+SELECT sujet_key, v AS objet, st AS statut, CASE WHEN st = 'disputé' THEN 'disputé' WHEN c >= 0.6 THEN 'sûr' ELSE 'incertain' END AS etiquette, round(c, 6) AS certitude
+FROM f WHERE st IN ('courant', 'disputé')""")
 def current_priority(spark, d):
     """The minimum slice: current or disputed value of each customer with its label."""
     f = W.write_facts(priority_claims(spark, d), O.specification(spark, [PRIORITY]))
@@ -239,7 +294,14 @@ def current_priority(spark, d):
     return f.filter(F.col("statut").isin("courant", "disputé")).select("sujet_key", "objet", "statut", label.alias("etiquette"), F.round("certitude", 6).alias("certitude"))
 
 
-@query()
+@query(_FOLD + """
+, a AS (SELECT count(*) AS n_occ, count(*) FILTER (WHERE st = 'clos') AS n_clos FROM f WHERE st <> 'disputé'),
+w AS (SELECT CASE WHEN n_occ < 12 OR n_clos < 3 THEN 0 ELSE n_occ / (n_occ + 30) END AS w, greatest(20, 730 * pow(0.5, (n_clos / n_occ) / 0.10)) AS seen FROM a),
+l AS (SELECT CASE WHEN round_even(w, 2) > 0 THEN round_even((1 - w) * 180 + w * seen, 1) ELSE 180 END AS dv FROM w),
+g AS (SELECT st, len(srcs) AS n, (epoch_us(TIMESTAMP '1999-01-01') - epoch_us(vu)) / 86400e6 AS j, (epoch_us(TIMESTAMP '1999-01-01') - epoch_us(de)) / 86400e6 AS acc, f, c, dv FROM f, l),
+h AS (SELECT st, n, CASE WHEN acc > 0 THEN f * pow(0.5, acc / 240) ELSE f END AS f, CASE WHEN j > 0 THEN c * pow(0.5, j / dv) ELSE c END AS c FROM g),
+i AS (SELECT n, f, CASE WHEN n < 2 THEN least(c, 0.6) ELSE greatest(c, 0.55) END AS c, CASE WHEN f < 0.15 AND n < 3 THEN 'dormant' ELSE st END AS st FROM h)
+SELECT st AS statut, false AS noyau, count(*) AS n, round(avg(f), 6) AS force, round(avg(c), 6) AS certitude FROM i GROUP BY 1""")
 def consolidated(spark, d):
     """The fold, then consolidation with learned volatility."""
     spec = O.specification(spark, [PRIORITY])
@@ -285,7 +347,7 @@ SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec
 WHERE list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))) > 0.45""")
 def near_vectors(spark, d):
     e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
-    return E.vector_pairs(e, 0.45).select("a", "b")
+    return V.vector_pairs(e, 0.45).select("a", "b")
 
 
 @query()
@@ -366,7 +428,7 @@ def compose_chain(spark, d):
     return G.compose(f, O.specification(spark), most=None).withColumn("certitude", F.round("certitude", 6)).drop("valide_jusqua")
 
 
-_NEIGH = "SELECT DISTINCT 's' || l_suppkey AS ent, 'p' || l_partkey AS nk FROM lineitem WHERE l_quantity >= 45 AND l_suppkey <= 60"
+_NEIGH = "SELECT DISTINCT 's' || l_suppkey AS ent, 'p' || l_partkey AS nk FROM lineitem"
 
 
 @query(f"""
@@ -375,7 +437,7 @@ SELECT a.ent AS a, b.ent AS b, ka.fam, round(sum(1.0 / df), 6) AS score, count(*
 FROM n a JOIN n b ON a.nk = b.nk AND a.ent < b.ent JOIN df ON df.nk = a.nk JOIN k ka ON ka.ent = a.ent JOIN k kb ON kb.ent = b.ent AND kb.fam = ka.fam
 GROUP BY 1, 2, 3 HAVING sum(1.0 / df) >= 0.30 AND (ka.fam <> 'personne' OR count(*) FILTER (WHERE 1.0 / df >= 0.25) >= 2 OR sum(1.0 / df) >= 0.75)""")
 def fragment_scores(spark, d):
-    """All of lineitem; the SQL above still has the subset of an earlier round (quantity 45 or more, suppliers up to 60), so it gives other rows."""
+    """Suppliers by the parts that they share."""
     n = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("ent"), F.concat(F.lit("p"), "l_partkey").alias("nk")).distinct()
     kind = F.when(F.expr("cast(substr(ent, 2) as bigint) % 3 = 0"), "individu").otherwise("banque")
     s = E.fragment_scores(n, n.select("ent").distinct().withColumn("type", kind))
@@ -389,11 +451,11 @@ def dedup_triples(spark, d):
 
 
 @query("""
-WITH a AS (SELECT o_orderkey AS fait_id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS pos FROM orders QUALIFY pos <= 50), b AS (SELECT o_orderkey AS fait_id, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS pos FROM orders QUALIFY pos <= 50),
+WITH a AS (SELECT o_orderkey AS fait_id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS pos FROM orders), b AS (SELECT o_orderkey AS fait_id, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS pos FROM orders),
 u AS (SELECT fait_id, pos, 0 AS prio FROM a UNION ALL SELECT fait_id, pos, 1 FROM b)
 SELECT fait_id, prio, pos FROM u QUALIFY row_number() OVER (PARTITION BY fait_id ORDER BY prio, pos) = 1""")
 def ordered_union(spark, d):
-    """Both whole lists of orders; the SQL above still has the first 50 of each, so it gives fewer rows."""
+    """Two whole ranked lists, the first list that has a fact wins."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("fait_id"), "o_totalprice", "o_orderdate")
     return G.ordered_union([G.ranked(o, F.desc("o_totalprice"), F.asc("fait_id")), G.ranked(o, F.asc("o_orderdate"), F.asc("fait_id"))])
 
@@ -449,10 +511,17 @@ def epistemic_lines(spark, d):
 
 @query("""SELECT o_custkey, string_agg('« ' || o_orderpriority || ' » (source ' || o_orderstatus || ', ' || strftime(o_orderdate, '%Y-%m') || ')', ' VS ' ORDER BY o_orderdate, o_orderkey) AS parts FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1""")
 def disputed_groups(spark, d):
+    """The disputed lines that rendering makes, one a customer."""
     o = table(spark, d, "orders").filter("o_orderstatus <> 'F'")
-    part = F.concat(F.lit("« "), "o_orderpriority", F.lit(" » (source "), "o_orderstatus", F.lit(", "), R.month(F.col("o_orderdate")), F.lit(")"))
-    g = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", part.alias("p")))).alias("x"))
-    return g.select("o_custkey", F.array_join("x.p", " VS ").alias("parts"))
+    told = F.array(F.struct(F.col("o_orderstatus").alias("source_id"), F.col("o_orderdate").alias("date"), F.lit("rapport").alias("type")))
+    seq = F.unix_date(F.col("o_orderdate").cast("date")).cast("long") * 10_000_000_000 + F.col("o_orderkey")
+    f = o.select(
+        seq.alias("pos"), F.col("o_custkey").cast("string").alias("sujet"), F.col("o_custkey").cast("string").alias("sujet_key"), F.lit("priorite").alias("predicat"), F.col("o_orderpriority").alias("objet"),
+        told.alias("provenance"), F.col("o_orderdate").alias("derniere_confirmation"), F.col("o_orderdate").alias("valide_de"), F.lit(None).cast("timestamp").alias("valide_jusqua"),
+        F.lit("disputé").alias("statut"), F.lit(None).cast("string").alias("statut_avant"), F.lit(0.5).alias("certitude"),
+    )
+    line = R.epistemic_lines(f, O.template_table(spark)).select(F.regexp_extract("ligne", r"^• \[DISPUTÉ — non tranché\] (\d+) : (.*)$", 1).cast("long").alias("o_custkey"), F.regexp_extract("ligne", r"^[^:]* : (.*)$", 1).alias("parts"))
+    return line
 
 
 @query()
@@ -523,20 +592,28 @@ def ontology(spark, d):
 SELECT 'cust ' || o_custkey AS sujet_key, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS sources, count(*) AS n_faits,
   coalesce(max(CASE WHEN o_orderstatus = 'F' THEN 'clos' END), 'courant') AS statut_effectif FROM orders GROUP BY 1""")
 def fact_listing(spark, d):
-    """Per subject its sources and effective status."""
-    g = table(spark, d, "orders").groupBy(F.concat(F.lit("cust "), "o_custkey").alias("sujet_key"))
-    status = F.coalesce(F.max(F.when(F.col("o_orderstatus") == "F", "clos")), F.lit("courant"))
-    return g.agg(F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("sources"), F.count("*").alias("n_faits"), status.alias("statut_effectif"))
+    """The listing of facts; per subject its sources and effective status."""
+    told = F.array(F.struct(F.col("o_orderstatus").alias("source_id"), F.col("o_orderdate").alias("date"), F.lit("rapport").alias("type")))
+    closed = F.col("o_orderstatus") == "F"
+    f = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("fait_id"), F.concat(F.lit("cust "), "o_custkey").alias("sujet"), F.lit("priorite").alias("predicat"), F.col("o_orderpriority").alias("objet"),
+        F.when(closed & (F.col("o_orderkey") % 2 == 0), "dormant").when(closed, "clos").otherwise("courant").alias("statut"), F.when(closed & (F.col("o_orderkey") % 2 == 0), "clos").alias("statut_avant"),
+        F.lit(0.5).alias("force"), F.lit(0.5).alias("certitude"), told.alias("provenance"), F.col("o_orderdate").alias("valide_de"), F.lit(None).cast("timestamp").alias("valide_jusqua"),
+    )
+    g = api.listing(f).groupBy(F.col("sujet").alias("sujet_key"))
+    status = F.coalesce(F.max(F.when(F.col("statut_effectif") == "clos", "clos")), F.lit("courant"))
+    return g.agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))), ",").alias("sources"), F.count("*").alias("n_faits"), status.alias("statut_effectif"))
 
 
 @query("""
 SELECT s_suppkey AS fait_id, s_name, n_name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey WHERE s_nationkey = 3
 UNION ALL SELECT s_suppkey, s_name, coalesce(n_name, '?') FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey = 7 AND s_nationkey <> 3""")
 def incident_facts(spark, d):
-    """Point lookups on either end, with names."""
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    s = table(spark, d, "supplier").filter("s_nationkey = 3 OR s_suppkey = 7").join(F.broadcast(n), "s_nationkey", "left")
-    return s.select(F.col("s_suppkey").alias("fait_id"), "s_name", F.coalesce("n_name", F.lit("?")).alias("n_name"))
+    """The facts at an entity, and one by its id, with names."""
+    names = table(spark, d, "nation").select(F.concat(F.lit("nation "), "n_nationkey").alias("ent"), F.col("n_name").alias("nom"))
+    f = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("fait_id"), "s_name", T.norm_name(F.col("s_name")).alias("sujet_key"), F.concat(F.lit("nation "), "s_nationkey").alias("objet_key"))
+    found = api.inspect(f, "Nation 3").unionByName(api.inspect(f, 7)).distinct()
+    return G.with_name(found, names, "objet_key", "n_name").select("fait_id", "s_name", "n_name")
 
 
 @query("""
@@ -574,29 +651,52 @@ SELECT c_custkey, CASE WHEN a = '' THEN 'VIDE' WHEN st = 'absent' THEN CASE WHEN
   WHEN q THEN CASE WHEN {_says(S.NOT_QUALIFIED)} THEN 'FAUX' WHEN {_says(S.QUALIFIED)} THEN 'OK' WHEN {_says(S.REFUSAL)} THEN 'REFUS' ELSE 'AUTRE' END
   ELSE CASE WHEN {_says(S.ABSENCE)} THEN 'FAUX' WHEN {_says(S.PRESENCE)} OR contains(left(a, 20), 'oui') THEN 'OK' WHEN {_says(S.REFUSAL)} THEN 'REFUS' ELSE 'AUTRE' END END AS verdict FROM x""")
 def answer_verdicts(spark, d):
-    """V8r."""
+    """V8r for absent and present."""
     a = F.element_at(F.array(*map(F.lit, _ANSWERS)), (F.col("c_custkey") % len(_ANSWERS) + 1).cast("int"))
     st = F.when(F.col("c_custkey") % 2 == 0, "absent").otherwise("present")
-    return table(spark, d, "customer").select("c_custkey", S.verdict(a, st, F.col("c_nationkey") % 2 == 0).alias("verdict"))
+    q = F.when(F.col("c_nationkey") % 2 == 0, "Est-elle qualifiée ?").otherwise("En fait-elle partie ?")
+    return table(spark, d, "customer").select("c_custkey", S.verdict(a, st, q).alias("verdict"))
+
+
+_MORE_ANSWERS = (
+    "C'est incertain, une seule source le dit", "Oui l Italie est qualifiée", "Aucune information", "Le CAC 40 est de 8 020 points", "8020 fin novembre", "Euronext et Eiffage ont rejoint l'indice",
+    "no_reply", "Peut-être  demain",
+)
+_MORE = "['" + "', '".join(a.replace("'", "''") for a in _MORE_ANSWERS) + f"'][(c_custkey % {len(_MORE_ANSWERS)}) + 1]"
+
+
+@query(f"""
+WITH x AS (SELECT c_custkey, trim(regexp_replace(regexp_replace(strip_accents(lower({_MORE})), '\\s+', ' ', 'g'), '\\bno_reply\\b', ' ', 'g')) AS a,
+  ['incertain', 'reserve', 'historique', 'present', 'autre'][(c_nationkey % 5) + 1] AS st FROM customer)
+SELECT c_custkey, CASE WHEN a = '' THEN 'VIDE' WHEN st = 'incertain' THEN CASE WHEN {_says(S.NOT_QUALIFIED)} OR {_says(S.DOUBTED)} THEN 'OK' WHEN {_says(S.ASSERTED)} THEN 'FAUX' WHEN {_says(S.REFUSAL)} THEN 'REFUS' ELSE 'AUTRE' END
+  WHEN st = 'reserve' THEN CASE WHEN regexp_matches(a, {quoted(S.STILL_WORTH)}) THEN 'FAUX' WHEN {_says(S.RESERVED)} THEN 'OK' ELSE 'AUTRE' END
+  WHEN st = 'historique' THEN CASE WHEN regexp_matches(a, {quoted(S.WORTH)}) THEN 'OK' WHEN {_says(S.REFUSAL)} THEN 'REFUS' ELSE 'AUTRE' END
+  WHEN st = 'present' THEN CASE WHEN {_says(S.REFUSAL)} THEN 'REFUS' WHEN contains(a, 'euronext') AND contains(a, 'eiffage') AND {_says(S.ENTERING)} THEN 'OK' ELSE 'AUTRE' END ELSE 'AUTRE' END AS verdict FROM x""")
+def answer_verdicts_of_all_kinds(spark, d):
+    """V8r for the other statuses, and the question for the list of entrants."""
+    a = F.element_at(F.array(*map(F.lit, _MORE_ANSWERS)), (F.col("c_custkey") % len(_MORE_ANSWERS) + 1).cast("int"))
+    st = F.element_at(F.array(*map(F.lit, ["incertain", "reserve", "historique", "present", "autre"])), (F.col("c_nationkey") % 5 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", S.verdict(a, st, F.lit("Quelles sociétés sont entrées au CAC ?")).alias("verdict"))
 
 
 @query("""
 SELECT strftime(o_orderdate, '%Y-%m') AS mois, o_orderstatus = 'F' AS vrai, count(*) AS n, round(avg((o_orderkey % 100) / 100.0), 9) AS confiance FROM orders GROUP BY 1, 2""")
 def monthly_confidence(spark, d):
     """Monthly mean confidence of true and stale memories."""
-    o = table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("mois"), (F.col("o_orderstatus") == "F").alias("vrai"))
-    return o.agg(F.count("*").alias("n"), F.round(F.avg((F.col("o_orderkey") % 100) / 100), 9).alias("confiance"))
+    m = table(spark, d, "orders").select("o_orderdate", (F.col("o_orderstatus") == "F").alias("vrai"), ((F.col("o_orderkey") % 100) / 100).alias("confiance"))
+    return S.monthly_confidence(m, "o_orderdate", "vrai", "confiance").withColumn("confiance", F.round("confiance", 9))
 
 
 @query("""
 SELECT o_orderpriority AS configuration, count(*) FILTER (WHERE o_orderstatus = 'F') AS ok, count(*) FILTER (WHERE o_orderstatus = 'O') AS faux, count(*) FILTER (WHERE o_orderstatus = 'P') AS refus,
   count(*) FILTER (WHERE o_orderstatus <> 'F' AND o_custkey % 10 = 0) AS faute_extracteur, count(*) FILTER (WHERE o_orderstatus <> 'F' AND o_custkey % 10 <> 0) AS faute_memoire FROM orders GROUP BY 1""")
 def verdict_counts(spark, d):
-    """Verdicts by configuration and whose errors they are."""
-    wrong, stored = F.col("o_orderstatus") != "F", F.col("o_custkey") % 10 != 0
-    n = lambda c, name: F.count_if(c).alias(name)
-    g = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("configuration"))
-    return g.agg(*[n(F.col("o_orderstatus") == s, k) for s, k in (("F", "ok"), ("O", "faux"), ("P", "refus"))], n(wrong & ~stored, "faute_extracteur"), n(wrong & stored, "faute_memoire"))
+    """Verdicts by configuration, and whose errors they are."""
+    o = table(spark, d, "orders")
+    v = F.when(F.col("o_orderstatus") == "F", "OK").when(F.col("o_orderstatus") == "O", "FAUX").otherwise("REFUS")
+    rows = o.select(F.col("o_orderpriority").alias("configuration"), v.alias("verdict"), (v == "OK").alias("ok"), F.lit(True).alias("entite_stockee"), (F.col("o_custkey") % 10 != 0).alias("valeur_stockee"))
+    faults = S.attribution(rows).groupBy("configuration").agg(F.count_if(F.col("faute") == "extracteur").alias("faute_extracteur"), F.count_if(F.col("faute") == "memoire").alias("faute_memoire"))
+    return S.verdict_counts(rows, "configuration").select("configuration", "ok", "faux", "refus").join(faults, "configuration")
 
 
 @query("""
