@@ -12,9 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factweave.functions import text as T
+from factweave.operators import extraction as X
 from factweave.operators import graph as G
+from factweave.operators import models as L
+from factweave.operators import promotion as P
 from factweave.operators import rendering as R
 from factweave.operators.writing import CLAIM, n_sources
+from factweave.sources.store import load_buckets
 
 _SCHEMA = ", ".join(f"{n} {t}" for n, t in CLAIM.items())
 
@@ -109,3 +113,95 @@ def accesses(facts: DataFrame, read: DataFrame, seq: int, seen: datetime) -> Dat
     r = facts.join(read, "fait_id", "left_semi").select("sujet", "predicat", "objet", F.col("fait_id").alias("cible"))
     r = r.withColumns({"claim_seq": F.lit(seq) + F.row_number().over(Window.orderBy("cible")) - 1, "op": F.lit("access"), "date_obs": F.lit(seen)})
     return r.select(*[(F.col(c) if c in r.columns else F.lit(None)).cast(t).alias(c) for c, t in CLAIM.items()])
+
+
+# ---- whole paths ----
+
+
+def extracted(statements: DataFrame, spec: DataFrame, model: L.Model, system: str = "", several: bool = True) -> DataFrame:
+    """The axes of the facts that statements (stream, seq, texte, and any other columns) state, one row a fact.
+
+    The model reads each statement by itself; pronouns are looked for in the three statements before it in its stream,
+    whether or not they state anything. Of equal facts of a statement the first counts.
+    """
+    ask = "Extrais TOUS les faits distincts, en JSON strict." if several else "Remplis la grille en JSON strict."
+    s = X.trailing_context(statements)
+    s = L.answered(s.withColumn("invite", F.concat(F.lit("Énoncé : « "), "texte", F.lit(f" »\n\n{ask}"))), model, system=system)
+    axes = X.finalise(X.grids(s.drop("invite"), several=several).drop("reponse"), spec, coreference=L.local_coreference(model))
+    return X.distinct_facts(axes, ["stream", "seq"])
+
+
+def referred(axes: DataFrame, spec: DataFrame, entities: DataFrame, facts: DataFrame, model: L.Model | None = None) -> DataFrame:
+    """``axes`` with references to known entities (ent, nom, type) replaced by their names: subjects, and objects
+    where the predicate's object is an entity. Who it is, never what is said: nothing else changes."""
+    is_entity = spec.filter("objet_entite").select("predicat", F.lit(True).alias("_e"))
+    a = axes.join(F.broadcast(is_entity), "predicat", "left")
+    ends = a.select(F.col("sujet").alias("ref"), F.col("type_sujet").alias("type")).union(a.filter("_e").select("objet", "type_objet")).distinct()
+    ends = G.checkpointed(ends.withColumn("rid", F.xxhash64("ref", "type")))
+    names = L.distant_references(ends, entities, facts, model).join(entities.select("ent", "nom"), "ent").select("rid", "nom")
+    for end, when in (("sujet", F.lit(True)), ("objet", F.coalesce("_e", F.lit(False)))):
+        a = a.withColumn("_r", F.when(when, F.xxhash64(end, f"type_{end}"))).join(names.select(F.col("rid").alias("_r"), F.col("nom").alias("_n")), "_r", "left")
+        a = a.withColumn(end, F.coalesce("_n", end)).drop("_r", "_n")
+    return a.select(*axes.columns)
+
+
+def written(axes: DataFrame, source: Column, seen: Column, order: Column) -> DataFrame:
+    """Axes to claims of the log. ``order``: a number for each statement; a statement may state a thousand facts."""
+    d = X.derive(axes).filter("op IS NOT NULL")
+    made = {
+        "claim_seq": order.cast("long") * 1000 + F.col("pos"), "source_id": source, "date_obs": seen, "date_validite": F.col("date_debut"),
+        "date_fin": F.col("date_fin"), "cible": F.lit(None),
+    }
+    return d.withColumns(made).select(*[F.col(c).cast(t).alias(c) for c, t in CLAIM.items()])
+
+
+def write_statements(statements: DataFrame, spec: DataFrame, model: L.Model, system: str = "", gated: bool = False, facts: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
+    """Statements (stream, seq, texte, source_id, date_obs) to claims in the order of ``seq``, which numbers
+    them across streams. ``gated``: messages that the gate does not let through as facts or text state nothing.
+    ``facts``, ``entities``: what is known, for distant references; without them references stay as they are."""
+    axes = extracted(statements, spec, model, system)
+    if gated:
+        axes = axes.filter(T.gate(F.col("texte")) != "ignorer")
+    if facts is not None and entities is not None:
+        axes = referred(axes, spec, entities, facts, model)
+    return written(axes, F.col("source_id"), F.col("date_obs"), F.col("seq"))
+
+
+def promoted(facts: DataFrame, triggers: DataFrame, spec: DataFrame, when: Column, beta: float = 0.0) -> DataFrame:
+    """I8's hook: ``facts`` after the promotions that new facts (triggers: fait_id) bring about."""
+    chosen = P.promotable(facts, triggers, spec.select("predicat", "fonctionnel"))
+    return P.promote(facts, G.checkpointed(chosen), when, beta)
+
+
+def read(facts: DataFrame, spec: DataFrame, templates: DataFrame, question: str, model: L.Model, seq: int, seen: datetime, vector: list[float] | None = None, grammar: bool = False, system: str = "", judge: str = "") -> tuple[DataFrame, DataFrame]:
+    """V3r: (answer: qid, reponse, bloc; claims for the log): retrieve, render, ask, and let the usage judge say which
+    facts the answer used. Facts that were read are accessed, those that were used gain force (I18, I19)."""
+    spark = facts.sparkSession
+    pool = G.checkpointed(retrieve(facts, question, vector).join(facts, "fait_id").withColumn("pos", F.col("prio") * 1_000_000_000_000 + F.col("pos")).drop("prio"))
+    lines = R.epistemic_lines(pool, templates)
+    if grammar:
+        shown = G.compose(pool, spec).filter("actif")
+        told = R.inferred_line(F.col("f1"), F.col("f2"), G.inferred_sentence(F.col("predicat"), F.col("src"), F.col("dst"), F.col("statut")))
+        lines = lines.unionByName(shown.select(F.lit(2).alias("grp"), F.col("f1").alias("pos"), told.alias("ligne")))
+    block = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("grp", "pos", "ligne"))), lambda x: x["ligne"]), "\n").alias("bloc"))
+    asked = block.select(F.lit(0).alias("qid"), "bloc", L.responder_prompt("C", F.lit(question), F.col("bloc")).alias("invite"))
+    answer = G.checkpointed(L.answered(asked, model, system=system, as_json=False).select("qid", "bloc", "reponse"))
+    told = pool.select(F.struct(F.col("fait_id").alias("id"), F.concat_ws(" ", "sujet", "predicat", "objet").alias("contenu")).alias("m")).agg(F.array_sort(F.collect_list("m")).alias("souvenirs"))
+    used = G.checkpointed(L.used(answer.join(told).select("qid", F.lit(question).alias("question"), "reponse", "souvenirs"), model, judge).select(F.col("id").alias("fait_id")))
+    log = accesses(facts, pool.select("fait_id"), seq, seen)
+    more = accesses(facts, used, seq + pool.count(), seen).withColumn("op", F.lit("use"))
+    return answer, log.unionByName(more)
+
+
+def reset(spark: SparkSession, root: str) -> None:
+    """Forget everything that is stored under a folder of snapshots."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def health(spark: SparkSession, root: str) -> DataFrame:
+    """How many facts there are, and about how many subjects, in the newest version."""
+    facts = load_buckets(spark, root)
+    if facts is None:
+        return spark.createDataFrame([(0, 0)], "faits long, entites long")
+    return facts.agg(F.count("*").alias("faits"), F.count_distinct("sujet_key").alias("entites"))

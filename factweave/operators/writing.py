@@ -174,6 +174,8 @@ class Key:
             return "fait_inconnu", []
         if op == "access":
             self.access(f, r.date_obs)
+        elif op == "use":  # a judge found that an answer used it
+            f.force = min(FORCE_CAP, f.force + FORCE_GAIN)
         elif not r.source_id:
             return "refus_sans_source", []
         elif op == "close":
