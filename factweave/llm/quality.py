@@ -1,11 +1,8 @@
 """Quality classifier by compression.
 
-Two zstandard dictionaries are built, one from text labelled good and one from text labelled bad. A text is compressed
-with each, in blocks so that the dictionary matters throughout; the difference of the two sizes per byte is the
-feature, with the good size per byte beside it, as a difference means less in a text that repeats itself. The same is
-done with the shape of the texts (a letter for each small letter, another for each capital, a digit for each digit),
-which shows layout in languages that the dictionaries hold little of. A logistic curve over these, fitted on other
-labelled rows, turns them into a probability.
+Two zstandard dictionaries are trained, one on text labelled good and one on text labelled bad. A text is compressed with
+each, whole, in blocks so that the dictionary matters throughout; the difference of the two sizes per byte is the only
+feature. A logistic curve over it, fitted on other labelled rows, turns it into a probability.
 """
 
 from __future__ import annotations
@@ -22,66 +19,49 @@ from pyspark.sql import functions as F
 from .common import held, id_text
 
 THRESHOLD = 0.7
-BLOCK = 4096
+#: Bytes that are compressed at a time: where the dictionary is all there is to refer to, it tells most.
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the training sample, a class: documents for the dictionary and for the curve, code points of each."""
+    """Bounds of the training sample, a class: documents for the dictionary and pieces of each (spread evenly over the
+    whole text), and documents for the curve, which count whole."""
 
     dictionary_docs: int = 300
+    pieces: int = 8
+    piece_chars: int = 1024
+    dictionary_bytes: int = 32 << 10
     curve_docs: int = 700
-    chars_per_doc: int = 8192
-    dictionary_bytes: int = 112 << 10
     level: int = 3
 
 
-def dictionary(texts: list[bytes], size: int) -> bytes:
-    """As much of each text, so that all fit: the content of a raw dictionary."""
-    each = max(64, size // max(len(texts), 1))
-    return b"\n".join(t[:each] for t in texts)[:size]
-
-
-def _shape_table() -> bytes:
-    t = bytearray(range(256))
-    t[ord("a") : ord("z") + 1] = b"a" * 26
-    t[ord("A") : ord("Z") + 1] = b"A" * 26
-    t[ord("0") : ord("9") + 1] = b"0" * 10
-    t[0x80:0xC0] = b"a" * 64  # later bytes of a character; most outside ASCII are letters
-    t[0xC0:] = b"a" * 64
-    return bytes(t)
-
-
-_SHAPE = _shape_table()
-VIEWS = (lambda data: data, lambda data: data.translate(_SHAPE))
-FEATURES = 2 * len(VIEWS)
+def dictionary(samples: list[bytes], size: int) -> bytes:
+    """A dictionary trained on the samples; their beginning as it is where there is too little to train on."""
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(samples)[:size]
 
 
 class SizeDifference:
-    """((bad - good) / n, good / n) of the sizes with the bad and the good dictionary, for the text and its shape.
+    """(size with the bad dictionary - size with the good one) / bytes, 0 for an empty text. ``dictionaries``: good, bad."""
 
-    ``dictionaries``: (good, bad) for each view.
-    """
-
-    def __init__(self, dictionaries: tuple[tuple[bytes, bytes], ...], level: int):
-        self.views = [(self._compressor(bad, level), self._compressor(good, level)) for good, bad in dictionaries]
+    def __init__(self, dictionaries: tuple[bytes, bytes], level: int):
+        self.good, self.bad = (self._compressor(d, level) for d in dictionaries)
 
     @staticmethod
     def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
-        d = zstandard.ZstdCompressionDict(content or b"\n" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d = zstandard.ZstdCompressionDict(content or b"\n" * 8)
         d.precompute_compress(level=level)
         return zstandard.ZstdCompressor(dict_data=d, level=level, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    def __call__(self, text: str) -> tuple[float, ...]:
+    def __call__(self, text: str) -> float:
         data = text.encode()
         if not data:
-            return (0.0,) * FEATURES
-        out = []
-        for view, pair in zip(VIEWS, self.views, strict=True):
-            seen = view(data)
-            bad, good = (sum(len(c.compress(seen[i : i + BLOCK])) for i in range(0, len(seen), BLOCK)) for c in pair)
-            out += [(bad - good) / len(seen), good / len(seen)]
-        return tuple(out)
+            return 0.0
+        bad, good = (sum(len(c.compress(data[i : i + BLOCK])) for i in range(0, len(data), BLOCK)) for c in (self.bad, self.good))
+        return (bad - good) / len(data)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
@@ -101,50 +81,68 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    dictionaries: tuple[tuple[bytes, bytes], ...]
+    dictionaries: tuple[bytes, bytes]
     level: int
     intercept: float
-    slopes: tuple[float, ...]
+    slope: float
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.intercept + x @ np.array(self.slopes), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.intercept + x * self.slope, -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """``labels``: id and 0/1 label; ``usable`` is a condition on its id. The sample is bounded by ``s``; class sizes
-    are counted over all usable labels and set the prior."""
-    rows = labels.filter(usable & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
+    """``labels``: id and 0/1 label; ``usable`` is a condition on its id. Documents are drawn by a hash of their ids, as
+    many of each class as ``s`` says; class sizes are counted over all usable labels and set the prior. Only pieces of
+    the dictionaries' documents and a number for each of the curve's reach the driver. Of rows that repeat an id one
+    counts. With labels of one class only, or too few, the score is the prior for all texts."""
+    rows = labels.filter(usable & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     want = s.dictionary_docs + s.curve_docs
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(10)), 11) / float(1 << 53)
-    chosen = [r for y in sorted(counts) for r in rows.filter((F.col("y") == y) & (unit < min(1.0, 1.5 * want / counts[y]))).select("doc_id", "y", unit.alias("u")).collect()]
-    label = {r["doc_id"]: r["y"] for r in chosen}
-    schema = "doc_id long, u double"
-    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["u"]) for r in chosen], schema).dropDuplicates(["doc_id"])
-    text = F.left(F.coalesce(F.col(text_col), F.lit("")), F.lit(s.chars_per_doc)).alias("text")
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), text).join(F.broadcast(ids), "doc_id").collect()
-    found.sort(key=lambda r: (r["u"], r["doc_id"], r["text"]))
-    by = {y: [r["text"] for r in found if label[r["doc_id"]] == y][:want] for y in (0, 1)}
-    head = {y: min(s.dictionary_docs, max(1, len(by[y]) // 2)) for y in by}
-    made = {y: [t.encode() for t in by[y][: head[y]]] for y in by}
-    dictionaries = tuple(tuple(dictionary([view(t) for t in made[y]], s.dictionary_bytes) for y in (1, 0)) for view in VIEWS)
-    size = SizeDifference(dictionaries, s.level)
-    x = np.array([size(t) for y in (0, 1) for t in by[y][head[y] :]]).reshape(-1, FEATURES)
-    y = np.array([float(y) for y in (0, 1) for _ in by[y][head[y] :]])
+    drawn: dict[int, tuple[int, bool]] = {}  # id -> (label, for a dictionary)
+    for y in sorted(counts):
+        near = rows.filter((F.col("y") == y) & F.col("doc_id").isNotNull() & (unit < min(1.0, 1.5 * want / counts[y]))).select("doc_id", unit.alias("u")).distinct().collect()
+        ids = [r["doc_id"] for r in sorted(near, key=lambda r: (r["u"], r["doc_id"]))][:want]
+        head = min(s.dictionary_docs, max(1, len(ids) // 2))
+        drawn |= {i: (y, k < head) for k, i in enumerate(ids)}
+    chosen = docs.sparkSession.createDataFrame([(i, y, d) for i, (y, d) in drawn.items()], "doc_id long, y int, for_dictionary boolean")
+    found = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")  # at most two classes of ``want`` ids
+    found = found.groupBy("doc_id", "y", "for_dictionary").agg(F.min("text").alias("text"))
+    spread = F.transform(F.sequence(F.lit(0), F.lit(s.pieces - 1)), lambda i: F.substring(F.col("text"), (F.floor(i * F.char_length("text") / s.pieces) + 1).cast("int"), F.lit(s.piece_chars)))
+    pieces = F.when(F.char_length("text") > s.pieces * s.piece_chars, spread).otherwise(F.array("text"))
+    taken = sorted(found.filter("for_dictionary").select("doc_id", "y", pieces.alias("pieces")).collect(), key=lambda r: r["doc_id"])
+    blocks = lambda data: [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+    made = {y: [b for r in taken if r["y"] == y for p in r["pieces"] for b in blocks(p.encode())] for y in (1, 0)}
+    dictionaries = (dictionary(made[1], s.dictionary_bytes), dictionary(made[0], s.dictionary_bytes))
+    curve = found.filter("NOT for_dictionary").select("doc_id", "text", "y").mapInArrow(_differences(docs.sparkSession.sparkContext.broadcast((dictionaries, s.level))), "doc_id long, difference double, y int").collect()
+    curve.sort(key=lambda r: r["doc_id"])
+    x, y = np.array([r["difference"] for r in curve]), np.array([float(r["y"]) for r in curve])
     n = {c: int((y == c).sum()) for c in (0, 1)}
     good = counts.get(1, 0)
     prior = float(np.log((good + 1) / (sum(counts.values()) - good + 1)))
-    if not n[0] or not n[1]:
-        return Model(dictionaries, s.level, prior, (0.0,) * FEATURES)
-    scale = np.where(x.std(0) > 0, x.std(0), 1.0)
-    w = logistic(x / scale, y)
-    return Model(dictionaries, s.level, float(w[0]) - float(np.log(n[1] / n[0])) + prior, tuple((w[1:] / scale).tolist()))
+    scale = float(x.std()) if len(x) else 0.0
+    if not n[0] or not n[1] or scale == 0.0:
+        return Model(dictionaries, s.level, prior, 0.0)
+    w = logistic(x[:, None] / scale, y)
+    return Model(dictionaries, s.level, float(w[0]) - float(np.log(n[1] / n[0])) + prior, float(w[1]) / scale)
 
 
 def _sizes(dictionaries: tuple, level: int) -> SizeDifference:
     return held(("quality", hash(dictionaries), level), lambda: SizeDifference(dictionaries, level))
 
 
+def _differences(sent):
+    """Rows (doc_id, text, y) -> (doc_id, difference, y)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = _sizes(*sent.value)
+        for b in batches:
+            x = pa.array([size(t.as_py()) for t in b.column(1)], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), x, b.column(2)], ["doc_id", "difference", "y"])
+
+    return run
+
+
 def _scored(model, rows: int = 2048):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
@@ -152,19 +150,18 @@ def _scored(model, rows: int = 2048):
         for b in batches:
             for at in range(0, b.num_rows, rows):
                 part = b.slice(at, rows)
-                x = np.array([size(t.as_py()) for t in part.column(1)]).reshape(-1, FEATURES)
-                columns = [m.probability(x), x[:, 0], x[:, 2]]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.float64()) for c in columns)], ["doc_id", "score", "difference", "shape_difference"])
+                x = np.array([size(t.as_py()) for t in part.column(1)], np.float64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.probability(x), pa.float64()), pa.array(x, pa.float64())], ["doc_id", "score", "difference"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, score (probability of label 1), difference, shape_difference.
+    """One row per row of ``docs``: doc_id, score (probability of label 1), difference.
 
-    Null counts as empty; an empty text has no difference and gets the curve's value there. Whole texts are
-    compressed. Equal texts get equal scores; if either class has no rows the score is the prior for all; other columns
-    are ignored; an empty table gives an empty result. No shuffle.
+    Null counts as empty; an empty text has the difference 0 and the curve's value there. Whole texts are compressed.
+    Equal texts get equal scores; if either class has no rows the score is the prior for all; other columns are ignored;
+    an empty table gives an empty result. No shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return id_text(docs, id_col, text_col).mapInArrow(_scored(sent), "doc_id long, score double, difference double, shape_difference double")
+    return id_text(docs, id_col, text_col).mapInArrow(_scored(sent), "doc_id long, score double, difference double")

@@ -89,6 +89,33 @@ def test_quality_accuracy(spark):
     assert right >= 0.95 * got.count()
 
 
+def test_scores_against_the_sizes_themselves(spark):
+    """Every score follows from compressing the whole text twice, as the model says, done here by hand."""
+    import zstandard
+
+    rng = random.Random(4)
+    good = [" ".join(rng.choice(EN) for _ in range(rng.randint(30, 200))) for _ in range(60)]
+    bad = ["### ".join(rng.choice(FR) for _ in range(rng.randint(30, 200))) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(good + bad)] + [(900, "long " + " ".join(rng.choice(EN) for _ in range(30_000))), (901, None), (902, "é"), (900, "long again")]
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, quality int")
+    docs = frame(spark, rows)
+    m = quality.train(docs, labels, F.col("doc_id") % 5 != 0)
+    assert m.slope > 0 and quality.train(docs, labels, F.col("doc_id") % 5 != 0) == m
+    made = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), level=m.level, write_content_size=False, write_checksum=False, write_dict_id=False) for d in m.dictionaries]
+    got = quality.score(docs, m).collect()
+    assert len(got) == len(rows)
+    texts = sorted((i, t or "") for i, t in rows)
+    want = []
+    for i, t in texts:
+        b = t.encode()
+        g, o = (sum(len(c.compress(b[k : k + quality.BLOCK])) for k in range(0, len(b), quality.BLOCK)) for c in made)
+        x = (o - g) / len(b) if b else 0.0
+        want.append((i, round(1 / (1 + np.exp(-(m.intercept + m.slope * x))), 9)))
+    assert sorted((r.doc_id, round(r.score, 9)) for r in got) == sorted(want)
+    held = [r for r in got if r.doc_id < 120 and r.doc_id % 5 == 0]
+    assert sum((r.score >= 0.5) == (r.doc_id < 60) for r in held) >= 0.9 * len(held)
+
+
 def test_quality_edges(spark):
     docs = frame(spark, [(1, None), (2, ""), (3, "good text here"), (3, "good text here")])
     none = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"), F.lit(True))
