@@ -193,6 +193,32 @@ def read(facts: DataFrame, spec: DataFrame, templates: DataFrame, question: str,
     return answer, log.unionByName(more)
 
 
+def history_claims(truth: DataFrame, reconfirmed: datetime, second: Column | None = None, perishable: Column | None = None) -> DataFrame:
+    """The log of a history of facts (sujet, predicat, objet, source_id, valide_de, clore_a: dates as text).
+
+    Facts come in the order in which they began. Each is told by its source and by a second one; if it has an end its
+    source closes it then, else, unless it is ``perishable``, its source tells it again on the day ``reconfirmed``.
+    """
+    second = F.concat("source_id", F.lit("-bis")) if second is None else second
+    perishable = F.lit(False) if perishable is None else perishable
+    r = G.ranked(truth, F.asc("valide_de"), F.asc("sujet"), F.asc("predicat"), F.asc("objet"))
+    began, over = T.parse_date(F.col("valide_de")), F.col("clore_a").isNotNull()
+
+    def told(nth, op, source, seen, valid, end):
+        return F.struct(F.lit(nth).alias("nth"), F.lit(op).alias("op"), source.alias("source_id"), seen.alias("date_obs"), valid.alias("date_validite"), end.alias("date_fin"))
+
+    none, valid = F.lit(None).cast("string"), F.col("valide_de")
+    claims = F.array(
+        told(0, "assert", F.col("source_id"), began, valid, none),
+        told(1, "assert", second, began, valid, none),
+        F.when(over, told(2, "close", F.col("source_id"), T.parse_date(F.col("clore_a")), none, F.col("clore_a"))),
+        F.when(~over & ~perishable, told(2, "assert", F.col("source_id"), F.lit(reconfirmed), valid, none)),
+    )
+    c = r.select((F.col("pos") * 4).alias("first"), "sujet", "predicat", "objet", F.explode(F.array_compact(claims)).alias("c")).select("first", "sujet", "predicat", "objet", "c.*")
+    c = c.withColumn("claim_seq", F.col("first") + F.col("nth"))
+    return c.select(*[(F.col(n) if n in c.columns else F.lit(None)).cast(t).alias(n) for n, t in CLAIM.items()])
+
+
 def reset(spark: SparkSession, root: str) -> None:
     """Forget everything that is stored under a folder of snapshots."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)

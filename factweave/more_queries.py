@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from factweave import api
 from factweave.functions import text as T
 from factweave.operators import extraction as X
 from factweave.operators import graph as G
@@ -427,3 +430,18 @@ def distant_references(spark, d):
 def gate_counts(spark, d):
     """S11, by class."""
     return table(spark, d, "conversations").groupBy(T.gate(F.col("text")).alias("gate")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH t AS (SELECT o_custkey AS k, strftime(min(o_orderdate), '%Y-%m') AS de, CASE WHEN o_custkey % 3 = 0 THEN '2001-05' END AS fin FROM orders GROUP BY 1)
+SELECT 'club' || k AS sujet, de, CASE WHEN fin IS NULL THEN 'courant' ELSE 'clos' END AS statut, CASE WHEN fin IS NULL THEN NULL ELSE TIMESTAMP '2001-05-01' END AS valide_jusqua, 0.75 AS certitude,
+  CASE WHEN fin IS NULL AND k % 5 <> 0 THEN 0.55 ELSE 0.5 END AS force, 2 AS n_sources FROM t""")
+def ingested_history(spark, d):
+    """A history of facts to a log, and what is stored of it."""
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.date_format(F.min("o_orderdate"), "yyyy-MM").alias("valide_de"))
+    truth = o.select(
+        F.concat(F.lit("club"), "o_custkey").alias("sujet"), F.lit("appartient_a").alias("predicat"), F.lit("Ligue").alias("objet"), F.lit("src").alias("source_id"), "valide_de",
+        F.when(F.col("o_custkey") % 3 == 0, "2001-05").alias("clore_a"), (F.col("o_custkey") % 5 == 0).alias("_p"),
+    )
+    f = W.write_facts(api.history_claims(truth, datetime(2001, 3, 1), perishable=F.col("_p")), O.specification(spark))
+    return f.select("sujet", F.date_format("valide_de", "yyyy-MM").alias("de"), "statut", "valide_jusqua", F.round("certitude", 6).alias("certitude"), F.round("force", 6).alias("force"), W.n_sources(F.col("provenance")).alias("n_sources"))
