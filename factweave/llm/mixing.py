@@ -122,18 +122,20 @@ def mix(
     source_col: str = "source",
     weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     max_copies: int = 3,
-    salts: int = 64,
+    rows_per_salt: int = 200_000,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken, copies, rate.
 
     ``size`` counts ``[^\\x20\\x09-\\x0D]+`` (0 for null and empty texts, which take nothing). The null source is a
     source of its own, after the others. ``taken = copies * size`` with copies from 0 to ``max_copies``. Equal tables
     give equal results: rates are fixed-point and ties go by a hash of the id. A null id is kept. Rows that repeat an
-    id are rounded one by one. An empty table gives an empty result; other columns are ignored.
+    id are rounded one by one. An empty table gives an empty result; other columns are ignored. A size class of a source
+    is rounded in at least 64 parts, and one for every ``rows_per_salt`` rows of the table, so no task holds one source.
     """
     key = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
     base = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), n_words(F.col(text_col)).alias("size")))
     counts = cut(base.groupBy("key", "size").agg(F.count("*").alias("n")))
+    salts = max(64, (counts.agg(F.sum("n")).first()[0] or 0) // rows_per_salt)
     sources = cut(source_targets(counts, weights, max_copies))
     few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     solved = solve_dual(counts, sources, max_copies, few)
