@@ -161,6 +161,11 @@ def template_table(spark: SparkSession, rows: dict[str, tuple[str, str, str]] =
     return spark.createDataFrame([(p, *t) for p, t in rows.items()], "predicat string, present string, past string, grp string")
 
 
+def read_templates(spark: SparkSession, path: str) -> DataFrame:
+    """A caller's templates: JSON lines (predicat, present, past, grp) with {s} and {o} for subject and object."""
+    return spark.read.schema("predicat string, present string, past string, grp string").json(path)
+
+
 def said(template: Column, s: Column, o: Column) -> Column:
     return F.replace(F.replace(template, F.lit("{s}"), s), F.lit("{o}"), o)
 

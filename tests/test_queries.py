@@ -41,3 +41,18 @@ def test_ordered_union_takes_whole_lists(spark, tmp_path):
     assert len(got) == 130 and {r.fait_id: (r.prio, r.pos) for r in got} == expected
     by_day = G.ranked(df, F.asc("day"), F.desc("o_orderkey")).collect()
     assert {r.o_orderkey: r.pos for r in by_day} == {i: k + 1 for k, (i, _, _) in enumerate(sorted(rows, key=lambda r: (r[2], -r[0])))}
+
+
+def test_entry_without_the_optional_part(monkeypatch):
+    import __spark_entry__ as entry
+
+    real = entry.importlib.import_module
+
+    def missing(name, *args):
+        if name == "factweave.llm.queries":
+            raise ModuleNotFoundError(name)
+        return real(name, *args)
+
+    monkeypatch.setattr(entry.importlib, "import_module", missing)
+    assert set(entry.queries()) == set(Q.QUERIES) and set(entry.oracle_sql()) <= set(Q.QUERIES)
+    assert len(Q.ORACLE) > 75
