@@ -32,8 +32,8 @@ MOST_SPANS = 512
 BLOCK = 256 << 10
 STRINGS = 256 << 10
 _B = 0x9E3779B97F4A7C15 | 1
-#: 40 bits of the minimiser's hash above those of its bucket, 48 bits of the span's.
-_PLACE = np.dtype([("mark", "<u4"), ("mark_high", "u1"), ("span", "<u4"), ("span_high", "<u2"), ("doc", "<i8"), ("lo", "<u4"), ("n", "u1")])
+#: 40 bits of the minimiser's hash above those of its bucket, 64 bits of the span's.
+_PLACE = np.dtype([("mark", "<u4"), ("mark_high", "u1"), ("span", "<u4"), ("span_high", "<u4"), ("doc", "<i8"), ("lo", "<u4"), ("n", "u1")])
 _WANT = np.dtype([("mark", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("n", "u1"), ("hot", "u1")])
 _RANGE = np.dtype([("doc", "<i8"), ("start", "<u4"), ("end", "<u4")])
 _STRING = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("start", "<u4")])
