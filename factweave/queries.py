@@ -524,7 +524,16 @@ def disputed_groups(spark, d):
     return line
 
 
-@query()
+@query(f"""{_STATED},
+p AS (SELECT c_custkey, CASE WHEN regexp_matches(t, {quoted(T.LITOTES)}) THEN NULL WHEN regexp_matches(t, {quoted(T.ENDINGS)}) THEN 'niee' END AS pol, regexp_matches(t, {quoted(T.UNREAL)}) AS unreal, regexp_matches(t, {quoted(T.GOES_ON)}) AS suite,
+  nullif(regexp_extract(t, {quoted(T.FROM_TO)}, 1), '') AS a1, nullif(regexp_extract(t, {quoted(T.FROM_TO)}, 2), '') AS b1, nullif(regexp_extract(t, {quoted(T.BETWEEN)}, 1), '') AS a2, nullif(regexp_extract(t, {quoted(T.BETWEEN)}, 2), '') AS b2,
+  nullif(regexp_extract(t, {quoted(T.UNTIL)}, 1), '') AS u, coalesce(nullif(regexp_extract(t, {quoted(T.SINCE)}, 1), ''), nullif(regexp_extract(t, {quoted(T.SINCE)}, 2), '')) AS d, nullif(regexp_extract(t, {quoted(T.ON_DAY)}, 2), '') AS o FROM s),
+x AS (SELECT c_custkey, coalesce(pol, 'affirmee') AS polarite, CASE WHEN unreal THEN 'projete' ELSE 'accompli' END AS modalite,
+  CASE WHEN suite THEN 'courant' WHEN coalesce(a1, a2) IS NOT NULL THEN 'intervalle_ferme' WHEN u IS NOT NULL THEN 'fin_seule' WHEN d IS NOT NULL THEN 'debut_seul' WHEN o IS NOT NULL THEN 'occurrence' ELSE 'sans_date' END AS temporalite,
+  CASE WHEN coalesce(a1, a2) IS NOT NULL THEN coalesce(a1, a2) WHEN u IS NULL THEN coalesce(d, o) END AS date_debut, CASE WHEN NOT suite THEN CASE WHEN coalesce(a1, a2) IS NOT NULL THEN coalesce(b1, b2) ELSE u END END AS date_fin FROM p),
+y AS (SELECT *, CASE WHEN modalite <> 'accompli' THEN 'RIEN' WHEN polarite = 'niee' THEN 'CLOTURE_NIEE' WHEN temporalite IN ('intervalle_ferme', 'fin_seule') THEN 'FAIT_CLOS' ELSE 'COURANT' END AS action FROM x)
+SELECT c_custkey, 0 AS pos, c_name || ' — ' || {_SAID} AS sujet, 'travaille_pour' AS predicat, 'Ville ' || c_custkey AS objet, polarite, modalite, temporalite, date_debut, date_fin, action,
+  CASE action WHEN 'CLOTURE_NIEE' THEN 'negate' WHEN 'FAIT_CLOS' THEN 'closed_interval' WHEN 'COURANT' THEN 'assert' END AS op FROM y JOIN customer USING (c_custkey)""")
 def extracted_claims(spark, d):
     """A model's JSON answers (composed here) to operations of the claim log."""
     s = _statements(spark, d)
@@ -579,7 +588,10 @@ def v1_memories(spark, d):
     return m.select("id", F.round("confiance", 9).alias("confiance"), "statut")
 
 
-@query()
+_SPEC = ", ".join(f"('{p}', '{kind}')" for p, _, _, _, _, kind, _ in O.PREDICATES)
+
+
+@query(f"SELECT type_objet, string_agg(predicat, ', ' ORDER BY predicat) AS predicats FROM (VALUES {_SPEC}) v(predicat, type_objet) GROUP BY 1")
 def ontology(spark, d):
     """The vocabulary by type of object."""
     return O.vocabulary(O.specification(spark))
