@@ -102,6 +102,10 @@ def _pairs(w: Column) -> Column:
     return F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))).otherwise(F.array().cast("array<string>"))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
 def _in(x: str, items: list[str]) -> str:
     """SQL: whether ``x`` is one of literals (letters, digits and blanks), which Spark looks up in a hash set."""
     return f"{x} IN (" + ", ".join(f"'{i}'" for i in items) + ")"
@@ -119,8 +123,7 @@ def _shared(grams: dict[str, list[str]]) -> Column:
 
 def _possible(grams: dict[str, list[str]], threshold: float) -> Column:
     """The names of the templates of which the column ``shared`` holds what a unit at the threshold needs."""
-    quoted = lambda name: "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    enough = [f"CASE WHEN size(filter(shared, x -> {_in('x', b)})) >= {_need(b, threshold):.9f}D THEN {quoted(name)} END" for name, b in sorted(grams.items()) if b]
+    enough = [f"CASE WHEN size(filter(shared, x -> {_in('x', b)})) >= {_need(b, threshold):.9f}D THEN {_quoted(name)} END" for name, b in sorted(grams.items()) if b]
     none = F.array().cast("array<string>")
     if not enough:
         return none
@@ -128,27 +131,31 @@ def _possible(grams: dict[str, list[str]], threshold: float) -> Column:
     return F.when(F.size("shared") >= least, F.expr(f"array_compact(array({', '.join(enough)}))")).otherwise(none)
 
 
-def _open(name: str) -> Column:
-    return F.array_contains(F.col("possible"), name)
+def _open(grams: dict[str, list[str]], threshold: float) -> Column:
+    """array<struct<name, n, need, high, b>>: the possible templates with their numbers of bigrams, the least and the most
+    of a unit at the threshold, and the bigrams; names in descending order. One literal, so lambdas are not unrolled."""
+
+    def one(name: str, b: list[str]) -> str:
+        high = int(len(b) * (2 - threshold) / threshold + 1e-9)
+        return f"named_struct('name', {_quoted(name)}, 'n', {len(b)}, 'need', {_need(b, threshold):.9f}D, 'high', {high}, 'b', split({_quoted(chr(10).join(b))}, '\\n'))"
 
+    every = [one(name, b) for name, b in sorted(grams.items(), reverse=True) if b]
+    kind = "array<struct<name:string,n:int,need:double,high:int,b:array<string>>>"
+    return F.filter(F.expr(f"CAST(array({', '.join(every)}) AS {kind})"), lambda t: F.array_contains(F.col("possible"), t["name"]))
 
-def _named(name: str, threshold: float):
-    return lambda d: F.when(d >= threshold, F.struct(d.alias("dice"), F.lit(name).alias("license")))
 
+_HIT = "struct<dice:double,license:string>"
 
-def _best(unit: Column, templates: dict[str, list[str]], threshold: float) -> Column:
-    """struct<dice, license> of the best template at or above the threshold, else null; ties: the first name. ``unit``: words."""
-    sizes = [len(b) for b in templates.values()]
-    low, high = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
+
+def _best(unit: Column, templates: Column, threshold: float) -> Column:
+    """struct<dice, license> of the best of the templates at or above the threshold, else null; ties: the first name.
+    ``unit``: words."""
 
     def score(a):
         n = F.size(a)
-        tried = []
-        for name, b in sorted(templates.items(), reverse=True):
-            fits = (n >= len(b) * threshold / (2 - threshold)) & (n <= len(b) * (2 - threshold) / threshold)
-            dice = 2 * F.size(F.array_intersect(a, _array(b))) / (n + len(b))
-            tried.append(F.when(_open(name) & fits, let(dice, _named(name, threshold))))
-        return F.when((n >= low) & (n <= high), F.reduce(F.array(*tried), F.lit(None).cast("struct<dice:double,license:string>"), lambda x, y: F.when(x.isNull() | (y["dice"] >= x["dice"]), y).otherwise(x)))
+        fits = F.filter(templates, lambda t: (n >= t["need"]) & (n <= t["high"]))
+        tried = F.transform(fits, lambda t: F.struct((2 * F.size(F.array_intersect(a, t["b"])) / (n + t["n"])).alias("dice"), t["name"].alias("license")))
+        return F.reduce(tried, F.lit(None).cast(_HIT), lambda x, y: F.when((y["dice"] >= threshold) & (x.isNull() | (y["dice"] >= x["dice"])), F.struct(y["dice"].alias("dice"), y["license"].alias("license"))).otherwise(x))
 
     return let(F.array_distinct(_pairs(unit)), score)
 
@@ -159,31 +166,30 @@ def _apart(runs: Column) -> Column:
     return F.reduce(runs, F.slice(runs, 1, 0), lambda out, x: F.when(F.exists(out, meets(x)), out).otherwise(F.concat(out, F.array(x))))
 
 
-def _runs_of(name: str, b: list[str], pairs: Column, line: Column, common: Column, threshold: float) -> Column:
+def _runs_of(t: Column, pairs: Column, line: Column, common: Column, threshold: float) -> Column:
     """array<struct<same, dice, license, from, to>>: runs of two lines or more that carry one template.
 
     ``pairs``: all bigrams in order; ``line``: the line of each word; ``common``: the template's bigrams that occur. A
     line at either end that adds no bigram of the template only lowers the coefficient, so runs begin at lines with
     one. From a start the text is read once: a bigram counts where it first occurs behind it.
     """
-    need, high = _need(b, threshold), int(len(b) * (2 - threshold) / threshold + 1e-9)
 
     def from_line(places, first):
         def scored(new):
             def step(acc, k):
                 x, after = F.get(new, k), F.get(new, k + 1)
                 same = acc["same"] + x["hit"].cast("int")
-                dice = 2 * same / (k + 1 + len(b))
+                dice = 2 * same / (k + 1 + t["n"])
                 ends = (after.isNull() | (after["to"] > x["to"])) & (x["to"] > first) & (dice >= threshold)
                 return F.struct(same.alias("same"), F.greatest(acc["best"], F.when(ends, F.struct(dice.alias("dice"), same.alias("same"), (-x["to"]).alias("back")))).alias("best"))
 
             none = F.struct(F.lit(0).alias("same"), F.lit(None).cast("struct<dice:double,same:int,back:int>").alias("best"))
-            folded = F.reduce(F.sequence(F.lit(0), F.least(F.size(new), F.lit(high)) - 1), none, step, lambda acc: acc["best"])
-            return F.when(F.size(F.filter(new, lambda x: x["hit"])) >= need, folded)
+            folded = F.reduce(F.sequence(F.lit(0), F.least(F.size(new), t["high"]) - 1), none, step, lambda acc: acc["best"])
+            return F.when(F.size(F.filter(new, lambda x: x["hit"])) >= t["need"], folded)
 
         at = (F.array_position(line, first) - 1).cast("int")
         best = let(let(at, lambda p: F.filter(places, lambda x: (x["at"] >= p) & (x["before"] < p))), scored)
-        return let(best, lambda r: F.when(r.isNotNull(), F.struct(r["dice"].alias("dice"), r["same"].alias("same"), F.lit(name).alias("license"), first.alias("from"), (-r["back"]).alias("to"))))
+        return let(best, lambda r: F.when(r.isNotNull(), F.struct(r["dice"].alias("dice"), r["same"].alias("same"), t["name"].alias("license"), first.alias("from"), (-r["back"]).alias("to"))))
 
     def placed(s):
         def one(x, i):
@@ -204,17 +210,15 @@ def _runs_of(name: str, b: list[str], pairs: Column, line: Column, common: Colum
 _RUNS = "array<struct<same:int,dice:double,license:string,from:int,to:int>>"
 
 
-def _runs(lines: Column, templates: dict[str, list[str]], threshold: float) -> Column:
-    """Runs of lines over all templates: those with more bigrams in common first, none sharing a line with another."""
+def _runs(lines: Column, templates: Column, threshold: float) -> Column:
+    """Runs of lines over the templates: those with more bigrams in common first, none sharing a line with another."""
 
     def tried(pairs, line):
-        def possible(name, b):
-            need = _need(b, threshold)
-            return lambda common: F.when(F.size(common) >= need, _runs_of(name, b, pairs, line, common, threshold).cast(_RUNS))
-
         def of(distinct):
             none = F.array().cast(_RUNS)
-            return F.concat(*[F.coalesce(F.when(_open(name) & (F.size(distinct) >= _need(b, threshold)), let(F.array_intersect(distinct, _array(b)), possible(name, b))), none) for name, b in sorted(templates.items())])
+            found = lambda t: lambda common: F.when(F.size(common) >= t["need"], _runs_of(t, pairs, line, common, threshold).cast(_RUNS)).otherwise(none)
+            enough = F.filter(templates, lambda t: F.size(distinct) >= t["need"])
+            return F.flatten(F.transform(enough, lambda t: let(F.array_intersect(distinct, t["b"]), found(t))))
 
         return let(let(F.array_distinct(pairs), of), lambda r: let(F.sort_array(r, asc=False), _apart))
 
@@ -235,13 +239,15 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     grams = {name: template_bigrams(t) for name, t in (all_templates() if templates is None else templates).items()}
     rows = id_text(docs, id_col, text_col).withColumn("shared", _shared(grams)).select("doc_id", "text", _possible(grams, threshold).alias("possible"))
 
-    def scanned(lines):
-        hits = F.array_compact(F.transform(lines, lambda x: _best(x, grams, threshold)))
-        units = F.struct(hits.alias("hits"), _best(F.flatten(lines), grams, threshold).alias("whole"), _runs(lines, grams, threshold).alias("runs"))
+    def scanned(templates):
+        def units(lines):
+            hits = F.array_compact(F.transform(lines, lambda x: _best(x, templates, threshold)))
+            return F.struct(hits.alias("hits"), _best(F.flatten(lines), templates, threshold).alias("whole"), _runs(lines, templates, threshold).alias("runs"))
+
         return units
 
     lines = F.transform(F.split("text", "\n"), _words)
-    found = rows.select("doc_id", F.when(F.size("possible") > 0, let(lines, scanned)).alias("f"))
+    found = rows.select("doc_id", F.when(F.size("possible") > 0, let(_open(grams, threshold), lambda t: let(lines, scanned(t)))).alias("f"))
     hits = F.coalesce("f.hits", F.array().cast("array<struct<dice:double,license:string>>"))
     runs = F.coalesce(F.transform("f.runs", lambda x: F.struct(x["dice"].alias("dice"), x["license"].alias("license"))), F.array().cast("array<struct<dice:double,license:string>>"))
     found = found.select("doc_id", hits.alias("hits"), F.col("f.whole").alias("whole"), runs.alias("runs"))
