@@ -117,7 +117,7 @@ ENTRANTS = ["euronext", "eiffage"]
 STILL_WORTH = r"(vaut|est de|cote|s'?etablit a|atteint|est a)\s*(environ\s*)?8\s?0?20"
 WORTH = r"8\s?0?20"
 LOG_NOISE = [
-    r"au caractere c:\\[^\n]*?openclaw\.ps1:\d+ : \d+", r"\bno_reply\b|\bnotspecified\b|\bremoteexception\b",
+    r"au caractere c:\\[^\n]*?\w+\.ps1:\d+ : \d+", r"\bno_reply\b|\bnotspecified\b|\bremoteexception\b",
     r"stages=workspace:.*?attempt-dispatch:\d+ms@\d+ms", r"\bcategoryinfo\b.*|\bfullyqualifiederrorid\b.*",
 ]
 
