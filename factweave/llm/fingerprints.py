@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, id_text, with_row
+from .common import SPACE, cut, id_text, unique_ids, with_row
 
 K = 5
 #: Code points a word, on average, beyond which a text is read by code points.
@@ -144,14 +144,19 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Every row is a document: rows without an id come after all others, and rows that repeat an id follow one another in
     an order that is fixed for the call. Other columns are ignored; an empty table gives an empty result.
     """
-    rows = with_row(id_text(docs, id_col, text_col))
+    named = id_text(docs, id_col, text_col)
+    unique = unique_ids(named)
+    wide = named.withColumn("row", F.col("doc_id")) if unique else with_row(named)
+    rows = wide.select("row", "text")
+    # both joins read the same columns of these, so their texts are shuffled once
     signed = rows.withColumn("sig", signature(F.col("text")))
     ids = rows.select("row", F.char_length("text").cast("long").alias("n_chars"))
     before = followers(ids).select(F.col("next_row").alias("row"), F.col("row").alias("prev_row"), F.expr("int(n_chars div 2)").alias("need"))
     heads = signed.join(before, "row").select(F.col("prev_row").alias("row"), F.expr("left(text, need)").alias("head"), F.col("sig").alias("next_sig"))
     both = signed.join(heads, "row").withColumn("n_chars", F.char_length("text"))
-    edited = both.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "sig", "next_sig", F.expr("concat(left(text, n_chars - n_chars div 2), head)").alias("edited"))
-    signed2 = edited.select("doc_id", "n_chars", "sig", "next_sig", F.sha2("edited", 256).alias("edited_sha256"), signature(F.col("edited")).alias("edited_sig"))
+    edited = both.select("row", F.col("n_chars").cast("long").alias("n_chars"), "sig", "next_sig", F.expr("concat(left(text, n_chars - n_chars div 2), head)").alias("edited"))
+    signed2 = edited.select("row", "n_chars", "sig", "next_sig", F.sha2("edited", 256).alias("edited_sha256"), signature(F.col("edited")).alias("edited_sig"))
+    signed2 = signed2.withColumnRenamed("row", "doc_id") if unique else signed2.join(wide.select("row", "doc_id"), "row")
     return signed2.select(
         "doc_id",
         "n_chars",
