@@ -1,154 +1,287 @@
-"""Pairs of near vectors, exactly, through cells around pivots (survey J10).
-
-For unit vectors |x - y|^2 = 2 - 2 cos, so a pair above the threshold is at most r = sqrt(2 - 2 t) apart. Every vector
-has its home in the cell of its nearest pivot. Of a pair in two cells one vector visits the other's: x visits the cell
-of pivot q only if the triangle inequality leaves a vector of that cell within r (its distance to the cell's border, and
-to q against the cell's radius). Cells are cut into chunks of bounded size, and a task compares two chunks, or a chunk
-and its visitors, by one matrix product at a time; only pairs that qualify leave it. No vector meets all others unless
-the data are so spread that no triangle rules anything out; then the work is that of a blocked matrix product.
+"""Pairs of near vectors, exactly, through cells around pivots and blocks of cells (survey J10).
+
+Directions x/|x| of a pair above the threshold t are at most r = sqrt(2 - 2 t / m^2) apart, m being the greatest length.
+Every vector has its home in the cell of its nearest pivot; cells that are close are put together into blocks of bounded
+size, and a cell larger than that is cut into several. Two blocks (or one) make a task. A vector is sent to a block at
+most once, whatever the number of cells, and only if the triangle inequality leaves a vector of one of the block's cells
+within r (its distance to the cell's border, and to the pivot against the cell's radius). A task holds one block and reads
+the other; small tiles of both are compared by matrix products unless the same test rules out all of a tile's cells. Only
+pairs that qualify leave it. Where no triangle rules anything out, a vector is sent once to each block and the work is
+that of a blocked matrix product.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a chunk, and of a block of visitors that is compared at once.
+#: Rows of a tile; a block has one to sixteen tiles.
 CHUNK = 2048
 #: Most pivots: the table of pivots and cells is sent to all executors.
 MOST_PIVOTS = 4096
-_SLACK = 1e-6  # vectors are stored as 32-bit floats
+#: Bytes of a block as 32-bit floats, at most, and of the vectors in a batch that is dealt out.
+BLOCK_BYTES, BATCH_BYTES = 32 << 20, 8 << 20
+_SLACK = 1e-6  # on distances between directions, which are computed from 64-bit floats
+_ENTRIES = 1 << 20  # of a matrix that is made at once
+
+
+def _rows(column) -> np.ndarray:
+    """Arrow lists of numbers as the rows of a matrix; what is not a 32-bit float becomes a 64-bit one."""
+    flat = column.flatten()
+    if not pa.types.is_float32(flat.type):
+        flat = flat.cast(pa.float64())
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _matrix(column) -> np.ndarray:
-    return np.array([np.asarray(v, np.float64) for v in column]).reshape(len(column), -1)
+def _directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(x/|x|, |x|); zero where there is no direction."""
+    x = x.astype(np.float64)
+    length = np.sqrt(np.einsum("ij,ij->i", x, x))
+    some = (length > 0) & np.isfinite(length)
+    return np.where(some[:, None], x, 0.0) / np.where(some, length, 1.0)[:, None], length
+
+
+def _apart(cosine: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2 - 2 * cosine))
 
 
 class Cells:
-    """Pivots, and the number of vectors and the radius of each one's cell."""
+    """Pivots (unit vectors), and the number of vectors and the radius of each one's cell."""
 
     def __init__(self, pivots: np.ndarray):
         self.pivots = pivots
-        self.between = np.sqrt(np.maximum(0.0, 2 - 2 * pivots @ pivots.T))
         self.count = np.zeros(len(pivots), np.int64)
         self.radius = np.zeros(len(pivots))
 
+    @cached_property
+    def between(self) -> np.ndarray:
+        """Distances of the pivots; made where they are used, as they are many more than the pivots."""
+        return np.concatenate([_apart(self.pivots[i : i + 256] @ self.pivots.T).astype(np.float32) for i in range(0, len(self.pivots), 256)])
+
     def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(home, distances to all pivots)."""
-        d = np.sqrt(np.maximum(0.0, 2 - 2 * x @ self.pivots.T))
+        d = _apart(x @ self.pivots.T)
         return d.argmin(1), d
 
-    def chunks(self) -> np.ndarray:
-        return np.maximum(1, -(-self.count // CHUNK))
+    def parts(self, n: int) -> Iterator[slice]:
+        """Slices of n rows for which ``near`` stays small."""
+        step = max(64, _ENTRIES // len(self.pivots))
+        return (slice(at, at + step) for at in range(0, n, step))
+
+    def can_hold(self, home: np.ndarray, own: np.ndarray, d: np.ndarray, cells: slice, r: float) -> np.ndarray:
+        """[vector, cell]: whether the cell can hold a vector within r. own, d: distances to the home's pivot and the cells'."""
+        if r >= 2:
+            return np.ones(d.shape, bool)
+        between = self.between[home, cells]
+        # near or equal pivots have a border that rounding could move
+        border = (d**2 - own[:, None] ** 2) / np.where(between > 1e-3, 2 * between, np.inf)
+        return (border <= r + _SLACK) & (d <= r + self.radius[cells] + _SLACK)
 
     def visited(self, home: np.ndarray, d: np.ndarray, r: float) -> np.ndarray:
-        """[vector, cell]: the cells before its own that can hold a vector within r."""
-        own = np.take_along_axis(d, home[:, None], 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            border = np.where(self.between[home] > 0, (d**2 - own**2) / (2 * self.between[home]), 0.0)
-        return (border <= r + _SLACK) & (d <= r + self.radius + _SLACK) & (np.arange(len(self.pivots)) < home[:, None]) & (self.count > 0)
+        """[vector, cell]: the cells besides its own that can hold a vector within r."""
+        out = self.can_hold(home, np.take_along_axis(d, home[:, None], 1)[:, 0], d, slice(None), r)
+        out[np.arange(len(home)), home] = False
+        return out
+
+    def possible(self, x: np.ndarray, home: np.ndarray, low: int, high: int, r: float) -> np.ndarray:
+        """[cell]: whether the cells from low to before high can hold a vector within r of some direction in x."""
+        if r >= 2:
+            return np.ones(high - low, bool)
+        own = _apart(np.einsum("ij,ij->i", x, self.pivots[home]))
+        return self.can_hold(home, own, _apart(x @ self.pivots[low:high].T), slice(low, high), r).any(0)
+
+
+class Blocks:
+    """Cells in a new order, in which those of a block follow each other.
+
+    ``first``: the first cell of each group, ``chunks``: the blocks that a group is cut into (one cell, if more than one
+    block), ``block``: the first of them.
+    """
+
+    def __init__(self, cells: Cells, most: int):
+        groups, todo = [], [np.arange(len(cells.pivots))]
+        while todo:
+            of = todo.pop()
+            n = int(cells.count[of].sum())
+            if len(of) == 1 or n <= most * 1.25:
+                groups.append(of)
+                continue
+            p = cells.pivots[of]
+            a = p[((p - p.mean(0)) ** 2).sum(1).argmax()]
+            b = p[((p - a) ** 2).sum(1).argmax()]
+            of = of[np.argsort(p @ (a - b), kind="stable")]
+            m = -(-n // most)
+            at = int(np.searchsorted(np.cumsum(cells.count[of]), n * (m // 2) / m)) + 1
+            at = min(max(1, at), len(of) - 1)
+            todo += [of[at:], of[:at]]
+        order = np.concatenate(groups)
+        self.cells = Cells(cells.pivots[order])
+        self.cells.count, self.cells.radius = cells.count[order], cells.radius[order]
+        sizes = np.array([len(g) for g in groups])
+        self.first = np.cumsum(sizes) - sizes
+        self.group = np.repeat(np.arange(len(groups)), sizes)
+        self.chunks = np.array([-(-int(cells.count[g].sum()) // most) if len(g) == 1 else 1 for g in groups]).clip(1)
+        self.block = np.cumsum(self.chunks) - self.chunks
+
+    def __len__(self) -> int:
+        return int(self.chunks.sum())
+
+    def dealt(self, ids: np.ndarray, x: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(home, own block, [vector, block]: the blocks it meets, its own among them)."""
+        home, d = self.cells.near(x)
+        g = self.group[home]
+        own = self.block[g] + (pd.util.hash_array(ids.astype(np.int64)).astype(np.uint64) % self.chunks[g].astype(np.uint64)).astype(np.int64)
+        meets = np.logical_or.reduceat(self.cells.visited(home, d, r), self.first, axis=1)
+        meets[np.arange(len(ids)), g] = True
+        return home, own, np.repeat(meets, self.chunks, axis=1)
 
 
 def _homes(cells) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count, radius = np.zeros(len(cells.value.pivots), np.int64), np.zeros(len(cells.value.pivots))
-        for pdf in batches:
-            if len(pdf):
-                home, d = cells.value.near(_matrix(pdf["v"]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = cells.value
+        count, radius, longest = np.zeros(len(c.pivots), np.int64), np.zeros(len(c.pivots)), np.zeros(len(c.pivots))
+        for batch in batches:
+            x = _rows(batch.column("v")) if batch.num_rows else np.zeros((0, 1))
+            for part in c.parts(len(x)):
+                u, length = _directions(x[part])
+                home, d = c.near(u)
                 np.add.at(count, home, 1)
                 np.maximum.at(radius, home, d.min(1))
+                np.fmax.at(longest, home, length)
         at = np.flatnonzero(count)
-        yield pd.DataFrame({"cell": at, "n": count[at], "radius": radius[at]})
+        yield pa.RecordBatch.from_pydict({"cell": at, "n": count[at], "radius": radius[at], "longest": longest[at]})
 
     return run
 
 
-def _dealt(cells, r: float):
-    """Rows (cell, i, j, side, id, v): a home's chunk meets its cell's other chunks (i <= j), visitors meet each chunk."""
+def _dealt(blocks, r: float) -> Callable:
+    """Rows (i, j, side, home, id, v), i <= j: a vector of block i (side 0) or j (side 1) for the task that compares the two."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = cells.value
-        chunks = c.chunks()
-        for pdf in batches:
-            for at in range(0, len(pdf), CHUNK):
-                part = pdf.iloc[at : at + CHUNK]
-                ids = part["id"].to_numpy()
-                home, d = c.near(_matrix(part["v"]))
-                mine = pd.util.hash_array(ids.astype(np.int64)).astype(np.uint64) % chunks[home].astype(np.uint64)
-                row, cell = np.nonzero(c.visited(home, d, r))
-                k = chunks[home]
-                which = np.repeat(np.arange(len(part)), k)
-                other = np.arange(len(which)) - np.repeat(np.cumsum(k) - k, k)
-                own = mine.astype(np.int64)[which]
-                out = [(home[which], np.minimum(own, other), np.maximum(own, other), np.where(other == own, 0, np.where(own < other, 1, 2)), which)]
-                k = chunks[cell]
-                visit = np.repeat(np.arange(len(row)), k)
-                chunk = np.arange(len(visit)) - np.repeat(np.cumsum(k) - k, k)
-                out.append((cell[visit], chunk, chunk, np.full(len(visit), 3), row[visit]))
-                keys = [np.concatenate([o[f] for o in out]) for f in range(5)]
-                yield pd.DataFrame({"cell": keys[0], "i": keys[1], "j": keys[2], "side": keys[3], "id": ids[keys[4]], "v": part["v"].to_numpy()[keys[4]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = blocks.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            all_ids, lists = batch.column("id"), batch.column("v")
+            x = _rows(lists)
+            step = max(256, BATCH_BYTES // max(1, x[0].nbytes))
+            for part in b.cells.parts(len(x)):
+                ids, v = all_ids[part], lists[part]
+                home, own, meets = b.dealt(ids.to_numpy(), _directions(x[part])[0], r)
+                row, other = np.nonzero(meets)
+                mine = own[row]
+                for at in range(0, len(row), step):
+                    k, m, o = row[at : at + step], mine[at : at + step], other[at : at + step]
+                    out = [pa.array(a.astype(np.int32)) for a in (np.minimum(m, o), np.maximum(m, o), m > o, home[k])]
+                    yield pa.RecordBatch.from_arrays([*out, ids.take(pa.array(k)), v.take(pa.array(k))], names=["i", "j", "side", "home", "id", "v"])
 
     return run
 
 
-def _compared(threshold: float, strict: bool):
-    def pairs(a_ids, a, b_ids, b, same: bool):
-        s = a @ b.T
-        hit = s > threshold if strict else s >= threshold
+class _Side:
+    """Vectors in the order of their homes."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.ids, self.home, self.v = (np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*parts))
+        self.short = self.v.astype(np.float32, copy=False)
+        self.longest = float(np.sqrt(np.fmax.reduce(np.einsum("ij,ij->i", self.v, self.v, dtype=np.float64), initial=0.0)))
+
+
+def _compared(blocks, r: float, chunk: int, threshold: float, strict: bool) -> Callable:
+    above = np.greater if strict else np.greater_equal
+
+    def tile(x: _Side, xs: slice, y: _Side, ys: slice, same: bool) -> Iterator[pa.RecordBatch]:
+        """32-bit products leave out what cannot qualify; 64-bit ones decide."""
+        # a product of n terms and its rounded factors are off by less than (n + 2) 2^-23 |x| |y|
+        low = threshold - (x.v.shape[1] + 4) * 2.0**-23 * x.longest * y.longest
+        hit = x.short[xs] @ y.short[ys].T >= np.float32(low)
+        n = np.count_nonzero(hit)
+        if not n:
+            return
+        if n > hit.size // 16:
+            s = x.v[xs].astype(np.float64) @ y.v[ys].astype(np.float64).T
+            a, b = np.nonzero(above(s, threshold))
+            s = s[a, b]
+        else:
+            a, b = np.nonzero(hit)
+            s = np.concatenate([np.einsum("ij,ij->i", x.v[xs][a[k : k + chunk]].astype(np.float64), y.v[ys][b[k : k + chunk]].astype(np.float64)) for k in range(0, n, chunk)])
+        u, w = x.ids[xs][a], y.ids[ys][b]
+        keep = above(s, threshold) & (u != w)
         if same:
-            hit &= np.tri(len(a), len(b), -1, bool)
-        x, y = np.nonzero(hit)
-        u, w = a_ids[x], b_ids[y]
-        return pd.DataFrame({"a": np.minimum(u, w), "b": np.maximum(u, w), "sim": s[x, y]})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows sorted by (cell, i, j, side): the first chunk of a task is held, what follows is compared as it comes."""
-        now, ids, v = None, np.zeros(0, np.int64), np.zeros((0, 0))
-        for pdf in batches:
-            for key, part in pdf.groupby(["cell", "i", "j", "side"], sort=False):
-                x_ids, x = part["id"].to_numpy(), _matrix(part["v"])
-                if key[:3] != now:
-                    now, ids, v = key[:3], np.zeros(0, np.int64), np.zeros((0, x.shape[1]))
-                if key[3] <= 1:
-                    for at in range(0, len(x) if key[3] == 0 else 0, CHUNK):
-                        y_ids, y = x_ids[at : at + CHUNK], x[at : at + CHUNK]
-                        if len(ids):
-                            yield pairs(y_ids, y, ids, v, False)
-                        yield pairs(y_ids, y, y_ids, y, True)
-                        ids, v = np.concatenate([ids, y_ids]), np.concatenate([v, y])
-                    if key[3] == 1:
-                        ids, v = np.concatenate([ids, x_ids]), np.concatenate([v, x])
-                elif len(ids):
-                    for at in range(0, len(x), CHUNK):
-                        yield pairs(x_ids[at : at + CHUNK], x[at : at + CHUNK], ids, v, False)
+            keep &= b + ys.start < a + xs.start
+        if keep.any():
+            u, w = u[keep], w[keep]
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(u, w), "b": np.maximum(u, w), "sim": s[keep]})
+
+    def meet(c: Cells, x: _Side, y: _Side, same: bool = False) -> Iterator[pa.RecordBatch]:
+        low = int(y.home[0])
+        step = max(1, chunk // 4)
+        for at in range(0, len(x.ids), step):
+            xs = slice(at, min(len(x.ids), at + step))
+            can = c.possible(_directions(x.v[xs])[0], x.home[xs], low, int(y.home[-1]) + 1, r)
+            for to in range(0, xs.stop if same else len(y.ids), chunk):
+                ys = slice(to, min(len(y.ids), to + chunk))
+                if can[y.home[to] - low : y.home[ys.stop - 1] - low + 1].any():
+                    yield from tile(x, xs, y, ys, same)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (i, j, side, home): a task's first block is held, the second is compared as it comes."""
+        c, now, parts, held = blocks.value.cells, None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            i, j, side, home, ids = (batch.column(f).to_numpy() for f in ("i", "j", "side", "home", "id"))
+            v = _rows(batch.column("v"))
+            cuts = np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (side[1:] != side[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(i)]):
+                if (i[lo], j[lo]) != now:
+                    if parts and now[0] == now[1]:
+                        yield from meet(c, s := _Side(parts), s, True)
+                    now, parts, held = (i[lo], j[lo]), [], None
+                some = (ids[lo:hi], home[lo:hi], v[lo:hi])
+                if side[lo] == 0:
+                    parts.append(tuple(map(np.copy, some)))
+                elif parts:
+                    held = held or _Side(parts)
+                    yield from meet(c, _Side([some]), held)
+        if parts and now[0] == now[1]:
+            yield from meet(c, s := _Side(parts), s, True)
 
     return run
 
 
 def vector_pairs(items: DataFrame, threshold: float, strict: bool = True, id_col: str = "id", vec_col: str = "embedding", pivots: int | None = None) -> DataFrame:
-    """(a, b, sim), a < b, with cosine above ``threshold`` (or equal, unless ``strict``). ``items``: unique ids, unit vectors.
+    """(a, b, sim), a < b, with an inner product above ``threshold`` (or equal, unless ``strict``): the cosine of unit vectors.
 
-    ``pivots``: by default four times the square root of the number of items, ``MOST_PIVOTS`` at most, or one where all
-    items are two chunks or less; they are items (those with the smallest hashes of their ids), so they follow the data's
-    density. Rows without an id or a vector have no pair; fewer than two items give none. Many equal vectors are a long
-    list of pairs, made by many tasks.
+    ``items``: ids and vectors of one dimension; the more even their lengths, the more is ruled out. ``pivots``: by default
+    four times the square root of the number of items, ``MOST_PIVOTS`` at most, or one where all items are two chunks or
+    less; they are items (those with the smallest hashes of their ids), so they follow the data's density. Rows without an
+    id or a vector have no pair; fewer than two items give none. Many equal vectors are a long list of pairs, made by many
+    tasks.
     """
     spark = items.sparkSession
-    r = max(0.0, 2 - 2 * threshold) ** 0.5
     rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
     n = rows.count()
     if n < 2:
         return spark.createDataFrame([], "a long, b long, sim double")
     k = max(1, min(MOST_PIVOTS, n, pivots or (int(4 * n**0.5) if n > 2 * CHUNK else 1)))
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(k).toPandas()
-    made = Cells(_matrix(chosen["v"]))
-    stats = rows.mapInPandas(_homes(spark.sparkContext.broadcast(made)), "cell long, n long, radius double").groupBy("cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius")).toPandas()
-    cells = Cells(made.pivots)
-    cells.count[stats["cell"]], cells.radius[stats["cell"]] = stats["n"], stats["radius"]
-    dealt = rows.mapInPandas(_dealt(spark.sparkContext.broadcast(cells), r), f"cell long, i long, j long, side long, id long, v {rows.schema['v'].dataType.simpleString()}")
-    tasks = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side", "id")
-    return tasks.mapInPandas(_compared(threshold, strict), "a long, b long, sim double")
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(k).select("v").toArrow()
+    chosen = _directions(_rows(chosen.column("v").combine_chunks()))[0]
+    made = Cells(np.unique(chosen, axis=0))
+    stats = rows.mapInArrow(_homes(spark.sparkContext.broadcast(made)), "cell long, n long, radius double, longest double").groupBy("cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.max("longest").alias("longest")).toPandas()
+    made.count[stats["cell"]], made.radius[stats["cell"]] = stats["n"], stats["radius"]
+    length = float(stats["longest"].max())
+    r = max(0.0, 2 - 2 * threshold / length**2) ** 0.5 if threshold > 0 and length > 0 else 2.0
+    # enough blocks for all cores to have some of their pairs, and no more, as a vector is sent to each
+    wanted = -(-n // int(np.ceil((8 * spark.sparkContext.defaultParallelism) ** 0.5)))
+    blocks = Blocks(made, max(1, min(max(wanted, CHUNK), 16 * CHUNK, BLOCK_BYTES // (4 * max(1, chosen.shape[1])))))
+    sent = spark.sparkContext.broadcast(blocks)
+    dealt = rows.mapInArrow(_dealt(sent, r), f"i int, j int, side int, home int, id long, v {rows.schema['v'].dataType.simpleString()}")
+    tasks = dealt.repartition(min(4096, len(blocks) * (len(blocks) + 1) // 2), "i", "j").sortWithinPartitions("i", "j", "side", "home", "id")
+    return tasks.mapInArrow(_compared(sent, r, CHUNK, threshold, strict), "a long, b long, sim double")
