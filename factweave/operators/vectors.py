@@ -2,12 +2,11 @@
 
 Directions x/|x| of a pair above the threshold t are at most r = sqrt(2 - 2 t / m^2) apart, m being the greatest length.
 Every vector has its home in the cell of its nearest pivot; cells that are close are put together into blocks of bounded
-size, and a cell larger than that is cut into several. Two blocks (or one) make a task. A vector is sent to a block at
-most once, whatever the number of cells, and only if the triangle inequality leaves a vector of one of the block's cells
-within r (its distance to the cell's border, and to the pivot against the cell's radius). A task holds one block and reads
-the other; small tiles of both are compared by matrix products unless the same test rules out all of a tile's cells. Only
-pairs that qualify leave it. Where no triangle rules anything out, a vector is sent once to each block and the work is
-that of a blocked matrix product.
+size, and a cell larger than that is cut into several. A block is stored once, as one row, and read by the tasks that
+compare it with itself and with each other block. They leave out vectors and small tiles for which the triangle inequality
+rules out the other side's cells (by the distance to the cell's border, and to its pivot against the cell's radius), and
+compare the rest by matrix products; only pairs that qualify leave them. Where no triangle rules anything out, the work is
+that of a blocked matrix product; what is stored and sent to tasks does not depend on it.
 """
 
 from __future__ import annotations
@@ -21,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a tile; a block has one to sixteen tiles.
+from .graph import checkpointed
+
+#: Rows of a tile; a block has one to 32 tiles.
 CHUNK = 2048
 #: Most pivots: the table of pivots and cells is sent to all executors.
 MOST_PIVOTS = 4096
-#: Bytes of a block as 32-bit floats, at most, and of the vectors in a batch that is dealt out.
-BLOCK_BYTES, BATCH_BYTES = 32 << 20, 8 << 20
+#: Bytes of a block's vectors, at most.
+BLOCK_BYTES = 16 << 20
 _SLACK = 1e-6  # on distances between directions, which are computed from 64-bit floats
 _ENTRIES = 1 << 20  # of a matrix that is made at once
 
@@ -90,18 +91,16 @@ class Cells:
         return out
 
     def possible(self, x: np.ndarray, home: np.ndarray, low: int, high: int, r: float) -> np.ndarray:
-        """[cell]: whether the cells from low to before high can hold a vector within r of some direction in x."""
-        if r >= 2:
-            return np.ones(high - low, bool)
+        """[direction, cell]: whether the cells from low to before high can hold a vector within r."""
         own = _apart(np.einsum("ij,ij->i", x, self.pivots[home]))
-        return self.can_hold(home, own, _apart(x @ self.pivots[low:high].T), slice(low, high), r).any(0)
+        return self.can_hold(home, own, _apart(x @ self.pivots[low:high].T), slice(low, high), r)
 
 
 class Blocks:
     """Cells in a new order, in which those of a block follow each other.
 
-    ``first``: the first cell of each group, ``chunks``: the blocks that a group is cut into (one cell, if more than one
-    block), ``block``: the first of them.
+    ``group``: of each cell, ``chunks``: the blocks that a group is cut into (one cell, if more than one block), ``block``:
+    the first of them.
     """
 
     def __init__(self, cells: Cells, most: int):
@@ -124,7 +123,6 @@ class Blocks:
         self.cells = Cells(cells.pivots[order])
         self.cells.count, self.cells.radius = cells.count[order], cells.radius[order]
         sizes = np.array([len(g) for g in groups])
-        self.first = np.cumsum(sizes) - sizes
         self.group = np.repeat(np.arange(len(groups)), sizes)
         self.chunks = np.array([-(-int(cells.count[g].sum()) // most) if len(g) == 1 else 1 for g in groups]).clip(1)
         self.block = np.cumsum(self.chunks) - self.chunks
@@ -132,14 +130,11 @@ class Blocks:
     def __len__(self) -> int:
         return int(self.chunks.sum())
 
-    def dealt(self, ids: np.ndarray, x: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(home, own block, [vector, block]: the blocks it meets, its own among them)."""
-        home, d = self.cells.near(x)
+    def of(self, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(block, home) of directions."""
+        home = self.cells.near(x)[0]
         g = self.group[home]
-        own = self.block[g] + (pd.util.hash_array(ids.astype(np.int64)).astype(np.uint64) % self.chunks[g].astype(np.uint64)).astype(np.int64)
-        meets = np.logical_or.reduceat(self.cells.visited(home, d, r), self.first, axis=1)
-        meets[np.arange(len(ids)), g] = True
-        return home, own, np.repeat(meets, self.chunks, axis=1)
+        return self.block[g] + (pd.util.hash_array(ids.astype(np.int64)).astype(np.uint64) % self.chunks[g].astype(np.uint64)).astype(np.int64), home
 
 
 def _homes(cells) -> Callable:
@@ -160,43 +155,49 @@ def _homes(cells) -> Callable:
     return run
 
 
-def _dealt(blocks, r: float) -> Callable:
-    """Rows (i, j, side, home, id, v), i <= j: a vector of block i (side 0) or j (side 1) for the task that compares the two."""
+def _dealt(blocks) -> Callable:
+    """Each vector once: (block, home, id, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = blocks.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            all_ids, lists = batch.column("id"), batch.column("v")
-            x = _rows(lists)
-            step = max(256, BATCH_BYTES // max(1, x[0].nbytes))
-            for part in b.cells.parts(len(x)):
-                ids, v = all_ids[part], lists[part]
-                home, own, meets = b.dealt(ids.to_numpy(), _directions(x[part])[0], r)
-                row, other = np.nonzero(meets)
-                mine = own[row]
-                for at in range(0, len(row), step):
-                    k, m, o = row[at : at + step], mine[at : at + step], other[at : at + step]
-                    out = [pa.array(a.astype(np.int32)) for a in (np.minimum(m, o), np.maximum(m, o), m > o, home[k])]
-                    yield pa.RecordBatch.from_arrays([*out, ids.take(pa.array(k)), v.take(pa.array(k))], names=["i", "j", "side", "home", "id", "v"])
+            if batch.num_rows:
+                ids, x = batch.column("id").to_numpy(), _rows(batch.column("v"))
+                at = [np.concatenate(f).astype(np.int32) for f in zip(*(b.of(ids[part], _directions(x[part])[0]) for part in b.cells.parts(len(x))))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, at), batch.column("id"), batch.column("v")], names=["block", "home", "id", "v"])
 
     return run
 
 
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block: numbers, homes in ascending order, ids and vectors as bytes."""
+    parts: dict[int, list] = {}
+    for batch in batches:
+        block, home, ids = (batch.column(f).to_numpy() for f in ("block", "home", "id"))
+        v = _rows(batch.column("v")) if len(block) else None
+        for b in np.unique(block):
+            mine = block == b
+            parts.setdefault(int(b), []).append((home[mine], ids[mine], v[mine]))
+    for b in list(parts):
+        home, ids, v = map(np.concatenate, zip(*parts.pop(b)))
+        order = np.argsort(home, kind="stable")
+        yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32())} | {f: pa.array([x[order].tobytes()], pa.binary()) for f, x in (("homes", home), ("ids", ids), ("vectors", v))})
+
+
 class _Side:
-    """Vectors in the order of their homes."""
+    """A stored block."""
 
-    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.ids, self.home, self.v = (np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*parts))
+    def __init__(self, homes, ids, vectors, kind: str):
+        self.home, self.ids = np.frombuffer(homes, np.int32), np.frombuffer(ids, np.int64)
+        self.v = np.frombuffer(vectors, kind).reshape(len(self.ids), -1)
         self.short = self.v.astype(np.float32, copy=False)
         self.longest = float(np.sqrt(np.fmax.reduce(np.einsum("ij,ij->i", self.v, self.v, dtype=np.float64), initial=0.0)))
 
 
-def _compared(blocks, r: float, chunk: int, threshold: float, strict: bool) -> Callable:
+def _compared(blocks, r: float, chunk: int, threshold: float, strict: bool, kind: str) -> Callable:
     above = np.greater if strict else np.greater_equal
 
-    def tile(x: _Side, xs: slice, y: _Side, ys: slice, same: bool) -> Iterator[pa.RecordBatch]:
+    def tile(x: _Side, xs: np.ndarray, y: _Side, ys: slice, same: bool) -> Iterator[pa.RecordBatch]:
         """32-bit products leave out what cannot qualify; 64-bit ones decide."""
         # a product of n terms and its rounded factors are off by less than (n + 2) 2^-23 |x| |y|
         low = threshold - (x.v.shape[1] + 4) * 2.0**-23 * x.longest * y.longest
@@ -210,48 +211,36 @@ def _compared(blocks, r: float, chunk: int, threshold: float, strict: bool) -> C
             s = s[a, b]
         else:
             a, b = np.nonzero(hit)
-            s = np.concatenate([np.einsum("ij,ij->i", x.v[xs][a[k : k + chunk]].astype(np.float64), y.v[ys][b[k : k + chunk]].astype(np.float64)) for k in range(0, n, chunk)])
-        u, w = x.ids[xs][a], y.ids[ys][b]
+            s = np.concatenate([np.einsum("ij,ij->i", x.v[xs[a[k : k + chunk]]].astype(np.float64), y.v[ys][b[k : k + chunk]].astype(np.float64)) for k in range(0, n, chunk)])
+        u, w = x.ids[xs[a]], y.ids[ys][b]
         keep = above(s, threshold) & (u != w)
         if same:
-            keep &= b + ys.start < a + xs.start
+            keep &= b + ys.start < xs[a]
         if keep.any():
             u, w = u[keep], w[keep]
             yield pa.RecordBatch.from_pydict({"a": np.minimum(u, w), "b": np.maximum(u, w), "sim": s[keep]})
 
-    def meet(c: Cells, x: _Side, y: _Side, same: bool = False) -> Iterator[pa.RecordBatch]:
-        low = int(y.home[0])
+    def meet(c: Cells, x: _Side, y: _Side, same: bool) -> Iterator[pa.RecordBatch]:
+        low, high = int(y.home[0]), int(y.home[-1]) + 1
         step = max(1, chunk // 4)
         for at in range(0, len(x.ids), step):
-            xs = slice(at, min(len(x.ids), at + step))
-            can = c.possible(_directions(x.v[xs])[0], x.home[xs], low, int(y.home[-1]) + 1, r)
-            for to in range(0, xs.stop if same else len(y.ids), chunk):
+            xs = np.arange(at, min(len(x.ids), at + step))
+            end, cells = xs[-1] + 1 if same else len(y.ids), None
+            if r < 2:
+                can = c.possible(_directions(x.v[xs])[0], x.home[xs], low, high, r)
+                xs, cells = xs[can.any(1)], can.any(0)
+            for to in range(0, end if len(xs) else 0, chunk):
                 ys = slice(to, min(len(y.ids), to + chunk))
-                if can[y.home[to] - low : y.home[ys.stop - 1] - low + 1].any():
+                if cells is None or cells[y.home[to] - low : y.home[ys.stop - 1] - low + 1].any():
                     yield from tile(x, xs, y, ys, same)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (i, j, side, home): a task's first block is held, the second is compared as it comes."""
-        c, now, parts, held = blocks.value.cells, None, [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            i, j, side, home, ids = (batch.column(f).to_numpy() for f in ("i", "j", "side", "home", "id"))
-            v = _rows(batch.column("v"))
-            cuts = np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (side[1:] != side[:-1])) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(i)]):
-                if (i[lo], j[lo]) != now:
-                    if parts and now[0] == now[1]:
-                        yield from meet(c, s := _Side(parts), s, True)
-                    now, parts, held = (i[lo], j[lo]), [], None
-                some = (ids[lo:hi], home[lo:hi], v[lo:hi])
-                if side[lo] == 0:
-                    parts.append(tuple(map(np.copy, some)))
-                elif parts:
-                    held = held or _Side(parts)
-                    yield from meet(c, _Side([some]), held)
-        if parts and now[0] == now[1]:
-            yield from meet(c, s := _Side(parts), s, True)
+            for k in range(batch.num_rows):
+                i, *one = (batch.column(f)[k] for f in ("i", "homes_i", "ids_i", "vectors_i"))
+                j, *other = (batch.column(f)[k] for f in ("j", "homes_j", "ids_j", "vectors_j"))
+                x, y = (_Side(*(f.as_buffer() for f in side), kind) for side in (one, other))
+                yield from meet(blocks.value.cells, x, y, i.as_py() == j.as_py())
 
     return run
 
@@ -278,10 +267,13 @@ def vector_pairs(items: DataFrame, threshold: float, strict: bool = True, id_col
     made.count[stats["cell"]], made.radius[stats["cell"]] = stats["n"], stats["radius"]
     length = float(stats["longest"].max())
     r = max(0.0, 2 - 2 * threshold / length**2) ** 0.5 if threshold > 0 and length > 0 else 2.0
-    # enough blocks for all cores to have some of their pairs, and no more, as a vector is sent to each
+    kind = "f4" if rows.schema["v"].dataType.simpleString() == "array<float>" else "f8"
+    # enough blocks for all cores to have some of their pairs
     wanted = -(-n // int(np.ceil((8 * spark.sparkContext.defaultParallelism) ** 0.5)))
-    blocks = Blocks(made, max(1, min(max(wanted, CHUNK), 16 * CHUNK, BLOCK_BYTES // (4 * max(1, chosen.shape[1])))))
+    blocks = Blocks(made, max(1, min(max(wanted, CHUNK), 32 * CHUNK, BLOCK_BYTES // (int(kind[1]) * max(1, chosen.shape[1])))))
     sent = spark.sparkContext.broadcast(blocks)
-    dealt = rows.mapInArrow(_dealt(sent, r), f"i int, j int, side int, home int, id long, v {rows.schema['v'].dataType.simpleString()}")
-    tasks = dealt.repartition(min(4096, len(blocks) * (len(blocks) + 1) // 2), "i", "j").sortWithinPartitions("i", "j", "side", "home", "id")
-    return tasks.mapInArrow(_compared(sent, r, CHUNK, threshold, strict), "a long, b long, sim double")
+    dealt = rows.mapInArrow(_dealt(sent), f"block int, home int, id long, v {rows.schema['v'].dataType.simpleString()}")
+    stored = checkpointed(dealt.repartitionById(len(blocks), "block").mapInArrow(_stored, "block int, homes binary, ids binary, vectors binary"))
+    one, other = (stored.select(F.col("block").alias(b), *(F.col(f).alias(f"{f}_{b}") for f in ("homes", "ids", "vectors"))) for b in "ij")
+    tasks = one.hint("shuffle_replicate_nl").join(other, F.col("i") <= F.col("j"))
+    return tasks.mapInArrow(_compared(sent, r, CHUNK, threshold, strict, kind), "a long, b long, sim double")
