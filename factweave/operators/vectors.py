@@ -189,9 +189,21 @@ class _Side:
 
     def __init__(self, homes, ids, vectors, kind: str):
         self.home, self.ids = np.frombuffer(homes, np.int32), np.frombuffer(ids, np.int64)
-        self.v = np.frombuffer(vectors, kind).reshape(len(self.ids), -1)
-        self.short = self.v.astype(np.float32, copy=False)
-        self.longest = float(np.sqrt(np.fmax.reduce(np.einsum("ij,ij->i", self.v, self.v, dtype=np.float64), initial=0.0)))
+        self._set(np.frombuffer(vectors, kind).reshape(len(self.ids), -1))
+
+    def _set(self, v: np.ndarray) -> None:
+        self.v = v
+        self.short = v.astype(np.float32, copy=False)
+        self.longest = float(np.sqrt(np.fmax.reduce(np.einsum("ij,ij->i", v, v, dtype=np.float64), initial=0.0)))
+
+    def keep(self, c: Cells, other: _Side, r: float, step: int) -> None:
+        """Only the vectors that the other side's cells can hold a vector within r of."""
+        low, high = int(other.home[0]), int(other.home[-1]) + 1
+        parts = (slice(at, at + step) for at in range(0, len(self.ids), step))
+        mine = np.concatenate([c.possible(_directions(self.v[p])[0], self.home[p], low, high, r).any(1) for p in parts])
+        if not mine.all():
+            self.home, self.ids = self.home[mine], self.ids[mine]
+            self._set(self.v[mine])
 
 
 def _compared(blocks, r: float, chunk: int, threshold: float, strict: bool, kind: str) -> Callable:
@@ -221,8 +233,12 @@ def _compared(blocks, r: float, chunk: int, threshold: float, strict: bool, kind
             yield pa.RecordBatch.from_pydict({"a": np.minimum(u, w), "b": np.maximum(u, w), "sim": s[keep]})
 
     def meet(c: Cells, x: _Side, y: _Side, same: bool) -> Iterator[pa.RecordBatch]:
-        low, high = int(y.home[0]), int(y.home[-1]) + 1
         step = max(1, chunk // 4)
+        if r < 2 and not same:
+            y.keep(c, x, r, step)
+        if not len(y.ids):
+            return
+        low, high = int(y.home[0]), int(y.home[-1]) + 1
         for at in range(0, len(x.ids), step):
             xs = np.arange(at, min(len(x.ids), at + step))
             end, cells = xs[-1] + 1 if same else len(y.ids), None
